@@ -129,8 +129,8 @@ def training_texts(docs: DataFrame, docs_per_lang: int = 48, budget: int = 13107
     return {k: v for k, v in found.items() if v.strip()}
 
 
-def predict(docs: DataFrame, texts: dict[str, str], *carry: str) -> DataFrame:
-    """docs (text, *carry) -> (*carry, lang_pred, score)."""
+def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (text, *carry) -> (*carry, lang_pred, score), the last two named by `out`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = parser(texts) if texts else None
@@ -148,10 +148,11 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str) -> DataFrame:
                     score = np.where(said >= 0, 1 - rest[:, 0] / rest[:, 1], 0.0) if cost.shape[1] > 1 else (said >= 0) * 1.0
                 names = pa.array([parse.langs[k] if k >= 0 else UNKNOWN for k in said] if parse else [UNKNOWN] * part.num_rows, pa.string())
                 score = np.nan_to_num(score)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), names, pa.array(score, pa.float64())], [*carry, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), names, pa.array(score, pa.float64())], [*carry, *out])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*carry, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double")
+    needed = [*carry, *(() if "text" in carry else ("text",))]
+    return docs.select(*needed).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{out[0]}` string, `{out[1]}` double")
 
 
 def training_rows(docs: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
