@@ -18,7 +18,6 @@ def build(spark: SparkSession, pages: DataFrame, root: str, dense: bool = True)
     chunks = store.load("chunks")
     store.save_chunk_meta(chunks)
     index = bm25.build(chunks)
-    index.tf.persist()
     store.save("postings", index.postings, sort=("term", "chunk_id"))
     store.save("bm25_stats", index.stats)
     index.tf.unpersist()

@@ -69,9 +69,12 @@ class Index:
     dl: DataFrame
 
 
-def build(chunks: DataFrame, most_df: float = MOST_DF) -> Index:
-    """Index of chunks (chunk_id, text). tf is read by all parts: persist it for repeated use."""
+def build(chunks: DataFrame, most_df: float = MOST_DF, keep: bool = True) -> Index:
+    """Index of chunks (chunk_id, text). All parts read tf, so it is kept (in memory or on disk) unless told otherwise;
+    unpersist Index.tf when the index is written."""
     tf = term_counts(chunks)
+    if keep:
+        tf = tf.persist()
     df, dl, stats = doc_freq(tf), doc_len(tf), corpus_stats(chunks, tf)
     c = F.col
     score = weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl"))

@@ -66,11 +66,16 @@ def page_lists(queries: DataFrame, ranked: DataFrame) -> DataFrame:
 # ---- the earlier retriever: bigrams, repeated long tokens, a cut on frequent terms at query time, hypothetical texts
 
 
-TEMPLATES = ("{} is a significant topic. It involves important historical and cultural aspects.", "The answer to the question about {} relates to key facts and events.", "An encyclopedia article on {}.")
+#: Fixed values.
+TEMPLATES = (
+    "This Wikipedia article answers the query '{query}'. It discusses the relevant facts, background, and key details.",
+    "A Wikipedia page about {query} would describe the specific person, place, event, or concept involved.",
+    "The answer to '{query}' can be found in a Wikipedia article covering the topic in detail.",
+)
 
 
 def hypothetical_texts(queries: DataFrame, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
-    texts = F.array(*(F.replace(F.lit(t), F.lit("{}"), F.col("query")) for t in templates))
+    texts = F.array(*(F.replace(F.lit(t), F.lit("{query}"), F.col("query")) for t in templates))
     return queries.select("query_id", F.posexplode(texts).alias("variant", "text"))
 
 

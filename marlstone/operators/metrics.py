@@ -34,7 +34,7 @@ def mean_ndcg(scores: DataFrame) -> DataFrame:
 def recall(lists: DataFrame, k: int = 10) -> DataFrame:
     """lists (query_id, found, truth) -> (query_id, recall); an empty truth counts 1."""
     truth = F.slice("truth", 1, k)
-    hit = F.size(F.array_intersect(F.slice("found", 1, k), truth))
+    hit = F.size(F.array_intersect(F.slice("found", F.lit(1), F.size(truth)), truth))
     return lists.select("query_id", F.when(F.size("truth") == 0, 1.0).otherwise(hit / F.size(truth)).alias("recall"))
 
 

@@ -1,6 +1,357 @@
-"""Every query of the engine with its DuckDB counterpart."""
+"""Every query of the engine over the driver's tables; `oracle` has the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.vector import dot, jaccard, l2_normalize, runtime_multiplier
+from ..operators import ann, bm25, collection, fusion, metrics
+from ..operators.chunk import chunk_corpus, chunk_pages
+from ..sources.readers import documents_as_pages, table
+from .oracle import ASKED, ORACLE_SQL, TOKENS  # noqa: F401
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_corpus(documents_as_pages(spark, sf_dir))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    return bm25.build(_chunks(spark, sf_dir))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items and questions of every form."""
+    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return own.union(spark.createDataFrame(ASKED, "query_id long, query string"))
+
+
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, page_id): documents that hold the item."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return docs.join(items, F.col("text").contains(F.col("item"))).select("query_id", "page_id")
+
+
+# ---- scans and chunks
+
+
+@query
+def corpus_scan(spark, sf_dir):
+    return documents_as_pages(spark, sf_dir).select("page_id", "title", F.md5("content").alias("content_md5"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    pages = documents_as_pages(spark, sf_dir)
+    return pages.select("page_id", F.posexplode(T.sentences(F.col("content"))).alias("pos", "sentence")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+
+
+def _kind(kind: str) -> Query:
+    def run(spark, sf_dir):
+        return chunk_pages(documents_as_pages(spark, sf_dir)).where(F.col("chunk_type") == kind).select("page_id", "pos", F.md5("text").alias("text_md5"))
+
+    return run
+
+
+QUERIES["chunk_summary"] = _kind("summary")
+QUERIES["chunk_body"] = _kind("body")
+
+
+@query
+def chunk_all(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chunk_id", "page_id", "chunk_type", F.md5("text").alias("text_md5"))
+
+
+@query
+def chunk_meta(spark, sf_dir):
+    return _chunks(spark, sf_dir).drop("text")
+
+
+# ---- tokens
+
+
+@query
+def tokenize_index(spark, sf_dir):
+    return _index(spark, sf_dir).tf.groupBy("term").agg(F.sum("tf").alias("n"))
+
+
+@query
+def stem_vocab(spark, sf_dir):
+    words = documents_as_pages(spark, sf_dir).select(F.explode(T.raw_tokens(F.col("content"))).alias("term"))
+    return bm25.stem_table(words)
+
+
+@query
+def stem_cases(spark, sf_dir):
+    return bm25.stem_table(spark.createDataFrame([(t,) for t in TOKENS], "term string"))
+
+
+@query
+def decade_expand(spark, sf_dir):
+    tokens = spark.createDataFrame([(t,) for t in TOKENS], "token string")
+    return tokens.select("token", F.explode(T.decade(F.col("token"))).alias("out"), T.is_year_like(F.col("token")).alias("year_stream"))
+
+
+@query
+def query_decompose(spark, sf_dir):
+    return asked(spark, sf_dir).select("query_id", F.posexplode(T.decompose(F.col("query"))).alias("pos", "part")).select("query_id", F.col("pos").cast("bigint").alias("pos"), "part")
+
+
+@query
+def query_streams(spark, sf_dir):
+    return fusion.streams(asked(spark, sf_dir))
+
+
+@query
+def tokenize_query(spark, sf_dir):
+    return fusion.query_terms(fusion.streams(asked(spark, sf_dir)))
+
+
+# ---- index
+
+
+@query
+def bm25_df(spark, sf_dir):
+    return _index(spark, sf_dir).df
+
+
+@query
+def bm25_tf(spark, sf_dir):
+    return _index(spark, sf_dir).tf
+
+
+@query
+def bm25_doclen(spark, sf_dir):
+    return _index(spark, sf_dir).dl
+
+
+@query
+def bm25_stats(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return i.stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def bm25_vocab(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return bm25.term_ids(bm25.vocabulary(i.df, i.stats))
+
+
+@query
+def bm25_postings(spark, sf_dir):
+    return _index(spark, sf_dir).postings.select("term", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def csr_offsets(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return bm25.csr_offsets(i.postings, bm25.term_ids(bm25.vocabulary(i.df, i.stats)))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    return bm25.query(_index(spark, sf_dir).postings, fusion.query_terms(fusion.streams(asked(spark, sf_dir)))).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---- search
+
+
+@query
+def rrf_fuse(spark, sf_dir):
+    parts = fusion.streams(asked(spark, sf_dir))
+    hits = bm25.query(_index(spark, sf_dir).postings, fusion.query_terms(parts)).join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
+    return fusion.rrf(hits).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
+
+
+@query
+def search_pages(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return fusion.search(asked(spark, sf_dir), bm25.build(chunks).postings, chunks)
+
+
+QUERIES["page_rank"] = search_pages
+
+
+@query
+def search_lists(spark, sf_dir):
+    lists = fusion.page_lists(asked(spark, sf_dir), search_pages(spark, sf_dir))
+    return lists.select("query_id", F.array_join("page_ids", ",").alias("page_ids"))
+
+
+@query
+def ndcg_at_10(spark, sf_dir):
+    scores = metrics.ndcg(asked(spark, sf_dir), search_pages(spark, sf_dir), relevant(spark, sf_dir))
+    return scores.select("query_id", F.round("ndcg", 9).alias("ndcg"))
+
+
+@query
+def mean_ndcg(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    scores = metrics.ndcg(items, search_pages(spark, sf_dir), relevant(spark, sf_dir))
+    return metrics.mean_ndcg(scores).select(F.round("mean_ndcg", 9).alias("mean_ndcg"))
+
+
+# ---- the earlier retriever
+
+
+@query
+def hyde_texts(spark, sf_dir):
+    return fusion.hypothetical_texts(asked(spark, sf_dir)).select("query_id", F.col("variant").cast("bigint").alias("variant"), "text")
+
+
+@query
+def bigrams(spark, sf_dir):
+    raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.raw_tokens(F.col("text")).alias("t"))
+    return raw.select("query_id", F.posexplode(T.bigrams(F.col("t"))).alias("pos", "pair")).select("query_id", F.col("pos").cast("bigint").alias("pos"), "pair")
+
+
+def _early(spark, sf_dir) -> DataFrame:
+    return fusion.early_tokens(asked(spark, sf_dir).select(F.col("query_id").alias("text_id"), F.col("query").alias("text")))
+
+
+@query
+def legacy_tokens(spark, sf_dir):
+    return _early(spark, sf_dir).select("text_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def legacy_bm25(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    terms = _early(spark, sf_dir).select(F.col("text_id").alias("query_id"), F.lit(0).cast("bigint").alias("stream_id"), F.explode("tokens").alias("term"))
+    return fusion.early_query(i.postings, i.df, i.stats, terms).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+# ---- vectors
+
+
+def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, deletes of present, absent and repeated ids, inserts of present ids with another vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    op = lambda df, seq, kind, pos=F.col("vec_id"): df.select(F.lit(seq).cast("bigint").alias("op_seq"), pos.cast("bigint").alias("pos"), F.lit(kind).alias("op"), "vec_id", "embedding")
+    back = e.where(F.col("vec_id").between(200, 449)).select("vec_id", F.reverse("embedding").alias("embedding"))
+    gone = e.where((F.col("vec_id") % 7 == 0) | (F.col("vec_id") >= 300)).select("vec_id", F.lit(None).cast("array<float>").alias("embedding"))
+    twice = e.where(F.col("vec_id") % 5 == 0).select("vec_id", F.lit(None).cast("array<float>").alias("embedding"))
+    return (
+        op(e.where("vec_id < 300"), 0, "insert")
+        .union(op(gone, 1, "delete"))
+        .union(op(back, 3, "insert"))
+        .union(op(twice, 4, "delete"))
+        .union(op(twice, 4, "delete", F.col("vec_id") + 1_000_000))
+    )
+
+
+def _asking(spark, sf_dir) -> DataFrame:
+    """Vectors whose id is divisible by 50, as queries."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
+def _result(kind: str) -> Query:
+    def run(spark, sf_dir):
+        return collection.mutations(op_log(spark, sf_dir)).where(F.col("op") == kind).select("op_seq", "pos", "vec_id", "ok")
+
+    return run
+
+
+QUERIES["vec_insert_result"] = _result("insert")
+QUERIES["vec_delete_result"] = _result("delete")
+
+
+@query
+def vec_active_asof(spark, sf_dir):
+    done = collection.mutations(op_log(spark, sf_dir))
+    at = lambda s: collection.active(done, s).select(F.lit(s).cast("bigint").alias("op_seq"), "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    return at(2).union(at(5))
+
+
+@query
+def vec_topk(spark, sf_dir):
+    store = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return collection.top_k_blocked(store, _asking(spark, sf_dir))
+
+
+@query
+def vec_topk_columns(spark, sf_dir):
+    store = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return collection.top_k(store, _asking(spark, sf_dir))
+
+
+@query
+def vec_search_asof(spark, sf_dir):
+    done = collection.mutations(op_log(spark, sf_dir))
+    return collection.top_k_blocked(collection.active(done, 5), _asking(spark, sf_dir))
+
+
+@query
+def recall_at_10(spark, sf_dir):
+    """What the search of op 2 finds of the best among all vectors."""
+    done = collection.mutations(op_log(spark, sf_dir))
+    lists = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("query_id", F.col("l.vec_id").alias(name))
+    found = lists(collection.top_k_blocked(collection.active(done, 2), _asking(spark, sf_dir)), "found")
+    return metrics.recall(found.join(lists(vec_topk(spark, sf_dir), "truth"), "query_id"))
+
+
+def _truth(got: DataFrame) -> DataFrame:
+    """A truth that differs from the outcome in the ids divisible by 11."""
+    odd = lambda ids: F.filter(ids, lambda i: i % 11 != 0)
+    return got.select("op_seq", odd(F.col("succeeded")).alias("succeeded"), odd(F.col("failed")).alias("failed"))
+
+
+@query
+def jaccard_mutations(spark, sf_dir):
+    got = collection.outcomes(collection.mutations(op_log(spark, sf_dir)))
+    t = _truth(got).select("op_seq", F.col("succeeded").alias("t_ok"), F.col("failed").alias("t_bad"))
+    return got.join(t, "op_seq").select("op_seq", F.round(jaccard(F.col("succeeded"), F.col("t_ok")), 9).alias("ok"), F.round(jaccard(F.col("failed"), F.col("t_bad")), 9).alias("bad"))
+
+
+@query
+def scenario_score(spark, sf_dir):
+    got = collection.outcomes(collection.mutations(op_log(spark, sf_dir)))
+    totals = got.groupBy("op").agg(F.sum(F.size("succeeded") + F.size("failed")).alias("total"))
+    parts = collection.score_mutations(got, _truth(got), totals)
+    searched = recall_at_10(spark, sf_dir).agg(F.lit("search").alias("op"), F.avg("recall").alias("score")).select("op", "score")
+    return collection.final_score(parts.union(searched), 0.8).select(*(F.round(c, 9).alias(c) for c in ("functional", "multiplier", "final")))
+
+
+@query
+def runtime_multipliers(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in (0.5, 0.51, 1.0, 1.01, 2.0, 2.01)], "ratio double").select("ratio", runtime_multiplier(F.col("ratio")).alias("multiplier"))
+
+
+@query
+def l2_normalized(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", l2_normalize(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    return e.select("vec_id", F.round(dot(F.col("v"), F.col("v")), 6).alias("norm"), F.round(F.col("v")[0], 5).alias("first"))
+
+
+@query
+def ivf_topk(spark, sf_dir):
+    store = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    centroids, listed = ann.build(store)
+    return ann.search(centroids, listed, _asking(spark, sf_dir))
+
+
+@query
+def ivf_all_lists(spark, sf_dir):
+    """With every list probed, the search is exact."""
+    store = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    centroids, listed = ann.build(store)
+    return ann.search(centroids, listed, _asking(spark, sf_dir), nprobe=1 << 30)
+
+
+@query
+def embed_hashing(spark, sf_dir):
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text")
+    e = ann.hashing_embedding(texts)
+    return e.select("text_id", F.size("embedding").cast("bigint").alias("dim"), F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm"))
