@@ -3,8 +3,9 @@
 A suffix automaton of a bounded labelled text per language (about `docs_per_lang` training documents per language
 chosen by a hash of their id, `budget` characters over all languages) gives longest-match lengths. A text is parsed
 greedily into the longest phrases that occur in a language's training text; phrases never cross a word's edge spaces,
-so a distinct word is parsed once per batch however often it occurs. The language with the fewest phrases, each
-weighted by log2 of its training length, wins; ties go to the smaller name.
+so a distinct word is parsed once per batch however often it occurs. The language with the fewest phrases per character
+wins; ties go to the smaller name. (Weighting a phrase by log2 of the training length would favour languages of which
+only a few words are known.)
 
 Edge cases: a text that is null or has no letter, and any text when nothing could be learned, gets `und` with score 0;
 training rows with a null lang or text are ignored; an empty table gives an empty result; other columns are ignored.
@@ -12,7 +13,6 @@ training rows with a null lang or text are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +77,6 @@ class Parser:
         made = [Automaton(self.code[np.frombuffer(texts[x].encode("utf-32-le"), np.uint32)].tolist(), len(chars) + 1).moves for x in self.langs]
         self.roots = np.concatenate([[0], np.cumsum([len(m) for m in made])[:-1]]).astype(np.int64)
         self.moves = np.concatenate([np.where(m >= 0, m + r, -1) for m, r in zip(made, self.roots, strict=True)]).astype(np.int32)
-        self.weight = np.array([math.log2(max(2, len(texts[x]))) for x in self.langs])
 
     def phrases(self, words: pa.Array) -> np.ndarray:
         """[words, languages]: phrases of each word between its spaces."""
@@ -139,7 +138,7 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
                 offsets, index, words = common.words_of(letters(part.column("text")), lower=False)
                 said, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
                 if parse and len(words):
-                    each = parse.phrases(words) * parse.weight
+                    each = parse.phrases(words)
                     doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                     cost = np.stack([np.bincount(doc, weights=each[index, k], minlength=part.num_rows) for k in range(each.shape[1])], 1)
                     best = cost.argmin(1)
