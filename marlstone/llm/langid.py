@@ -134,7 +134,7 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = parser(texts) if texts else None
         for batch in batches:
-            for part in common.slices(batch, "text", 24 << 20):
+            for part in common.slices(batch, "text", 6 << 20):
                 offsets, index, words = common.words_of(letters(part.column("text")), lower=False)
                 said, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
                 if parse and len(words):
