@@ -57,12 +57,12 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     """Ids of single words as little-endian uint32; a word's ids don't depend on its neighbours, since the tokenizer
     drops white space and never joins across it."""
     t, cache = _tokenizer(path)
-    if len(cache) > 400_000:
+    if len(cache) > 250_000:
         cache.clear()
     new = [w for w in words if w not in cache]
     long: dict[str, bytes] = {}
-    for at in range(0, len(new), 20_000):
-        for w, e in zip(new[at : at + 20_000], t.encode_batch(new[at : at + 20_000], add_special_tokens=False), strict=True):
+    for at in range(0, len(new), 4_000):
+        for w, e in zip(new[at : at + 4_000], t.encode_batch(new[at : at + 4_000], add_special_tokens=False), strict=True):
             (cache if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
     return [cache[w] if w in cache else long[w] for w in words]
 
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
         uid = TaskContext.get().partitionId() << 33
         stop = np.array([end_id], "<u4")
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", 3 << 20):
                 offsets, index, words = common.words_of(part.column("text"))
                 each = word_ids(words.to_pylist(), path)
                 lens = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
                 uid += len(rows)
 
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids binary")
+    return docs.mapInArrow(common.tidy(run), "uid long, doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(counts: dict[int, int], c: Capacity) -> np.ndarray:
@@ -157,7 +157,7 @@ def pack(items: DataFrame, capacity: Capacity | None = None, salts: int = 64) ->
 
     kinds = dict(items.dtypes)
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid")) - 1)
-    return ranked.mapInArrow(place, ", ".join(f"`{x}` {kinds[x]}" for x in columns) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(common.tidy(place), ", ".join(f"`{x}` {kinds[x]}" for x in columns) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: Capacity | None = None, end_id: int = 0) -> DataFrame:

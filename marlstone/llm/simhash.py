@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(of, "doc_id long, fp long")
+    return docs.mapInArrow(common.tidy(of), "doc_id long, fp long")
 
 
 def keyed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +145,8 @@ def links(fps: DataFrame) -> DataFrame:
         if len(rest[0]) and (found := groups(rest)) is not None:
             yield found
 
-    dealt = fps.select("fp").mapInArrow(deal, "key long, fp long, home boolean")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    dealt = fps.select("fp").mapInArrow(common.tidy(deal), "key long, fp long, home boolean")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(meet), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
