@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,20 +54,54 @@ def _tokenizer(path: str):
     return t, {}
 
 
-def word_ids(words: list[str], path: str) -> list[bytes]:
+#: Words that are one piece for the tokenizer, unchanged by its normalisation: basic and Latin-1 small letters.
+PLAIN = "[a-z\u00df-\u00f6\u00f8-\u00ff]"
+#: Marks that end a word after such a letter; the apostrophe isn't one of them, as it may take letters with it.
+MARKS = r"[!-&(-/:-@\[-`{-~]"
+
+
+def encode_words(words: list[str], path: str) -> list[bytes]:
     """Ids of single words as little-endian uint32; a word's ids don't depend on its neighbours, since the tokenizer
     drops white space and never joins across it."""
     t, cache = _tokenizer(path)
     if len(cache) > 400_000:
         cache.clear()
-    new = [w for w in words if w not in cache]
+    new = pa.array([w for w in words if w not in cache], pa.string())
+    plain = pc.match_substring_regex(new, f"^{PLAIN}{{1,64}}$")
+    whole = new.filter(plain).to_pylist()
+    for at in range(0, len(whole), 4_000):
+        some = whole[at : at + 4_000]
+        e = t.encode(" ".join(some), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        cache.update((w, ids[a:b]) for w, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    rest = new.filter(pc.invert(plain)).to_pylist()
     long: dict[str, bytes] = {}
-    for at in range(0, len(new), 4_000):
-        for w, e in zip(new[at : at + 4_000], t.encode_batch(new[at : at + 4_000], add_special_tokens=False), strict=True):
+    for at in range(0, len(rest), 4_000):
+        some = rest[at : at + 4_000]
+        for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
             (cache if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
     return [cache[w] if w in cache else long[w] for w in words]
 
 
+def gather(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs of `flat` that `index` names, end to end; run i is at begin[i] and lens[i] long."""
+    n = lens[index]
+    return flat[np.repeat(begin[index] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words end to end, number of ids of each). Marks at a word's end are encoded apart, as the tokenizer
+    itself does, so that a word is looked up once whatever follows it."""
+    words = words.cast(pa.string())
+    apart = pc.extract_regex(words, f"^(?P<head>(?s:.*){PLAIN})(?P<tail>{MARKS}+)$")
+    both = pa.concat_arrays([pc.coalesce(pc.struct_field(apart, "head"), words), pc.coalesce(pc.struct_field(apart, "tail"), pa.scalar(""))]).dictionary_encode()
+    each = encode_words(both.dictionary.to_pylist(), path)
+    lens = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    index = np.asarray(both.indices).astype(np.int64).reshape(2, -1)
+    return gather(np.frombuffer(b"".join(each), "<u4"), np.cumsum(lens) - lens, lens, index.T.ravel()), lens[index].sum(0)
+
+
 def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0) -> DataFrame:
     """docs (doc_id, text) -> (uid, doc_id, piece, start, length, ids): whole texts as ids, an end id after each, cut
     into pieces of `size` only where longer. ids: little-endian uint32."""
@@ -78,15 +113,11 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
         for batch in batches:
             for part in common.slices(batch, "text"):
                 offsets, index, words = common.words_of(part.column("text"))
-                each = word_ids(words.to_pylist(), path)
-                lens = np.fromiter(map(len, each), np.int64, len(each)) // 4
-                flat = np.frombuffer(b"".join(each), "<u4")
+                flat, lens = word_ids(words, path)
                 begin = np.cumsum(lens) - lens
                 rows = []
                 for d, doc in enumerate(part.column("doc_id").to_pylist()):
-                    w = index[offsets[d] : offsets[d + 1]]
-                    n = lens[w]
-                    ids = np.append(flat[np.repeat(begin[w] - np.cumsum(n) + n, n) + np.arange(n.sum())], stop)
+                    ids = np.append(gather(flat, begin, lens, index[offsets[d] : offsets[d + 1]]), stop)
                     rows += [(doc, k, k * size, ids[k * size : (k + 1) * size]) for k in range(-(-len(ids) // size))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(rows))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array([len(x) for x in cols[3]], pa.int64()), pa.array([x.tobytes() for x in cols[3]], pa.binary())], ["uid", "doc_id", "piece", "start", "length", "ids"])

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -171,6 +172,18 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_words_encoded_apart():
+    path = packing.vocabulary_file()
+    t, _ = packing._tokenizer(path)
+    words = ["don't.", "o'", "'s", "x's!!", "été,", "É.", "e\u0301,", "a=\u0338", "ß...", "ŋ.", "İx", "10.5%", "<|endoftext|>", "a<|endoftext|>", "ab\u200d.", "…a.", "»,", "日本.", "x" * 70 + ".", "---", "a\u00a0b", "ſ.", "ὈΔΥΣΣΕΎΣ,"]
+    for some in (words, [f"{a}{b}" for a in words for b in words]):
+        flat, lens = packing.word_ids(pa.array(some), path)
+        direct = [t.encode(w, add_special_tokens=False).ids for w in some]
+        assert lens.tolist() == [len(x) for x in direct] and flat.tolist() == [i for x in direct for i in x]
+    flat, lens = packing.word_ids(pa.array([], pa.string()), path)
+    assert not len(flat) and not len(lens)
+
+
 def test_plan_keeps_every_capacity():
     counts = {700: 50, 300: 90, 100: 200, 7: 40}
     c = packing.Capacity(1000, 4, 600_000)
