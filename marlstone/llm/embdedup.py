@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, vectors
-from .components import components
+from .components import components, least_of
 
 TILE, SUB = 4096, 1024
 SLACK = 1e-9  # over what rounding in double precision can add
@@ -123,9 +123,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     links = found.where(F.col("v") < 0).groupBy(F.col("u").alias("uid")).agg(F.sum("n").alias("links"))
     roots = components(found.where(F.col("v") >= 0).select("u", "v")).withColumnRenamed("node", "uid")
     near = common.stage(entries.select("uid", "least").join(roots, "uid"), "dedup-near")
-    ids = near.groupBy("root").agg(F.min("least").alias("component_id"))
-    near = near.select("uid", "root").join(ids, "root").select("uid", "component_id")
-    facts = entries.join(links, "uid", "left").join(near, "uid", "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    facts = entries.join(links, "uid", "left").join(least_of(near), "uid", "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     facts = common.stage(facts, "dedup-facts")
     joined = valid.join(facts, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where(~part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

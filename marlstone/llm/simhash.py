@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, least_of
 
 SEED = 42
 SEGMENT, SEGMENTS, DISTANCE = 16, 4, 3
@@ -156,9 +156,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = common.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     linked = common.stage(nodes.join(roots, "fp"), "simhash-linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
-    ids = common.stage(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
+    ids = common.stage(nodes.join(least_of(linked), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

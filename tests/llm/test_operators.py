@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embdedup, hmm, langid, mixing, neighbours, packing, pii, secrets, simhash, vectors
+from marlstone.llm import chat, components, embdedup, hmm, langid, mixing, neighbours, packing, pii, secrets, simhash, vectors
 
 DOCS = [
     (0, None, "en", "a"),
@@ -283,6 +283,27 @@ def test_simhash(spark, docs):
     assert simhash.simhash_components(docs.where("false")).count() == 0
 
 
+def test_components_with_hot_keys(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(1000, 1040)] + rng.integers(2000, 2900, (500, 2)).tolist()
+    pairs = [(int(a), int(b)) for a, b in pairs if a != b]
+    root = {}
+    for a, b in pairs:
+        for x in (a, b):
+            root.setdefault(x, x)
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            least = min(root[a], root[b])
+            moved |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+    found = components.components(spark.createDataFrame(pairs, "u long, v long"))
+    assert sorted(map(tuple, found.collect())) == sorted(root.items())
+    rows = spark.createDataFrame([(i, i % 7 + 3, 1 if i < 80 else i) for i in range(100)], "fp long, least long, root long")
+    assert {r.fp: r.component_id for r in components.least_of(rows).collect()} == {i: 3 if i < 80 else i % 7 + 3 for i in range(100)}
+
+
 def test_links_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
