@@ -248,14 +248,17 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
                 move[-2 - r.g] = w
         return normalised(start, move, emit, prior)
 
+    def different() -> Model:
+        rng = np.random.default_rng(s.seed)
+        stay = np.full((k, k), 0.2 / k) + 0.8 * np.eye(k)
+        emit = prior[:, None] * rng.uniform(0.4, 1.6, (s.classes, k))
+        return Model(np.full(k, 1 / k), stay / stay.sum(1, keepdims=True), emit / emit.sum(0))
+
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [c for held in coded(batches, head.value, s, s.gather) for c in held if len(c) <= s.warm_words]
         if not codes:
             return
-        rng = np.random.default_rng(s.seed)
-        stay = np.full((k, k), 0.2 / k) + 0.8 * np.eye(k)
-        emit = prior[:, None] * rng.uniform(0.4, 1.6, (s.classes, k))
-        m = Model(np.full(k, 1 / k), stay / stay.sum(1, keepdims=True), emit / emit.sum(0))
+        m = different()
         ready = [b for _, b in blocks(codes, s.block)]
         for _ in range(s.warm_rounds):
             found = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
@@ -267,6 +270,8 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
     share = min(1.0, s.warm_docs / max(1, vocab.end_count))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(4 * s.warm_docs)
     model = gathered(sample.select("text").repartition(1).mapInArrow(warm, schema))
+    if vocab.end_count and np.allclose(model.emit, model.emit[:, :1], rtol=1e-9, atol=0):
+        model = different()  # no short text to start from; alike states would stay alike in every pass
     for _ in range(s.rounds):
         now = spark.sparkContext.broadcast(model)
 

@@ -78,8 +78,9 @@ def test_hmm_learns(spark):
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["aa", "ab", "ac"] if i % 2 else ["zz", "zy", "zx"], 30)) for i in range(200)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = hmm.hmm_scores(spark, df, settings=hmm.Settings(states=2, own=8, affixes=8)).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
-    assert got[0] > got[1] + 5
+    for how in (hmm.Settings(states=2, own=8, affixes=8), hmm.Settings(states=2, own=8, affixes=8, warm_words=5, rounds=10)):
+        got = hmm.hmm_scores(spark, df, settings=how).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
+        assert got[0] > got[1] + 5
 
 
 LUHN = lambda s: sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10 == 0
