@@ -37,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """Runs of the mixed order are packed one by one, so that sequences come in the proportions of the slots."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

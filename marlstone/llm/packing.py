@@ -102,9 +102,9 @@ def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return gather(np.frombuffer(b"".join(each), "<u4"), np.cumsum(lens) - lens, lens, index.T.ravel()), lens[index].sum(0)
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> (uid, doc_id, piece, start, length, ids): whole texts as ids, an end id after each, cut
-    into pieces of `size` only where longer. ids: little-endian uint32."""
+def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, *carry) -> (uid, doc_id, piece, start, length, ids, *carry): whole texts as ids, an end id
+    after each, cut into pieces of `size` only where longer. ids: little-endian uint32; carry: longs."""
     path = path or vocabulary_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +118,13 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
                 rows = []
                 for d, doc in enumerate(part.column("doc_id").to_pylist()):
                     ids = np.append(gather(flat, begin, lens, index[offsets[d] : offsets[d + 1]]), stop)
-                    rows += [(doc, k, k * size, ids[k * size : (k + 1) * size]) for k in range(-(-len(ids) // size))]
+                    rows += [(doc, k, k * size, ids[k * size : (k + 1) * size], d) for k in range(-(-len(ids) // size))]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(rows))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array([len(x) for x in cols[3]], pa.int64()), pa.array([x.tobytes() for x in cols[3]], pa.binary())], ["uid", "doc_id", "piece", "start", "length", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(rows))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array([len(x) for x in cols[3]], pa.int64()), pa.array([x.tobytes() for x in cols[3]], pa.binary()), *(part.column(x).take(pa.array(cols[4])) for x in carry)], ["uid", "doc_id", "piece", "start", "length", "ids", *carry])
                 uid += len(rows)
 
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(common.tidy(run), "uid long, doc_id long, piece int, start long, length long, ids binary")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
+    return docs.mapInArrow(common.tidy(run), "uid long, doc_id long, piece int, start long, length long, ids binary" + "".join(f", {x} long" for x in carry))
 
 
 def plan(counts: dict[int, int], c: Capacity) -> np.ndarray:
@@ -200,5 +200,56 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: Capacity
     return pack(held, c).drop("uid")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """docs with `part` and `at`, the places of its rows: Spark's number of the file and the row in it where docs is a
+    table as read (readers take files in any order, writers number them by partition), else partition and row."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+        return docs.select("*", F.coalesce(number, F.lit(0)).cast("long").alias("part"), F.col("_metadata.row_index").cast("long").alias("at"))
+    place = F.monotonically_increasing_id()
+    return docs.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+
+
+def place_run(part: pa.Table, c: Capacity) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence from 0, offset) of the pieces (at, piece, length) of a run; sequences are numbered by their first place."""
+    at, piece, length = (np.asarray(part[x]).astype(np.int64) for x in ("at", "piece", "length"))
+    sizes, counts = np.unique(length, return_counts=True)
+    made = plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), c)
+    made = made[np.lexsort((made[:, 1], made[:, 0]))]
+    order = np.lexsort((piece, at, length))
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    row = np.searchsorted((made[:, 0] << 44) + made[:, 1], (length << 44) + rank, side="right") - 1
+    sequence = made[row, 2] + rank - made[row, 1]
+    first = np.full(sequence.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, sequence, at)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first, kind="stable")] = np.arange(len(first))
+    return number[sequence], made[row, 3]
+
+
+def pack_in_order(docs: DataFrame, path: str | None = None, capacity: Capacity | None = None, end_id: int = 0, run: int = 1024) -> DataFrame:
+    """As pack_documents, in the order of docs: a sequence holds documents of one run of `run` successive rows (less at a
+    file's end), and sequence ids follow the runs, so that successive sequences hold what stands together in docs. The
+    driver gets one number for each run."""
+    c = capacity or Capacity()
+    docs = in_order(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "part", F.floor(F.col("at") / run).cast("long").alias("run"), "at")
+    cut = pieces(docs, path, c.tokens, end_id, ("part", "run", "at"))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    held = common.stage(cut.withColumn("ids_crc32", F.crc32("ids")).select(*own, "part", "run", "at"), "pack-pieces")
+
+    def place(part: pa.Table) -> pa.Table:
+        sequence, offset = place_run(part, c)
+        return part.drop_columns(["at"]).append_column("nth", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    placed = common.stage(held.groupBy("part", "run").applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, run long, nth long, offset long"), "pack-runs")
+    bases, many = [], 0
+    for r in sorted(placed.groupBy("part", "run").agg(F.max("nth").alias("last")).collect()):
+        bases.append((r.part, r.run, many))
+        many += r["last"] + 1
+    base = docs.sparkSession.createDataFrame(bases, "part long, run long, base long")
+    return placed.join(F.broadcast(base), ["part", "run"]).select(*own, (F.col("base") + F.col("nth")).alias("sequence_id"), "offset")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"))

@@ -384,3 +384,34 @@ def test_pipeline(spark, docs):
     assert set(left) == {3, 5, 6, 7, 8, 9, 10, None}
     assert "example.com" not in left[7] and hashlib.md5(left[3].encode()).hexdigest() == hashlib.md5(DOCS[3][1].encode()).hexdigest()
     assert corpus_pipeline.STAGES[-1][1](spark, at, "").count() >= 8
+
+
+@pytest.mark.parametrize("saved", [True, False])
+def test_pipeline_packs_in_mixed_order(spark, tmp_path, saved):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(["word"] * (10 + i * 7 % 90)), "en", "hot" if i < 400 else f"s{i % 3}", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    mixed = mixing.mixed_order(docs, shares={"hot": 1, "s0": 3, "s1": 3, "s2": 3}, block_chars=500)
+    if saved:
+        mixed.write.parquet(f"{tmp_path}/mixed")
+        mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    else:
+        mixed = mixed.cache()
+    got = packing.pack_in_order(mixed, run=60).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1200))
+    n = max(r.sequence_id for r in got) + 1
+    assert {r.sequence_id for r in got} == set(range(n))
+    source = {r[0]: r[3] for r in rows}
+    # until the small sources run out, every stretch of sequences has about a tenth of the hot source
+    slots = {r.doc_id: r["__mix_slot"] for r in mixing.mix(docs, shares={"hot": 1, "s0": 3, "s1": 3, "s2": 3}, block_chars=500).collect()}
+    mean = [np.mean([slots[r.doc_id] for r in got if r.sequence_id == s]) for s in range(n)]
+    assert np.corrcoef(mean, range(n))[0, 1] > 0.95
+    for at in range(0, n // 2 - 8, 4):
+        stretch = [r for r in got if at <= r.sequence_id < at + 8]
+        assert sum(r.length for r in stretch if source[r.doc_id] == "hot") < 0.25 * sum(r.length for r in stretch)
+    runs = [[r.doc_id for r in got if r.sequence_id == s] for s in range(n)]
+    plain = packing.pack_documents(docs).collect()
+    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in plain) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) and all(runs)
+    assert corpus_pipeline.best_fit_packing(spark, mixed, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packing.pack_in_order(docs.where("false")).count() == 0
