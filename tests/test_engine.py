@@ -168,3 +168,14 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, oplog.LOG).write.parquet(str(tmp_path / "log"))
     oplog.follow(spark.readStream.schema(oplog.LOG).parquet(str(tmp_path / "log")), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "store/v0")).collect()] == [(1, [1.0])]
+
+
+def test_search_in_blocks_of_queries(spark):
+    from marlstone.operators import collection
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = store.select(store.vec_id.alias("query_id"), store.embedding.alias("qvec"))
+    whole = sorted(map(tuple, collection.top_k(store, queries, 3).collect()))
+    assert len(whole) == 120 and sorted(map(tuple, collection.top_k_blocked(store, queries, 3, most_queries=7).collect())) == whole
+    assert collection.top_k_blocked(store, queries.where("false"), 3).count() == 0
