@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of a bounded labelled text per language (about `docs_per_lang` training documents per language
-chosen by a hash of their id, `budget` characters over all languages) gives longest-match lengths. A text is parsed
+A suffix automaton of a bounded labelled text per language (`share` characters, filled evenly from windows of up to
+`docs_per_lang` training documents chosen by a hash) gives longest-match lengths. Every language of the training rows is
+learned; where there are more than GROUP, their automata are probed in groups. A text is parsed
 greedily into the longest phrases that occur in a language's training text; phrases never cross a word's edge spaces,
 so a distinct word is parsed once per batch however often it occurs. The language with the fewest phrases per character
 wins; ties go to the smaller name. (Weighting a phrase by log2 of the training length would favour languages of which
@@ -18,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 UNKNOWN = "und"
+#: Languages whose automata are probed together.
+GROUP = 16
 
 
 def letters(texts: pa.Array) -> pa.Array:
@@ -32,9 +35,9 @@ def letters(texts: pa.Array) -> pa.Array:
 
 
 class Automaton:
-    """Suffix automaton: moves[state][code] is the next state, -1 if the longer string doesn't occur."""
+    """Suffix automaton of `size` states: from[i], by[i], to[i] are the moves, by state and code."""
 
-    def __init__(self, codes: list[int], alphabet: int):
+    def __init__(self, codes: list[int]):
         moves: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in codes:
@@ -60,46 +63,93 @@ class Automaton:
                         at = link[at]
                     link[to] = link[new] = twin
             last = new
-        self.moves = np.full((len(moves), alphabet), -1, np.int32)
-        for state, out in enumerate(moves):
-            for c, to in out.items():
-                self.moves[state, c] = to
+        self.size = len(moves)
+        many = np.fromiter(map(len, moves), np.int64, len(moves))
+        self.start = np.repeat(np.arange(len(moves)), many)
+        self.by = np.fromiter((c for out in moves for c in out), np.int64, many.sum())
+        self.to = np.fromiter((to for out in moves for to in out.values()), np.int64, many.sum())
 
 
-class Parser:
-    """Phrase counts of words under every language at once."""
+class Group:
+    """Phrase counts of words under some languages at once. dense: a table of moves by state and code, else sorted moves."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], dense: bool):
         self.langs = sorted(texts)
         chars = sorted(set("".join(texts.values())) | {" "})
-        self.code = np.full(0x110000, len(chars), np.int32)
-        self.code[[ord(c) for c in chars]] = np.arange(len(chars))
-        made = [Automaton(self.code[np.frombuffer(texts[x].encode("utf-32-le"), np.uint32)].tolist(), len(chars) + 1).moves for x in self.langs]
-        self.roots = np.concatenate([[0], np.cumsum([len(m) for m in made])[:-1]]).astype(np.int64)
-        self.moves = np.concatenate([np.where(m >= 0, m + r, -1) for m, r in zip(made, self.roots, strict=True)]).astype(np.int32)
+        self.chars = np.array([ord(c) for c in chars], np.uint32)
+        self.alphabet = len(chars) + 1
+        made = [Automaton(self.coded(texts[x]).tolist()) for x in self.langs]
+        self.roots = np.concatenate([[0], np.cumsum([m.size for m in made])[:-1]]).astype(np.int64)
+        key = np.concatenate([(m.start + r) * self.alphabet + m.by for m, r in zip(made, self.roots, strict=True)])
+        to = np.concatenate([m.to + r for m, r in zip(made, self.roots, strict=True)]).astype(np.int32)
+        states = sum(m.size for m in made)
+        self.moves = None
+        if dense and states * self.alphabet <= 1 << 25:
+            self.moves = np.full(states * self.alphabet, -1, np.int32)
+            self.moves[key] = to
+        else:
+            order = np.argsort(key)
+            self.key, self.to = key[order], to[order]
+
+    def coded(self, text: str) -> np.ndarray:
+        """Codes of the characters; one code stands for all that no language has."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
+        return np.where(self.chars[at] == points, at, len(self.chars))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = state * self.alphabet + code
+        if self.moves is not None:
+            return self.moves[key]
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.to[at], -1)
 
     def phrases(self, words: pa.Array) -> np.ndarray:
         """[words, languages]: phrases of each word between its spaces."""
         lens = np.asarray(pc.utf8_length(words)).astype(np.int64) + 2
         order = np.argsort(-lens, kind="stable")
-        flat = self.code[np.frombuffer((" " + "  ".join(words.to_pylist()) + " ").encode("utf-32-le"), np.uint32)]
+        flat = self.coded(" " + "  ".join(words.to_pylist()) + " ")
         starts = (np.cumsum(lens) - lens)[order]
         lens = lens[order]
         count = np.ones((len(lens), len(self.langs)), np.int32)
         state = np.tile(self.roots, (len(lens), 1))
         active = np.searchsorted(-lens, -np.arange(lens[0]), side="left") if len(lens) else []
         for j, n in enumerate(active):
-            c = flat[starts[:n] + j]
-            to = self.moves[state[:n], c[:, None]]
+            c = flat[starts[:n] + j][:, None]
+            to = self.step(state[:n], c)
             stuck = to < 0
             count[:n] += stuck
-            again = self.moves[self.roots[None, :], c[:, None]]
+            again = self.step(self.roots[None, :], c)
             state[:n] = np.where(stuck, np.where(again < 0, self.roots, again), to)
         out = np.empty_like(count)
         out[order] = count
         return out
 
 
+class Parser:
+    """Every language, in groups."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.langs = sorted(texts)
+        self.groups = [Group({x: texts[x] for x in self.langs[at : at + GROUP]}, len(texts) <= GROUP) for at in range(0, len(self.langs), GROUP)]
+
+    def phrases(self, words: pa.Array) -> np.ndarray:
+        return np.concatenate([g.phrases(words) for g in self.groups], 1)
+
+    def best(self, words: pa.Array, index: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each document its language of fewest phrases, their number, and that of the next language (inf if none)."""
+        said, least, second, first = np.zeros(docs, np.int64), np.full(docs, np.inf), np.full(docs, np.inf), 0
+        for g in self.groups:
+            each = g.phrases(words)
+            for k in range(len(g.langs)):
+                cost = np.bincount(doc, weights=each[index, k], minlength=docs)
+                less = cost < least
+                second = np.where(less, least, np.minimum(second, cost))
+                said[less], least = first + k, np.where(less, cost, least)
+            first += len(g.langs)
+        return said, least, second
+
+
 _parsers: dict[tuple, Parser] = {}
 
 
@@ -112,18 +162,20 @@ def parser(texts: dict[str, str]) -> Parser:
     return _parsers[key]
 
 
-def training_texts(docs: DataFrame, docs_per_lang: int = 48, budget: int = 131072, most_langs: int = 64) -> dict[str, str]:
-    """Bounded sample of labelled training text for each of the most frequent languages."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = sorted(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect())
-    if not sizes:
-        return {}
-    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, docs_per_lang / r.n) * (1 << 30)) + 1)])
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut[F.col("lang")]).select("lang", "doc_id", "text").limit(4 * docs_per_lang * len(sizes))
+def training_texts(docs: DataFrame, docs_per_lang: int = 48, share: int = 32768) -> dict[str, str]:
+    """Bounded sample of labelled training text for each language. A document gives a window at a place that its hash
+    chooses, of twice its part of the share."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    some = known.join(F.broadcast(sizes), "lang").where(F.pmod("hash", F.lit(1 << 30)) * F.col("n") <= F.lit(2 * docs_per_lang << 30))
+    size = F.ceil(F.lit(2 * share) / F.least("n", F.lit(docs_per_lang))).cast("int")
+    start = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int")
+    ranked = some.select("lang", "hash", F.substring("text", start + 1, size).alias("text"), (start > 0).alias("cut"))
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))).where(F.col("nth") <= docs_per_lang)
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, -1 if r.doc_id is None else r.doc_id, r.text)):
-        texts.setdefault(r.lang, []).append(" ".join(letters(pa.array([r.text]))[0].as_py().split()))
-    share = budget // len(texts) if texts else 0
+    for r in sorted(ranked.collect(), key=lambda r: (r.lang, r.nth)):
+        words = letters(pa.array([r.text]))[0].as_py()
+        texts.setdefault(r.lang, []).append(" ".join((words.partition(" ")[2] or words if r.cut else words).split()))
     found = {k: f" {' '.join(v)}"[:share].rpartition(" ")[0] + " " for k, v in texts.items()}
     return {k: v for k, v in found.items() if v.strip()}
 
@@ -138,13 +190,10 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
                 offsets, index, words = common.words_of(letters(part.column("text")), lower=False)
                 said, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
                 if parse and len(words):
-                    each = parse.phrases(words)
                     doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                    cost = np.stack([np.bincount(doc, weights=each[index, k], minlength=part.num_rows) for k in range(each.shape[1])], 1)
-                    best = cost.argmin(1)
+                    best, least, second = parse.best(words, index, doc, part.num_rows)
                     said = np.where(np.diff(offsets) > 0, best, -1)
-                    rest = np.sort(cost, 1)
-                    score = np.where(said >= 0, 1 - rest[:, 0] / rest[:, 1], 0.0) if cost.shape[1] > 1 else (said >= 0) * 1.0
+                    score = np.where(said >= 0, 1 - least / np.where(second > 0, second, 1), 0.0)
                 names = pa.array([parse.langs[k] if k >= 0 else UNKNOWN for k in said] if parse else [UNKNOWN] * part.num_rows, pa.string())
                 score = np.nan_to_num(score)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), names, pa.array(score, pa.float64())], [*carry, *out])

@@ -415,3 +415,18 @@ def test_pipeline_packs_in_mixed_order(spark, tmp_path, saved):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in plain) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) and all(runs)
     assert corpus_pipeline.best_fit_packing(spark, mixed, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert packing.pack_in_order(docs.where("false")).count() == 0
+
+
+def test_more_languages_than_a_group(spark):
+    rng = np.random.default_rng(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03d}": ["".join(rng.choice(list(letters), 6)) for _ in range(12)] for k in range(100)}
+    rows = [(i * 100 + k, " ".join(rng.choice(words[x], 20)), x) for i in range(3) for k, x in enumerate(sorted(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = langid.training_texts(df)
+    assert set(texts) == set(words)
+    right = {i: x for i, _, x in rows}
+    assert all(r.lang_pred == right[r.doc_id] and 0 < r.score <= 1 for r in langid.predict(df, texts, "doc_id").collect())
+    dense, sparse = langid.Group(dict(list(texts.items())[:5]), True), langid.Group(dict(list(texts.items())[:5]), False)
+    some = pa.array(["abc", "é", *words["l001"], *words["l050"]])
+    assert (dense.phrases(some) == sparse.phrases(some)).all()
