@@ -162,6 +162,16 @@ def parser(texts: dict[str, str]) -> Parser:
     return _parsers[key]
 
 
+def fill(texts: list[str], share: int) -> str:
+    """At most `share` characters of whole words, as evenly from all texts as their lengths allow."""
+    found, left = {}, share - 1
+    for many, i in zip(range(len(texts), 0, -1), sorted(range(len(texts)), key=lambda i: len(texts[i])), strict=True):
+        take = left // many - 1
+        found[i] = texts[i] if len(texts[i]) <= take else texts[i][: max(take, 0) + 1].rpartition(" ")[0]
+        left -= len(found[i]) + 1
+    return f" {' '.join(x for _, x in sorted(found.items()) if x)} "
+
+
 def training_texts(docs: DataFrame, docs_per_lang: int = 48, share: int = 32768) -> dict[str, str]:
     """Bounded sample of labelled training text for each language. A document gives a window at a place that its hash
     chooses, of twice its part of the share."""
@@ -176,7 +186,7 @@ def training_texts(docs: DataFrame, docs_per_lang: int = 48, share: int = 32768)
     for r in sorted(ranked.collect(), key=lambda r: (r.lang, r.nth)):
         words = letters(pa.array([r.text]))[0].as_py()
         texts.setdefault(r.lang, []).append(" ".join((words.partition(" ")[2] or words if r.cut else words).split()))
-    found = {k: f" {' '.join(v)}"[:share].rpartition(" ")[0] + " " for k, v in texts.items()}
+    found = {k: fill([x for x in v if x], share) for k, v in texts.items()}
     return {k: v for k, v in found.items() if v.strip()}
 
 

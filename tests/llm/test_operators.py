@@ -430,3 +430,11 @@ def test_more_languages_than_a_group(spark):
     dense, sparse = langid.Group(dict(list(texts.items())[:5]), True), langid.Group(dict(list(texts.items())[:5]), False)
     some = pa.array(["abc", "é", *words["l001"], *words["l050"]])
     assert (dense.phrases(some) == sparse.phrases(some)).all()
+
+
+def test_training_text_is_of_all_sampled_documents(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(i, f"{word(i)} " * (20_000 if i < 3 else 400), lang) for i in range(40) for lang in ("xx", "yy")]
+    texts = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for t in texts.values():
+        assert set(t.split()) == {word(i) for i in range(40)} and 0.9 * 32768 < len(t) <= 32768 and t[0] == t[-1] == " "
