@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import common, langid, mixing, packing, pii, simhash
+from marlstone.llm import common, langid, mixing, nearcopies, packing, pii
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +16,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows that repeat an id and its text are one document, and
+    """Texts at a similarity of 0.8 or more by sets of five words are near copies: more than SimHash's three bits of op8
+    can tell. The document with the smallest id of each group stays; rows that repeat an id and its text are one document, and
     rows without an id stay, since nothing could name them."""
-    groups = simhash.simhash_components(docs)
+    groups = nearcopies.near_components(docs)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

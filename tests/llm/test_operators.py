@@ -438,3 +438,34 @@ def test_training_text_is_of_all_sampled_documents(spark):
     texts = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     for t in texts.values():
         assert set(t.split()) == {word(i) for i in range(40)} and 0.9 * 32768 < len(t) <= 32768 and t[0] == t[-1] == " "
+
+
+def test_near_copies_of_five_words(spark, docs):
+    from marlstone.llm import nearcopies
+
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(5000)])
+    texts = []
+    for i in range(30):
+        base = rng.choice(vocabulary, 400)
+        copy = base.copy()
+        many = (1, 4, 7, 40)[i % 4]
+        copy[rng.choice(400, many, replace=False)] = "other"
+        texts += [base, copy]
+    texts += [texts[0]] * 3 + [np.append(texts[2][k:], vocabulary[: k % 3]) for k in range(25)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(label)
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    got = nearcopies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label)) and len(got) == len(rows)
+    assert sum(label[i + 1] == label[i] for i in range(0, 60, 2)) >= 16
+    comp = {r.doc_id: r.component_id for r in nearcopies.near_components(docs).collect()}
+    assert len(comp) == len({r[0] for r in DOCS}) and comp[0] == comp[1] and comp[4] == comp[3] == 3
+    assert nearcopies.near_components(docs.where("false")).count() == 0
