@@ -7,8 +7,10 @@ released blocks gives every source, at every slot, less than one block more or l
 repeats every Q slots, so the driver makes one period and each block computes its slot. When a source runs out, the
 others go on by their shares: a new phase with a new period. Nothing is dropped or repeated.
 
-The driver holds one row per stream: the `streams` largest sources, and one for all others together if there are more.
-Prefix sums are taken within (stream, bucket of the hash) and then over the buckets, so a large source is spread.
+Every source is scheduled. Those with a given share and the `streams` largest are streams of their own. If there are more,
+the others are dealt by a hash to at most `streams` groups; a group is one stream with the sum of its sources' weights,
+and its own blocks are dealt to its sources by Pfair once more. The driver holds one row per source.
+Prefix sums are taken within (source, bucket of the hash) and then over the buckets, so a large source is spread.
 
 Edge cases: a null source is a source of its own, a null text has no characters but still counts one, null and repeated
 ids are ordered by their text; an empty table gives an empty result; other columns pass through.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,42 +68,77 @@ def phases(blocks: dict[int, int], shares: dict[int, int]) -> list[tuple[int, in
 
 def default_shares(chars: dict[int, int], total: int = 1000) -> dict[int, int]:
     """In proportion to the root of the size: small sources weigh more than their part."""
-    roots = {s: math.sqrt(c) for s, c in chars.items()}
-    return {s: max(1, round(total * r / sum(roots.values()))) for s, r in roots.items()}
+    return shares_of({s: math.sqrt(c) for s, c in chars.items()}, total)
+
+
+def shares_of(weights: dict[int, float], total: int = 1000) -> dict[int, int]:
+    return {s: max(1, round(total * w / sum(weights.values()))) for s, w in weights.items()}
+
+
+def whole_shares(weights: dict[int, float], total: int) -> dict[int, int]:
+    """The same with the sum `total` exactly, which is the number of weights at least."""
+    part = {s: (total - len(weights)) * w / sum(weights.values()) for s, w in weights.items()}
+    out = {s: 1 + int(x) for s, x in part.items()}
+    for s in sorted(part, key=lambda s: (int(part[s]) - part[s], s))[: total - sum(out.values())]:
+        out[s] += 1
+    return out
 
 
 def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = 1 << 16, streams: int = 64) -> DataFrame:
-    """docs (doc_id, text, source, ...) with __mix_block and __mix_slot: their block in the stream, and its slot."""
+    """docs (doc_id, text, source, ...) with __mix_block and __mix_slot: their block in the source, and its slot. shares:
+    of sources by name ("" is the null source), 1 if it isn't there; "*" is that of all grouped sources together."""
     spark = docs.sparkSession
     columns = docs.columns
     source = F.struct(F.col("source").cast("string").alias("name"))
     cost = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
     sizes = docs.select(source.alias("source"), cost.alias("cost")).groupBy("source").agg(F.sum("cost").alias("chars"))
-    top = sizes.orderBy(F.desc("chars"), F.col("source.name").asc_nulls_first()).limit(streams + 1).collect()
-    named = [r.source.name for r in top[:streams]]
-    stream = F.lit(len(named)) if len(top) > streams else F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(named))):
-        stream = F.when(F.col("source").cast("string").eqNullSafe(F.lit(name)), i).otherwise(stream)
+    every = sorted(((r.source.name, r.chars) for r in sizes.collect()), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    own = [n for i, (n, _) in enumerate(every) if i < streams or shares and (n or "") in shares]
+    rest = [x for x in every if x[0] not in set(own)]
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+    name = lambda n: "" if n is None else f"s{n}"
+    groups: dict[int, list[int]] = {}
+    many = min(streams, -(-len(rest) // streams))
+    for i, (n, _) in enumerate(rest):
+        groups.setdefault(len(own) + zlib.crc32(name(n).encode()) % many, []).append(i)
+    ceil = lambda c: (c - 1) // block_chars + 1
+    # streams of the upper level, and within a group the places of its sources
+    blocks = {i: ceil(c) for i, c in enumerate(dict(every)[n] for n in own)} | {g: sum(ceil(rest[i][1]) for i in x) for g, x in groups.items()}
+    roots = {g: sum(math.sqrt(rest[i][1]) for i in x) for g, x in groups.items()}
+    if shares:
+        scale = 1000 if groups else 1
+        given = {i: scale * shares.get("" if n is None else n, 1) for i, n in enumerate(own)} | (whole_shares(roots, scale * shares.get("*", 1)) if groups else {})
+    else:
+        given = shares_of({i: math.sqrt(dict(every)[n]) for i, n in enumerate(own)} | roots)
+    made = phases(blocks, given)
+    within = [(name(n), i, 0, blocks[i], 0, 1, [0]) for i, n in enumerate(own)]
+    for g, x in sorted(groups.items()):
+        inner = phases({i: ceil(rest[i][1]) for i in x}, default_shares({i: rest[i][1] for i in x}))
+        within += [(name(rest[i][0]), g, *row) for i, *row in inner]
+
     hashed = F.xxhash64("doc_id")
-    rows = docs.select("*", stream.alias(f"{OWN}stream"), hashed.alias(f"{OWN}hash"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias(f"{OWN}bucket"), cost.alias(f"{OWN}cost"), F.xxhash64("text").alias(f"{OWN}tie"))
-    totals = rows.groupBy(f"{OWN}stream", f"{OWN}bucket").agg(F.sum(f"{OWN}cost").alias("chars")).collect()  # (streams + 1) * BUCKETS at most
-    bases, chars = [], {}
-    for r in sorted(totals):
-        bases.append((r[0], r[1], chars.get(r[0], 0)))
-        chars[r[0]] = chars.get(r[0], 0) + r.chars
-    given = {i: shares.get("" if n is None else n, 1) for i, n in enumerate(named)} | {len(named): shares.get("*", 1)} if shares else default_shares(chars)
-    made = phases({s: (c - 1) // block_chars + 1 for s, c in chars.items()}, given)
-    base = spark.createDataFrame(bases, f"{OWN}stream int, {OWN}bucket int, {OWN}base long")
-    plan = spark.createDataFrame(made, f"{OWN}stream int, {OWN}first long, {OWN}end long, {OWN}from long, {OWN}period long, {OWN}places array<long>")
-    inner = Window.partitionBy(f"{OWN}stream", f"{OWN}bucket").orderBy(f"{OWN}hash", "doc_id", f"{OWN}tie")
+    rows = docs.select("*", key.alias(f"{OWN}key"), hashed.alias(f"{OWN}hash"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias(f"{OWN}bucket"), cost.alias(f"{OWN}cost"), F.xxhash64("text").alias(f"{OWN}tie"))
+    sums = rows.groupBy(f"{OWN}key", f"{OWN}bucket").agg(F.sum(f"{OWN}cost").alias(f"{OWN}chars"))
+    up_to = Window.partitionBy(f"{OWN}key").orderBy(f"{OWN}bucket").rowsBetween(Window.unboundedPreceding, 0)
+    base = sums.withColumn(f"{OWN}base", F.sum(f"{OWN}chars").over(up_to) - F.col(f"{OWN}chars")).drop(f"{OWN}chars")
+    base = F.broadcast(base) if not groups else base  # streams * BUCKETS rows at most
+    inner = Window.partitionBy(f"{OWN}key", f"{OWN}bucket").orderBy(f"{OWN}hash", "doc_id", f"{OWN}tie")
     rows = rows.withColumn(f"{OWN}inner", F.sum(f"{OWN}cost").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(F.broadcast(base), [f"{OWN}stream", f"{OWN}bucket"])
+    rows = rows.join(base, [f"{OWN}key", f"{OWN}bucket"])
     rows = rows.withColumn(f"{OWN}block", F.floor((F.col(f"{OWN}base") + F.col(f"{OWN}inner") - F.col(f"{OWN}cost")) / block_chars))
-    p = plan.withColumnRenamed(f"{OWN}stream", f"{OWN}s")
-    rows = rows.join(F.broadcast(p), (F.col(f"{OWN}stream") == F.col(f"{OWN}s")) & (F.col(f"{OWN}block") >= F.col(f"{OWN}first")) & (F.col(f"{OWN}block") < F.col(f"{OWN}end")))
-    nth, many = F.col(f"{OWN}block") - F.col(f"{OWN}first"), F.size(f"{OWN}places")
-    slot = F.col(f"{OWN}from") + F.floor(nth / many) * F.col(f"{OWN}period") + F.element_at(f"{OWN}places", (nth % many + 1).cast("int"))
-    return rows.select(*columns, F.col(f"{OWN}block").cast("long").alias(f"{OWN}block"), slot.cast("long").alias(f"{OWN}slot"), f"{OWN}hash")
+
+    def placed(rows: DataFrame, plan: DataFrame, by: str, at: str, out: str) -> DataFrame:
+        """rows with the slot `out` of their block `at` by the plan of their `by`."""
+        p = plan.withColumnRenamed(by, f"{OWN}by")
+        rows = rows.join(F.broadcast(p), (F.col(by) == F.col(f"{OWN}by")) & (F.col(at) >= F.col(f"{OWN}first")) & (F.col(at) < F.col(f"{OWN}end")))
+        nth, size = F.col(at) - F.col(f"{OWN}first"), F.size(f"{OWN}places")
+        slot = F.col(f"{OWN}from") + F.floor(nth / size) * F.col(f"{OWN}period") + F.element_at(f"{OWN}places", (nth % size + 1).cast("int"))
+        return rows.withColumn(out, slot.cast("long")).drop(f"{OWN}by", f"{OWN}first", f"{OWN}end", f"{OWN}from", f"{OWN}period", f"{OWN}places")
+
+    kinds = f"{OWN}first long, {OWN}end long, {OWN}from long, {OWN}period long, {OWN}places array<long>"
+    rows = placed(rows, spark.createDataFrame(within, f"{OWN}key string, {OWN}stream int, {kinds}"), f"{OWN}key", f"{OWN}block", f"{OWN}nth")
+    rows = placed(rows, spark.createDataFrame(made, f"{OWN}stream int, {kinds}"), f"{OWN}stream", f"{OWN}nth", f"{OWN}slot")
+    return rows.select(*columns, F.col(f"{OWN}block").cast("long").alias(f"{OWN}block"), f"{OWN}slot", f"{OWN}hash")
 
 
 def mixed_order(docs: DataFrame, **settings) -> DataFrame:

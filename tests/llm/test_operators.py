@@ -469,3 +469,25 @@ def test_near_copies_of_five_words(spark, docs):
     comp = {r.doc_id: r.component_id for r in nearcopies.near_components(docs).collect()}
     assert len(comp) == len({r[0] for r in DOCS}) and comp[0] == comp[1] and comp[4] == comp[3] == 3
     assert nearcopies.near_components(docs.where("false")).count() == 0
+
+
+def test_every_source_is_scheduled(spark):
+    rows = [(i, "x" * 9, f"s{i % 300:03d}" if i % 300 else None) for i in range(6000)] + [(6000 + i, "x" * 9, "big") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_chars=10, streams=8, shares={"s123": 20, "big": 40, "*": 220}).collect()
+    assert sorted(r["__mix_slot"] for r in got) == list(range(9000))
+    by = {}
+    for r in sorted(got, key=lambda r: r["__mix_slot"]):
+        by.setdefault(r.source, []).append((r["__mix_slot"], r["__mix_block"]))
+    assert all([b for _, b in x] == list(range(len(x))) for x in by.values())
+    # big, s123, the 7 largest others at 1 each, and the groups at 220 together
+    total = 40 + 20 + 7 + 220
+    done = [s for s, _ in by["s123"]]
+    assert all(abs(k - (s + 1) * 20 / total) < 1 for k, s in enumerate(done, 1))
+    # until s123 runs out, each grouped source has less than two blocks more or less than its own weight's part
+    alone = [x for n, x in by.items() if len(x) == 20 and n not in ("s123", "big")]
+    pooled = sorted(alone, key=lambda x: x[0][0])
+    few = sum(sum(s <= done[-1] for s, _ in x) for x in pooled)
+    assert abs(few - (done[-1] + 1) * 227 / total) < 12
+    assert sum(abs(sum(s <= done[-1] for s, _ in x) - few / len(pooled)) < 2 for x in pooled) > 0.9 * len(pooled)
+    assert mixing.whole_shares({1: 1.0, 2: 3.0, 3: 3.0}, 10) == {1: 2, 2: 4, 3: 4}
