@@ -63,6 +63,28 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """The fold of what stands before each element of an array, by an associative `add`. An array grows by copies, so it is
+    done within blocks and over the blocks' folds: for n values about n * block / 2 + (n / block) ** 2 / 2 copies."""
+
+    def grown(seed: Column, some: Column) -> Column:
+        return F.aggregate(some, F.array(seed), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def of(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        part = lambda s: F.slice(v, s + 1, F.lit(block))
+        sums = F.transform(starts, lambda s: F.aggregate(part(s), zero, add))
+        inner = lambda base, s: let(grown(base, part(s)), lambda g: F.slice(g, F.lit(1), F.size(g) - 1))
+        return let(grown(zero, sums), lambda bases: F.flatten(F.transform(starts, lambda s, i: inner(bases[i], s))))
+
+    return let(values, of)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows holding about `limit` bytes of text each (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)

@@ -1,9 +1,9 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base spans are the validated matches of four patterns. Candidates for more come from wider patterns (emails spelt with
-`at` and `dot`, local phone numbers, social security numbers). Every candidate, base or not, gets votes (1, 0, or 2 for
+`at` and `dot`, local phone numbers, social security numbers, persons, streets). Every candidate, base or not, gets votes (1, 0, or 2 for
 abstention) from a regex labeler (strict form), a gazetteer labeler (top-level domains, calling codes, card issuers,
-reserved networks) and a context labeler (cue words before the span). Expectation-maximisation over the counted vote
+reserved networks, given names and forms of address, street words) and a context labeler (cue words before and after the span). Expectation-maximisation over the counted vote
 patterns (a table of bounded size) estimates each labeler's reliability and each candidate's probability; those
 probabilities train the final span classifier, a naive Bayes over span features. Candidates that it accepts are added;
 base spans stay whatever it says.
@@ -26,7 +26,11 @@ from . import common
 
 #: Kinds in the order of reports, the base ones first.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("email_spelt", "phone_local", "ssn")
+ADDED = ("email_spelt", "phone_local", "ssn", "person", "street")
+#: Gazetteers of the wider kinds.
+HONOURS = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Señor|Señora"
+GIVEN = "James|John|Robert|Michael|David|William|Richard|Thomas|Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Sarah|Karen|Anna|Maria|Peter|Paul|Hans|Klaus|Pierre|Jean|Marie|Juan|Carlos|Ahmed|Wei|Yuki"
+WAYS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Place"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -35,34 +39,40 @@ PATTERNS = {
     "email_spelt": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "person": rf"\b(?:(?:{HONOURS})\.? |(?:{GIVEN}) )(?:[A-Z]\. ?)?[A-Z][a-z]++(?:[ -][A-Z][a-z]++)?",
+    "street": rf"\b[0-9]{{1,5}} (?:[A-Z][a-z]++ ){{1,3}}(?:{WAYS})\b\.?",
 }
 #: Tested before a pattern is tried: a text without it has no match.
-GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "email_spelt": r"(?i)\bdot\b", "phone_local": "[0-9]{3}[ .-][0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]"}
-CUES = {"email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address|client|login", "card": "card|visa|master|amex|credit|debit|paid", "phone": "phone|tel|call|mobile|cell|fax|contact", "ssn": r"ssn|social|security"}
+GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "email_spelt": r"(?i)\bdot\b", "phone_local": "[0-9]{3}[ .-][0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "person": rf"\b(?:{HONOURS}|{GIVEN})\b", "street": rf" (?:{WAYS})\b"}
+CUES = {"email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address|client|login", "card": "card|visa|master|amex|credit|debit|paid", "phone": "phone|tel|call|mobile|cell|fax|contact", "ssn": r"ssn|social|security", "person": r"\bname\b|dear|regards|signed|author|contact|attn|from|by\b|i am|i'm", "street": r"address|lives?\b|live at|ship|deliver|mail|office|located|visit"}
 AGAINST = r"version|release|order|invoice|isbn|ticket|serial|part no|section|chapter|figure"
+AFTER = r"^\W*(?:is|was|are) (?:my|our|his|her|the) (?:e?-?mail|address|phone|number|card|server)"
 DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "de", "fr", "es", "uk", "eu", "us", "ca", "it", "nl", "ch", "at", "se", "pl", "ru", "cn", "jp", "br", "in", "au")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4[4-9])|3(?:0|6|8)|35|62)"
 RESERVED = r"^(?:0|127|255|22[4-9]|23[0-9]|24[0-9])\."
 LABELERS = ("regex", "gazetteer", "context")
 ABSTAIN = 2
-SPAN = "array<struct<start:int,end:int,m:string>>"
+SPAN = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
+#: Characters of context on either side, up to the next match of the same kind.
+NEAR = 32
+#: Stands around matches while a text is cut; where a text has it itself, it reads as MARK_READ, which is in no match.
+MARK, MARK_READ = "\ue000", "\ue001"
 
 
 def found(text: Column, kind: str) -> Column:
-    """Leftmost non-overlapping matches of a kind's pattern: array of (start, end, m)."""
-    pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    both = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    none = F.array().cast(SPAN)
+    """Leftmost non-overlapping matches of a kind's pattern with what stands around them. The text is searched once and cut
+    at its matches; nothing is looked up by its place in the whole text, so the cost is linear in text and matches."""
+    cut = F.split(F.regexp_replace(F.translate(text, MARK, MARK_READ), f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("spans"))
+    def spans(parts: Column) -> Column:
+        ends = common.running(F.transform(parts, F.length), F.lit(0), lambda a, b: a + b)
+        gap = lambda x: F.struct(F.right(x, F.lit(NEAR)).alias("before"), F.left(x, F.lit(NEAR)).alias("after"))
+        n = F.size(parts)
+        every = F.arrays_zip(F.slice(parts, 2, n - 1).alias("m"), F.slice(ends, 2, n - 1).alias("start"), F.transform(F.slice(parts, F.lit(1), n - 1), gap).alias("left"), F.transform(F.slice(parts, 3, n - 1), gap).alias("right"))
+        at = F.transform(F.filter(every, lambda x, i: i % 2 == 0), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["left"]["before"].alias("before"), F.coalesce(x["right"]["after"], F.lit("")).alias("after")))
+        return at
 
-    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(GUARDS[kind]), spans).otherwise(none)
+    return F.when(text.rlike(GUARDS[kind]), common.let(cut, spans)).otherwise(F.array().cast(SPAN))
 
 
 def digits(m: Column) -> Column:
@@ -88,7 +98,7 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def votes(kind: str, text: Column, x: Column) -> list[Column]:
+def votes(kind: str, x: Column) -> list[Column]:
     """Votes of LABELERS on a candidate."""
     m, d = x["m"], digits(x["m"])
     yes_no = lambda c: F.when(c, 1).otherwise(0)
@@ -101,24 +111,28 @@ def votes(kind: str, text: Column, x: Column) -> list[Column]:
         "email_spelt": m.rlike(r"(?i)(?:\[|\()(?:at|dot)(?:\]|\))"),
         "phone_local": m.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9]"),
         "ssn": ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
+        "person": F.size(F.split(m, "[ -]")) >= 3,
+        "street": m.rlike(rf"^[1-9].* (?:{WAYS})\.?$"),
     }[kind]
     listed = {
         "email": F.when(F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS), 1).otherwise(ABSTAIN),
         "ip": F.when(m.rlike(RESERVED), 0).otherwise(ABSTAIN),
         "card": yes_no(d.rlike(ISSUERS)),
         "phone": F.when(m.rlike(r"^\+[1-9]"), 1).otherwise(0),
-        "ssn": F.lit(ABSTAIN),
+        "ssn": F.when(F.substring(m, 1, 3).cast("int") < 773, 1).otherwise(ABSTAIN),
+        "person": F.when(m.rlike(rf"^(?:{HONOURS})\b.* [A-Z]"), 1).when(m.rlike(rf"^(?:{GIVEN}) "), 1).otherwise(ABSTAIN),
+        "street": F.when(m.rlike("(?:Street|Road|Avenue|Boulevard|Lane|Drive)$"), 1).otherwise(ABSTAIN),
     }[base]
-    before = F.lower(F.substring(text, F.greatest(x["start"] - 31, F.lit(1)), F.least(x["start"], F.lit(32))))
-    around = F.when(before.rlike(AGAINST), 0).when(before.rlike(CUES[base]), 1).otherwise(ABSTAIN)
+    before, after = F.lower(x["before"]), F.lower(x["after"])
+    around = F.when(before.rlike(AGAINST), 0).when(before.rlike(CUES[base]) | after.rlike(AFTER), 1).otherwise(ABSTAIN)
     return [yes_no(strict), listed, around]
 
 
-def candidates(text: Column, kind: str, spans: Column) -> Column:
+def candidates(kind: str, spans: Column) -> Column:
     def of(x: Column) -> Column:
         n = F.least(F.length(digits(x["m"])), F.lit(20))
         keep = valid(kind, x["m"]) if kind in BASE else F.lit(False)
-        v = votes(kind, text, x)
+        v = votes(kind, x)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), keep.alias("base"), *(c.cast("int").alias(n_) for c, n_ in zip(v, LABELERS, strict=True)), n.alias("digits"))
 
     return F.transform(spans, of)
@@ -127,7 +141,7 @@ def candidates(text: Column, kind: str, spans: Column) -> Column:
 def with_candidates(docs: DataFrame, text: str, out: str = "__pii_cands") -> DataFrame:
     """docs with an array of candidates of all kinds."""
     raw = docs.select("*", *(found(F.col(text), k).alias(f"__pii_{k}") for k in PATTERNS))
-    every = F.concat(*(candidates(F.col(text), k, F.col(f"__pii_{k}")) for k in PATTERNS))
+    every = F.concat(*(candidates(k, F.col(f"__pii_{k}")) for k in PATTERNS))
     return raw.select(*docs.columns, every.alias(out))
 
 
@@ -154,7 +168,7 @@ def features(x: Column) -> dict[str, Column]:
 def fit(docs: DataFrame, text: str = "text", rounds: int = 40) -> Model:
     """Reliabilities by expectation-maximisation over counted vote patterns, then the classifier's weights."""
     spans = with_candidates(docs.select(F.col(text).alias("text")), "text").select(F.explode("__pii_cands").alias("x")).select("x.*")
-    table = spans.groupBy("kind", *LABELERS, "digits").agg(F.count("*").alias("n")).collect()  # 7 kinds * 27 votes * 21 at most
+    table = spans.groupBy("kind", *LABELERS, "digits").agg(F.count("*").alias("n")).collect()  # 9 kinds * 27 votes * 21 at most
     trust = dict.fromkeys(LABELERS, 0.8)
     prior = dict.fromkeys(PATTERNS, 0.6)
     chance: list[float] = []
@@ -196,18 +210,24 @@ def label(docs: DataFrame, model: Model, text: str = "text", out: str = "spans")
     return df.select(*docs.columns, spans.alias(out))
 
 
-def redact(text: Column, spans: Column) -> Column:
+def redact(text: Column, spans: Column, block: int = 64) -> Column:
     """text with every span replaced by its kind in angle brackets; of overlapping spans the first is named."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        parts = F.when(fresh, F.concat(acc["parts"], F.array(kept, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), parts.alias("parts"))
+    def of(xs: Column) -> Column:
+        done = common.running(F.transform(xs, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))  # how far the spans before reach
+        return common.let(F.zip_with(xs, done, lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))), pieces)
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    def pieces(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(xs) - 1, F.lit(block))
+        last = F.greatest(F.element_at(xs, -1)["at"], F.element_at(xs, -1)["end"])
+        # a text is cut for a block of spans first, since a cut costs its distance from the text's start
+        cut = F.transform(starts, lambda s: common.let(F.slice(xs, s + 1, F.lit(block)), lambda some: common.let(F.substring(text, some[0]["at"] + 1, F.element_at(some, -1)["start"] - some[0]["at"]), lambda near: F.array_join(F.transform(some, lambda x: one(x, near, some[0]["at"])), ""))))
+        return F.concat(F.array_join(cut, ""), F.substring(text, last + 1, F.length(text)))
+
+    def one(x: Column, near: Column, base: Column) -> Column:
+        return F.when(x["start"] >= x["at"], F.concat(F.substring(near, x["at"] - base + 1, x["start"] - x["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+
+    return F.when(F.size(spans) > 0, common.let(spans, of)).otherwise(text)
 
 
 def told(spans: Column) -> Column:
