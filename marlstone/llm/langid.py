@@ -2,14 +2,18 @@
 
 A suffix automaton of a bounded labelled text per language (`share` characters, filled evenly from windows of up to
 `docs_per_lang` training documents chosen by a hash) gives longest-match lengths. Every language of the training rows is
-learned; where there are more than GROUP, their automata are probed in groups. A text is parsed
-greedily into the longest phrases that occur in a language's training text; phrases never cross a word's edge spaces,
-so a distinct word is parsed once per batch however often it occurs. The language with the fewest phrases per character
-wins; ties go to the smaller name. (Weighting a phrase by log2 of the training length would favour languages of which
-only a few words are known.)
-
-Edge cases: a text that is null or has no letter, and any text when nothing could be learned, gets `und` with score 0;
-training rows with a null lang or text are ignored; an empty table gives an empty result; other columns are ignored.
+learned; where there are more than GROUP, their automata are probed in groups. A whole text is parsed greedily, from left
+to right and across words, into the longest phrases that occur in a language's training text; a character that the
+language lacks is a phrase of its own. The language with the fewest phrases per character wins; ties go to the smaller
+name. (Weighting a phrase by log2 of the training length would favour languages of which only a few words are known.)
+
+A text is cut into segments that are parsed side by side, each as if a phrase began with it. Then the parse that comes
+over a segment's edge is followed until it begins a phrase where the segment's own parse begins one: from there on both
+are the same, so the counts are those of one parse of the whole text.
+
+Edge cases: a text that is null or has no letter (marks alone are none), and any text when nothing could be learned, gets
+`und` with score 0; training rows with a null lang or text are ignored; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from . import common
 UNKNOWN = "und"
 #: Languages whose automata are probed together.
 GROUP = 16
+#: Characters of a segment.
+SEGMENT = 1024
 
 
 def letters(texts: pa.Array) -> pa.Array:
@@ -71,7 +77,8 @@ class Automaton:
 
 
 class Group:
-    """Phrase counts of words under some languages at once. dense: a table of moves by state and code, else sorted moves."""
+    """Phrase counts of texts under some languages at once. dense: a table of moves by state and code, else sorted moves.
+    A move that isn't there leads, as its complement, to the state after the character alone."""
 
     def __init__(self, texts: dict[str, str], dense: bool):
         self.langs = sorted(texts)
@@ -79,13 +86,18 @@ class Group:
         self.chars = np.array([ord(c) for c in chars], np.uint32)
         self.alphabet = len(chars) + 1
         made = [Automaton(self.coded(texts[x]).tolist()) for x in self.langs]
-        self.roots = np.concatenate([[0], np.cumsum([m.size for m in made])[:-1]]).astype(np.int64)
+        sizes = [m.size for m in made]
+        self.roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
         key = np.concatenate([(m.start + r) * self.alphabet + m.by for m, r in zip(made, self.roots, strict=True)])
         to = np.concatenate([m.to + r for m, r in zip(made, self.roots, strict=True)]).astype(np.int32)
-        states = sum(m.size for m in made)
+        # by language and code: the complement of the state after the character alone
+        self.alone = np.repeat(~self.roots[:, None], self.alphabet, axis=1)
+        for k, (m, r) in enumerate(zip(made, self.roots, strict=True)):
+            first = m.start == 0
+            self.alone[k, m.by[first]] = ~(m.to[first] + r).astype(np.int32)
         self.moves = None
-        if dense and states * self.alphabet <= 1 << 25:
-            self.moves = np.full(states * self.alphabet, -1, np.int32)
+        if dense and sum(sizes) * self.alphabet <= 1 << 25:
+            self.moves = np.concatenate([np.tile(self.alone[k], n) for k, n in enumerate(sizes)])
             self.moves[key] = to
         else:
             order = np.argsort(key)
@@ -95,34 +107,55 @@ class Group:
         """Codes of the characters; one code stands for all that no language has."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
-        return np.where(self.chars[at] == points, at, len(self.chars))
+        return np.where(self.chars[at] == points, at, len(self.chars)).astype(np.int32)
 
-    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        key = state * self.alphabet + code
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[lanes, languages] states after the codes [lanes], and whether a phrase begins with them."""
         if self.moves is not None:
-            return self.moves[key]
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.to[at], -1)
-
-    def phrases(self, words: pa.Array) -> np.ndarray:
-        """[words, languages]: phrases of each word between its spaces."""
-        lens = np.asarray(pc.utf8_length(words)).astype(np.int64) + 2
-        order = np.argsort(-lens, kind="stable")
-        flat = self.coded(" " + "  ".join(words.to_pylist()) + " ")
-        starts = (np.cumsum(lens) - lens)[order]
-        lens = lens[order]
-        count = np.ones((len(lens), len(self.langs)), np.int32)
-        state = np.tile(self.roots, (len(lens), 1))
-        active = np.searchsorted(-lens, -np.arange(lens[0]), side="left") if len(lens) else []
-        for j, n in enumerate(active):
-            c = flat[starts[:n] + j][:, None]
-            to = self.step(state[:n], c)
-            stuck = to < 0
-            count[:n] += stuck
-            again = self.step(self.roots[None, :], c)
-            state[:n] = np.where(stuck, np.where(again < 0, self.roots, again), to)
-        out = np.empty_like(count)
-        out[order] = count
+            to = self.moves[state * np.int32(self.alphabet) + code[:, None]]
+        else:
+            key = state * np.int64(self.alphabet) + code[:, None]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            to = np.where(self.key[at] == key, self.to[at], self.alone[:, code].T)
+        begins = (to < 0) | (state == self.roots)
+        return to ^ (to >> 31), begins
+
+    def phrases(self, texts: list[str], segment: int = SEGMENT) -> np.ndarray:
+        """[texts, languages]: phrases of each whole text."""
+        flat = self.coded("".join(texts))
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        parts = -(-lens // segment)
+        first = np.cumsum(parts) - parts
+        nth = np.arange(parts.sum()) - np.repeat(first, parts)
+        starts = np.repeat(np.cumsum(lens) - lens, parts) + nth * segment
+        size = np.minimum(np.repeat(lens, parts) - nth * segment, segment)
+        count = np.zeros((len(starts), len(self.langs)), np.int64)
+        last = np.empty((len(starts), len(self.langs)), np.int32)
+        begins = np.zeros((len(flat), len(self.langs)), bool)
+        order = np.argsort(-size, kind="stable")
+        at, state = starts[order], np.tile(self.roots, (len(order), 1))
+        some = np.zeros(state.shape, np.int32)
+        for j, n in enumerate(np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")):
+            state[:n], new = self.step(state[:n], flat[at[:n] + j])
+            begins[at[:n] + j] = new
+            some[:n] += new
+        count[order], last[order] = some, state
+        for k in range(1, int(parts.max(initial=0))):
+            lanes = first[parts > k] + k
+            state, met = last[lanes - 1].copy(), np.zeros((len(lanes), len(self.langs)), bool)
+            for j in range(segment):
+                open_ = ~met & (j < size[lanes])[:, None]
+                rows = np.flatnonzero(open_.any(1))
+                if not len(rows):
+                    break
+                place = starts[lanes[rows]] + j
+                state[rows], new = self.step(state[rows], flat[place])
+                own = begins[place]
+                count[lanes[rows]] += np.where(open_[rows], new.astype(np.int64) - own, 0)
+                met[rows] |= open_[rows] & new & own
+            last[lanes] = np.where(met, last[lanes], state)
+        out = np.zeros((len(lens), len(self.langs)), np.int64)
+        np.add.at(out, np.repeat(np.arange(len(lens)), parts), count)
         return out
 
 
@@ -133,16 +166,16 @@ class Parser:
         self.langs = sorted(texts)
         self.groups = [Group({x: texts[x] for x in self.langs[at : at + GROUP]}, len(texts) <= GROUP) for at in range(0, len(self.langs), GROUP)]
 
-    def phrases(self, words: pa.Array) -> np.ndarray:
-        return np.concatenate([g.phrases(words) for g in self.groups], 1)
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([g.phrases(texts) for g in self.groups], 1)
 
-    def best(self, words: pa.Array, index: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each document its language of fewest phrases, their number, and that of the next language (inf if none)."""
-        said, least, second, first = np.zeros(docs, np.int64), np.full(docs, np.inf), np.full(docs, np.inf), 0
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its language of fewest phrases, their number, and that of the next language (inf if none)."""
+        said, least, second, first = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.full(len(texts), np.inf), 0
         for g in self.groups:
-            each = g.phrases(words)
+            each = g.phrases(texts)
             for k in range(len(g.langs)):
-                cost = np.bincount(doc, weights=each[index, k], minlength=docs)
+                cost = each[:, k].astype(float)
                 less = cost < least
                 second = np.where(less, least, np.minimum(second, cost))
                 said[less], least = first + k, np.where(less, cost, least)
@@ -196,14 +229,13 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = parser(texts) if texts else None
         for batch in batches:
-            for part in common.slices(batch, "text", 6 << 20):
-                offsets, index, words = common.words_of(letters(part.column("text")), lower=False)
+            for part in common.slices(batch, "text", 4 << 20):
                 said, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
-                if parse and len(words):
-                    doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                    best, least, second = parse.best(words, index, doc, part.num_rows)
-                    said = np.where(np.diff(offsets) > 0, best, -1)
-                    score = np.where(said >= 0, 1 - least / np.where(second > 0, second, 1), 0.0)
+                some = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(part.column("text"), r"\p{L}"), False)))
+                if parse and len(some):
+                    texts_ = [f" {x.strip()} " for x in letters(part.column("text").take(pa.array(some))).to_pylist()]
+                    best, least, second = parse.best(texts_)
+                    said[some], score[some] = best, 1 - least / np.where(second > 0, second, 1)
                 names = pa.array([parse.langs[k] if k >= 0 else UNKNOWN for k in said] if parse else [UNKNOWN] * part.num_rows, pa.string())
                 score = np.nan_to_num(score)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), names, pa.array(score, pa.float64())], [*carry, *out])
