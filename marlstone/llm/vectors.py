@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +21,11 @@ def cast(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
 
 
-def common_length(df: DataFrame) -> int:
-    """The most frequent length of usable vectors (ties: the longer); vectors of other lengths take no part."""
-    top = df.where(usable(F.col("v"))).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return top[0].n if top else 0
-
-
-def taking_part(dim: int) -> Column:
-    return usable(F.col("v")) & (F.size("v") == dim)
+def by_length(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch for each length of its vectors."""
+    lens = np.asarray(pc.list_value_length(batch.column(column)))
+    for n in np.unique(lens).tolist():
+        yield n, batch.take(pa.array(np.flatnonzero(lens == n)))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

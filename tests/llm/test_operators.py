@@ -190,6 +190,47 @@ def test_neighbours(spark):
     assert [i for _, i, _ in sorted(got[100])] == [7, 101, 102, 103, 104]
     assert neighbours.search(df.where("false")).count() == 0
     assert neighbours.search(df.where("vec_id in (0, 1)")).collect()[0].vec_id == 1
+    short = {750: [1.0, 1.0, 1.0], 1000: [1.0, 1.0, 2.0]} | {900 + i: [float(i), 1.0, 2.0] for i in range(4)}
+    other = spark.createDataFrame([(i, v) for i, v in short.items() if i != 750], "vec_id long, embedding array<double>")
+    mixed = [r for r in neighbours.search(df.select("vec_id", "embedding").union(other)).collect() if r.query_id in (750, 900, 1000)]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / np.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    for q in (750, 900, 1000):
+        best = sorted((i for i in short if i != q), key=lambda i: (-round(cosine(short[i], short[q]), 12), i))
+        assert [r.vec_id for r in sorted((r for r in mixed if r.query_id == q), key=lambda r: r["rank"])] == best
+
+
+def test_routing_prunes(spark):
+    """Clustered vectors: few of the parts are probed, and recall holds against brute force."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(80, 24))
+    x = (centers[rng.integers(0, 80, 4000)] + 0.25 * rng.normal(size=(4000, 24))).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    inner = neighbours.needed_probes
+
+    def noted(placed, router, *rest):
+        seen.append((router.parts, inner(placed, router, *rest)))
+        return seen[-1][1]
+
+    neighbours.needed_probes = noted
+    try:
+        got = neighbours.search(df, settings=neighbours.Settings(query_block=30, block=300)).collect()
+    finally:
+        neighbours.needed_probes = inner
+    parts, probes = seen[0]
+    assert parts == 250 and probes <= parts / 3
+    u = vectors.unit(x)
+    hit = 0
+    for q in range(0, 4000, 50):
+        s = (u * u[q]).sum(1)
+        s[q] = -2
+        hit += len(set(np.lexsort((np.arange(4000), -s))[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.9 * 400
+
+
+def test_shards():
+    where = neighbours.shards({0: 3, 1: 4, 2: 25, 4: 2, 5: 9}, 10)
+    assert where == {0: (0, 1), 1: (0, 1), 2: (1, 3), 4: (4, 1), 5: (5, 1)}
 
 
 def test_packing(spark, docs):
@@ -415,20 +456,32 @@ def test_embedding_dedup(spark):
     x[50:80] = x[3] + 0.1 * rng.normal(size=(30, 16))
     x[200:210] = x[9]
     x[120:123] = x[9] * 2 + 0.2 * rng.normal(size=(3, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 16), (302, [float("inf")] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("n"), F.lit(1).alias("uid"))
+    x[220:280] = x[21] + 0.33 * np.linalg.norm(x[21]) / 4 * rng.normal(size=(60, 16))  # cosines about the threshold
+    short = np.array([[1.0, 0, 0], [1, 0.1, 0], [0, 0, 1], [2, 0, 0], [1, 0, 0]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 16), (302, [float("inf")] * 16), (303, []), (304, [None] * 16)]
+    rows += [(400 + i, v.tolist()) for i, v in enumerate(short)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("n"), F.lit(1).alias("uid"), F.lit(1).alias("dim"), F.lit(1).alias("a"))
+
+    def brute(x, first):
+        u = vectors.unit(x)
+        near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+        label = np.arange(len(x))
+        while True:
+            new = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
+            if (new == label).all():
+                break
+            label = new
+        return near, [(first + i, int(near[i].sum()), int(first + label[i]), bool(label[i] == i)) for i in range(len(x))]
+
+    near, expected = brute(x, 0)
     u = vectors.unit(x)
-    near = (u @ u.T >= 0.9) & ~np.eye(300, dtype=bool)
-    label = np.arange(300)
-    while True:
-        new = np.minimum(label, np.where(near, label[None, :], 300).min(1))
-        if (new == label).all():
-            break
-        label = new
-    expected = [(i, int(near[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(300)] + [(i, 0, i, True) for i in (300, 301, 302)]
-    for tile in (4096, 64):
+    assert 200 < (np.abs(u[220:280] @ u[220:280].T - 0.9) < 0.01).sum()  # pairs that codes can't decide
+    expected += [(i, 0, i, True) for i in range(300, 305)] + brute(short, 400)[1]
+    for tile in (65536, 64):
         assert sorted(map(tuple, embdedup.near_duplicates(df, tile=tile).collect())) == expected
     assert embdedup.near_duplicates(df.where("false")).count() == 0
+    twice = embdedup.near_duplicates(df.where("vec_id in (9, 9, 200)").union(df.where("vec_id = 9"))).collect()
+    assert sorted(map(tuple, twice)) == [(9, 2, 9, True), (9, 2, 9, True), (200, 2, 9, False)]
 
 
 def test_bound_is_rigorous():
