@@ -4,9 +4,13 @@ A token's emission probability factors through a class g of the token:
 P(w | z) = B[z, g(w)] * (c(w) + 1) / (S_g + 1), where c are corpus counts over the training texts, S_g sums
 c + 1 over the known words of the class, and the + 1 leaves room for one unknown word per class. The most
 frequent words have a class of their own; every other word falls into a class by its first two and last three
-characters. States, transitions and class emissions come from Baum-Welch: expected counts are computed per
-partition over whole training texts and summed by Spark. The score is the exact log10 likelihood of the token
-sequence by the scaled forward recursion.
+characters. States start from counts of successive frequent words over all training texts, whose singular vectors are
+clustered. Then every round of Baum-Welch computes expected counts per partition over all whole training texts, and Spark
+sums them. The score is the exact log10 likelihood of the token sequence by the scaled forward recursion.
+
+Long texts are cut into segments: a segment's product of transition and emission matrices takes a forward vector over it
+in one step (and a backward vector back), so segments run side by side and memory doesn't grow with a text. The result is
+that of one run over the whole text.
 
 Edge cases: a null text is empty and holds only the end token; an empty table gives an empty result; without any
 training text every count is 0 and the model is uniform over classes; repeated rows are scored one by one; columns
@@ -34,19 +38,18 @@ END = 0
 @dataclasses.dataclass(frozen=True)
 class Settings:
     """own: words with a class of their own at most; affixes: classes of the others; head: words whose counts are
-    broadcast at most (each of 256 bytes at most, the rest are joined); warm_docs: training texts (expected number,
-    by a hash of the id, of at most warm_words words) that start the states off before the full passes."""
+    broadcast at most (each of 256 bytes at most, the rest are joined); near: most frequent words whose successions the
+    states start from; rounds: Baum-Welch passes over all training texts; segment: tokens."""
 
     states: int = 8
     own: int = 4096
     affixes: int = 4096
     head: int = 1 << 18
-    warm_docs: int = 512
-    warm_words: int = 1500
-    warm_rounds: int = 12
-    rounds: int = 2
-    block: int = 400_000
-    gather: int = 3_000_000
+    near: int = 255
+    rounds: int = 3
+    segment: int = 8192
+    block: int = 250_000
+    gather: int = 1_500_000
     seed: int = 7
 
     @property
@@ -73,7 +76,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 n = np.bincount(index, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([None], pa.string())]), pa.array(np.append(n, part.num_rows), pa.int64())], ["token", "n"])
 
-    return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(common.tidy(count), "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 @dataclasses.dataclass
@@ -130,71 +133,141 @@ class Model:
 
 
 class Block:
-    """Texts of similar length side by side: position t of all of them is one run, so a step is one small product."""
+    """Segments by falling length side by side: position t of all of them is one run, so a step is one small product.
+
+    prior: of a segment's first state; before: forward vector of the text's segment before (0 if there is none); tail: what
+    follows, as a backward vector of any length."""
 
-    def __init__(self, codes: list[np.ndarray]):
+    def __init__(self, codes: list[np.ndarray], prior: np.ndarray, before: np.ndarray, tail: np.ndarray):
         lens = np.array([len(c) for c in codes])
+        self.prior, self.before, self.tail, self.n = prior, before, tail, len(codes)
         self.active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")  # lens fall
         self.start = np.concatenate([[0], np.cumsum(self.active)])
-        self.doc = np.repeat(np.arange(len(codes)), lens)
+        doc = np.repeat(np.arange(len(codes)), lens)
         t = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-        self.codes = np.empty(lens.sum(), np.int64)
-        place = self.start[t] + self.doc
-        self.codes[place] = np.concatenate(codes)
-        self.doc_at = np.empty_like(self.doc)
-        self.doc_at[place] = self.doc
-        self.n = len(codes)
-
-    def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward probabilities and scales by position, log likelihood by text."""
+        self.codes = np.empty(lens.sum(), np.int32)
+        self.codes[self.start[t] + doc] = np.concatenate(codes)
+
+    def likelihood(self, m: Model) -> np.ndarray:
+        """Natural log of each segment's likelihood from its prior."""
+        like, a = np.zeros(self.n), self.prior
+        for t, n in enumerate(self.active):
+            a = m.emit[self.codes[self.start[t] : self.start[t] + n]] * (a[:n] @ m.move if t else a[:n])
+            c = a.sum(1)
+            a /= c[:, None]
+            like[:n] += np.log(c)
+        return like
+
+    def expect(self, m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        """Add the expected counts of one Baum-Welch step."""
         e = m.emit[self.codes]
-        alpha, scale = np.empty_like(e), np.empty(len(e))
-        a = None
+        alpha, scale, a = np.empty_like(e), np.empty(len(e)), self.prior
         for t, n in enumerate(self.active):
             at = slice(self.start[t], self.start[t] + n)
-            a = e[at] * (m.start if a is None else a[:n] @ m.move)
+            a = e[at] * (a[:n] @ m.move if t else a[:n])
             c = a.sum(1)
             a /= c[:, None]
             alpha[at], scale[at] = a, c
-        return alpha, scale, np.bincount(self.doc_at, weights=np.log(scale), minlength=self.n)
-
-    def expect(self, m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-        """Add the expected counts of one Baum-Welch step; returns the log likelihood."""
-        alpha, scale, like = self.forward(m)
-        e = m.emit[self.codes]
         pairs, beta = np.zeros_like(m.move), None
         for t in range(len(self.active) - 1, -1, -1):
             n, at = self.active[t], slice(self.start[t], self.start[t + 1])
-            now = np.ones((n, m.move.shape[0]))
-            if beta is not None:
-                k = len(beta)
+            k = 0 if beta is None else len(beta)
+            now = np.empty((n, m.move.shape[0]))
+            if k:
                 ahead = slice(self.start[t + 1], self.start[t + 1] + k)
                 later = e[ahead] * beta / scale[ahead][:, None]
                 pairs += alpha[at][:k].T @ later
                 now[:k] = later @ m.move.T
+            if k < n:  # the last position of these segments
+                now[k:] = self.tail[k:n] / (alpha[at][k:] * self.tail[k:n]).sum(1, keepdims=True)
             beta = now
             if t == 0:
-                start += (alpha[at] * beta).sum(0)
+                start += (alpha[at] * beta)[~self.before.any(1)].sum(0)
+                pairs += self.before.T @ (e[at] * beta / scale[at][:, None])
             alpha[at] *= beta
         move += pairs * m.move
         for z in range(emit.shape[1]):
             emit[:, z] += np.bincount(self.codes, weights=alpha[:, z], minlength=len(emit))
-        return like.sum()
 
 
-def blocks(codes: list[np.ndarray], limit: int) -> Iterator[tuple[np.ndarray, Block]]:
-    """Whole texts by falling length, about `limit` tokens in a block."""
+def transfers(codes: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """[segments, states, states]: from each first state to each last one, and the log of the factor taken out."""
+    k = len(m.start)
     order = np.argsort([-len(c) for c in codes], kind="stable")
+    lens = np.array([len(codes[i]) for i in order])
+    made, logs = np.empty((len(codes), k, k)), np.zeros(len(codes))
+    grid = np.zeros((len(codes), lens[0]), np.int32)
+    for row, i in enumerate(order):
+        grid[row, : lens[row]] = codes[i]
+    for t, n in enumerate(np.searchsorted(-lens, -np.arange(lens[0]), side="left")):
+        e = m.emit[grid[:n, t]]
+        made[:n] = np.eye(k)[None] * e[:, None, :] if t == 0 else (made[:n] @ m.move) * e[:, None, :]
+        c = made[:n].sum((1, 2))
+        made[:n] /= c[:, None, None]
+        logs[:n] += np.log(c)
+    back = np.argsort(order, kind="stable")
+    return made[back], logs[back]
+
+
+def chained(text: np.ndarray, m: Model, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, float]:
+    """A long text's segments with prior, before and tail of each, and the log of its likelihood."""
+    cut = [text[at : at + size] for at in range(0, len(text), size)]
+    parts = [transfers(cut[at : at + 64], m) for at in range(0, len(cut), 64)]
+    made, logs = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    prior, before, tail = np.empty((len(cut), len(m.start))), np.zeros((len(cut), len(m.start))), np.ones((len(cut), len(m.start)))
+    at, like = m.start, 0.0
+    for i in range(len(cut)):
+        prior[i] = at
+        a = at @ made[i]
+        like += np.log(a.sum()) + logs[i]
+        if i + 1 < len(cut):
+            before[i + 1] = a / a.sum()
+            at = before[i + 1] @ m.move
+    for i in range(len(cut) - 1, 0, -1):
+        b = m.move @ (made[i] @ tail[i])
+        tail[i - 1] = b / b.sum()
+    return cut, prior, before, tail, like
+
+
+def blocks(codes: list[np.ndarray], m: Model, s: Settings) -> Iterator[Block]:
+    """All texts in segments by falling length, about s.block tokens in a block."""
+    k = len(m.start)
+    short = [c for c in codes if len(c) <= s.segment]
+    long = [chained(c, m, s.segment) for c in codes if len(c) > s.segment]
+    every = short + [c for x in long for c in x[0]]
+    prior = np.concatenate([np.tile(m.start, (len(short), 1)), *(x[1] for x in long)])
+    before = np.concatenate([np.zeros((len(short), k)), *(x[2] for x in long)])
+    tail = np.concatenate([np.ones((len(short), k)), *(x[3] for x in long)])
+    for took in dealt([len(c) for c in every], s.block):
+        yield Block([every[i] for i in took], prior[took], before[took], tail[took])
+
+
+def dealt(lens: list[int], limit: int) -> Iterator[np.ndarray]:
+    """Places by falling length, with lengths of about `limit` together."""
+    order = np.argsort(-np.array(lens, np.int64), kind="stable")
     took: list[int] = []
     size = 0
     for i in order:
-        if took and size + len(codes[i]) > limit:
-            yield np.array(took), Block([codes[j] for j in took])
+        if took and size + lens[i] > limit:
+            yield np.array(took)
             took, size = [], 0
         took.append(i)
-        size += len(codes[i])
+        size += lens[i]
     if took:
-        yield np.array(took), Block([codes[j] for j in took])
+        yield np.array(took)
+
+
+def likelihoods(codes: list[np.ndarray], m: Model, s: Settings) -> np.ndarray:
+    """Natural log of each whole text's likelihood."""
+    like = np.empty(len(codes))
+    short = np.array([i for i, c in enumerate(codes) if len(c) <= s.segment], np.int64)
+    for took in dealt([len(codes[i]) for i in short], s.block):
+        k = np.zeros((len(took), len(m.start)))
+        like[short[took]] = Block([codes[i] for i in short[took]], np.tile(m.start, (len(took), 1)), k, k).likelihood(m)
+    for i, c in enumerate(codes):
+        if len(c) > s.segment:
+            like[i] = chained(c, m, s.segment)[-1]
+    return like
 
 
 def coded(batches: Iterator[pa.RecordBatch], head: pa.Array, s: Settings, gather: int) -> Iterator[list[np.ndarray]]:
@@ -230,59 +303,79 @@ def _rows(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), *(pa.array(w[:, z], pa.float64()) for z in range(w.shape[1]))], ["g", *(f"w{z}" for z in range(w.shape[1]))])
 
 
+def successions(codes: list[np.ndarray], near: int) -> np.ndarray:
+    """[near + 1, near + 1] counts of successive tokens of the classes up to `near`."""
+    flat, first = np.concatenate(codes).astype(np.int64), np.cumsum([0, *(len(c) for c in codes)])[:-1]
+    good = (flat[:-1] <= near) & (flat[1:] <= near)
+    good[first[1:] - 1] = False
+    return np.bincount(flat[:-1][good] * (near + 1) + flat[1:][good], minlength=(near + 1) ** 2)
+
+
+def first_model(counts: np.ndarray, prior: np.ndarray, s: Settings) -> Model:
+    """States from clusters of words that come before and after alike: singular vectors of the normalised counts."""
+    rng, k = np.random.default_rng(s.seed), s.states
+    c = counts + 1e-3
+    u, d, v = np.linalg.svd(c / np.sqrt(c.sum(1)[:, None] * c.sum(0)[None, :]))
+    x = np.concatenate([u[:, :k] * d[:k], v[:k].T * d[:k]], 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    weight = np.sqrt(counts.sum(0) + counts.sum(1) + 1.0)
+    centers = x[[int(weight.argmax())]]
+    while len(centers) < k:  # the word farthest from those taken
+        centers = np.concatenate([centers, x[[int((weight * (1 - (x @ centers.T).max(1))).argmax())]]])
+    for _ in range(20):
+        label = (x @ centers.T).argmax(1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, label, x * weight[:, None])
+        centers = np.where(sums.any(1, keepdims=True), sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-12), centers)
+    emit = prior[:, None] * rng.uniform(0.8, 1.2, (s.classes, k))
+    own = np.full((len(x), k), 0.3)
+    own[np.arange(len(x)), label] = 3.0
+    own[END] = 1.0
+    emit[: len(x)] *= own[: s.classes]
+    hot = np.eye(k)[label]
+    move = hot.T @ counts @ hot
+    move = move / np.maximum(move.sum(1, keepdims=True), 1) + 0.1 / k + 0.1 * np.eye(k)
+    return Model(np.full(k, 1 / k), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+
 def train(docs: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
     spark, k = docs.sparkSession, s.states
     prior = (vocab.class_sums + 1) / (vocab.class_sums + 1).sum()
     schema = "g int, " + ", ".join(f"w{z} double" for z in range(k))
     head = spark.sparkContext.broadcast(vocab.head)
-
-    def gathered(df: DataFrame) -> Model:
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
-        for r in df.collect():
-            w = np.array(r[1:])
-            if r.g >= 0:
-                emit[r.g] = w
-            elif r.g == -1:
-                start = w
-            else:
-                move[-2 - r.g] = w
-        return normalised(start, move, emit, prior)
-
-    def different() -> Model:
-        rng = np.random.default_rng(s.seed)
-        stay = np.full((k, k), 0.2 / k) + 0.8 * np.eye(k)
-        emit = prior[:, None] * rng.uniform(0.4, 1.6, (s.classes, k))
-        return Model(np.full(k, 1 / k), stay / stay.sum(1, keepdims=True), emit / emit.sum(0))
-
-    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = [c for held in coded(batches, head.value, s, s.gather) for c in held if len(c) <= s.warm_words]
-        if not codes:
-            return
-        m = different()
-        ready = [b for _, b in blocks(codes, s.block)]
-        for _ in range(s.warm_rounds):
-            found = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
-            for b in ready:
-                b.expect(m, *found)
-            m = normalised(*found, prior)
-        yield _rows(*found)
-
-    share = min(1.0, s.warm_docs / max(1, vocab.end_count))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(4 * s.warm_docs)
-    model = gathered(sample.select("text").repartition(1).mapInArrow(warm, schema))
-    if vocab.end_count and np.allclose(model.emit, model.emit[:, :1], rtol=1e-9, atol=0):
-        model = different()  # no short text to start from; alike states would stay alike in every pass
+    near = min(s.near, s.own)
+
+    def succeed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((near + 1) ** 2, np.int64)
+        for codes in coded(batches, head.value, s, s.gather):
+            found += successions(codes, near)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], ["at", "n"])
+
+    counts = np.zeros((near + 1) ** 2)
+    for r in docs.select("text").mapInArrow(common.tidy(succeed), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # (near + 1) ** 2 at most
+        counts[r["at"]] = r.n
+    model = first_model(counts.reshape(near + 1, near + 1), prior, s)
     for _ in range(s.rounds):
         now = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             found = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
             for codes in coded(batches, head.value, s, s.gather):
-                for _, b in blocks(codes, s.block):
+                for b in blocks(codes, now.value, s):
                     b.expect(now.value, *found)
             yield _rows(*found)
 
-        model = gathered(docs.select("text").mapInArrow(expect, schema).groupBy("g").agg(*(F.sum(f"w{z}").alias(f"w{z}") for z in range(k))))
+        sums = docs.select("text").mapInArrow(common.tidy(expect), schema).groupBy("g").agg(*(F.sum(f"w{z}").alias(f"w{z}") for z in range(k)))
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
+        for r in sums.collect():  # a row for each class and state
+            if r.g >= 0:
+                emit[r.g] = r[1:]
+            elif r.g == -1:
+                start = np.array(r[1:])
+            else:
+                move[-2 - r.g] = r[1:]
+        model = normalised(start, move, emit, prior)
         now.unpersist()
     head.unpersist()
     return model
@@ -303,10 +396,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
 
         def flush() -> pa.RecordBatch:
             codes = [x[-1] for x in held]
-            like = np.empty(len(codes))
-            for at, b in blocks(codes, s.block):
-                a = b.forward(m)[2] / np.log(10)
-                like[at] = a - np.bincount(b.doc_at, weights=room[b.codes], minlength=b.n)
+            like = likelihoods(codes, m, s) / np.log(10) - np.array([room[c].sum() for c in codes])
             cols = list(zip(*held, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array([len(c) for c in codes], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(like, pa.float64()), pa.nulls(len(codes), pa.string()), pa.nulls(len(codes), pa.list_(pa.int64()))], names)
 
@@ -341,7 +431,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
             yield flush()
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, counts_log double, model_log double, token string, rids array<long>"
-    both = common.stage(docs.mapInArrow(score, schema), "hmm-scores")
+    both = common.stage(docs.mapInArrow(common.tidy(score), schema), "hmm-scores")
     rare = both.where(F.col("token").isNotNull()).select("token", "rids").join(counts.where(F.col("token").isNotNull()), "token")
     rare = rare.select(F.explode("rids").alias("rid"), F.log10(F.col("c") + 1).alias("gain")).groupBy("rid").agg(F.sum("gain").alias("gain"), F.count("*").alias("more"))
     slots = F.log10(F.lit(float(vocab.total + vocab.distinct + 1)))

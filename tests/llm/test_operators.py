@@ -42,7 +42,7 @@ def words(text):
 
 
 def test_hmm(spark, docs):
-    small = hmm.Settings(states=3, own=16, affixes=16, head=12, warm_rounds=3)
+    small = hmm.Settings(states=3, own=16, affixes=16, head=12, segment=1000, block=500, gather=2000)
     got = hmm.hmm_scores(spark, docs, settings=small).collect()
     assert len(got) == len(DOCS)
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
@@ -64,21 +64,47 @@ def test_forward_is_exact():
     k, g = 3, 5
     norm = lambda m, axis: m / m.sum(axis, keepdims=True)
     m = hmm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((g, k)), 0))
-    codes = [rng.integers(0, g, n) for n in (4, 3, 1)]
-    _, _, like = hmm.Block(codes).forward(m)
-    for c, got in zip(codes, like, strict=True):
-        total = sum(m.start[p[0]] * np.prod([m.move[a, b] for a, b in itertools.pairwise(p)]) * np.prod([m.emit[x, z] for x, z in zip(c, p, strict=True)]) for p in itertools.product(range(k), repeat=len(c)))
-        assert abs(np.log(total) - got) < 1e-9
-    found = np.zeros(k), np.zeros((k, k)), np.zeros((g, k))
-    hmm.Block(codes).expect(m, *found)
-    assert np.allclose([found[0].sum(), found[1].sum(), found[2].sum()], [3, 5, 8])
+    codes = [rng.integers(0, g, n).astype(np.int32) for n in (4, 3, 1, 5)]
+    move, emit = np.zeros((k, k)), np.zeros((g, k))
+    likes = []
+    for c in codes:  # every path of states
+        paths = list(itertools.product(range(k), repeat=len(c)))
+        chance = np.array([m.start[p[0]] * np.prod([m.move[a, b] for a, b in itertools.pairwise(p)]) * np.prod([m.emit[x, z] for x, z in zip(c, p, strict=True)]) for p in paths])
+        likes.append(np.log(chance.sum()))
+        for p, w in zip(paths, chance / chance.sum(), strict=True):
+            for x, z in zip(c, p, strict=True):
+                emit[x, z] += w
+            for a, b in itertools.pairwise(p):
+                move[a, b] += w
+    for segment in (2, 3, 100):
+        s = hmm.Settings(states=k, segment=segment, block=6)
+        assert np.allclose(hmm.likelihoods(codes, m, s), likes, atol=1e-9)
+        found = np.zeros(k), np.zeros((k, k)), np.zeros((g, k))
+        for b in hmm.blocks(codes, m, s):
+            b.expect(m, *found)
+        assert np.allclose(found[1], move) and np.allclose(found[2], emit) and abs(found[0].sum() - 4) < 1e-9
+
+
+def test_long_texts_in_segments():
+    rng = np.random.default_rng(2)
+    norm = lambda m, axis: m / m.sum(axis, keepdims=True)
+    m = hmm.Model(norm(rng.random(4), 0), norm(rng.random((4, 4)) ** 4, 1), norm(rng.random((9, 4)), 0))
+    codes = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 700, 64, 65, 20_000, 128)]
+    results = []
+    for segment in (64, 1 << 30):
+        s = hmm.Settings(states=4, segment=segment, block=3000)
+        found = np.zeros(4), np.zeros((4, 4)), np.zeros((9, 4))
+        for b in hmm.blocks(codes, m, s):
+            b.expect(m, *found)
+        results.append((hmm.likelihoods(codes, m, s), *found))
+    assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(*results, strict=True))
 
 
 def test_hmm_learns(spark):
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["aa", "ab", "ac"] if i % 2 else ["zz", "zy", "zx"], 30)) for i in range(200)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for how in (hmm.Settings(states=2, own=8, affixes=8), hmm.Settings(states=2, own=8, affixes=8, warm_words=5, rounds=10)):
+    for how in (hmm.Settings(states=2, own=8, affixes=8), hmm.Settings(states=2, own=2, affixes=8, rounds=10)):
         got = hmm.hmm_scores(spark, df, settings=how).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
         assert got[0] > got[1] + 5
 
