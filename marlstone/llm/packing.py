@@ -2,10 +2,13 @@
 
 Every piece asks for tokens, one place among the sequence's documents and an attention cost (its length squared). The
 pieces are packed by falling length; each goes to the open sequence that it leaves with the smallest weighted norm of
-residual capacities, under all three capacities. Pieces of a length are alike, so the plan is made on the driver from
+residual capacities, under all three capacities (so sequences with the same room for tokens are told apart by their
+documents and attention). Pieces of a length are alike, so the plan is made on the driver from
 the number of pieces of each length (at most `tokens` numbers) for whole runs of equal sequences at a time: its size
-doesn't grow with the input. Spark numbers the pieces of a length (split over `salts`, so that a frequent length isn't
-one task's) and each looks up its sequence and offset. No piece is dropped, however many there are.
+doesn't grow with the input. Spark numbers the pieces of a length (split over as many salts as its pieces need, so that a
+frequent length isn't one task's) and each looks up its sequence and offset. No piece is dropped, however many there are.
+
+Ids are those of the tokenizer as its file sets it up: the strings of its special tokens become special ids.
 
 Edge cases: a null or blank text is one piece with only the end id; an empty table gives an empty result; repeated rows
 are packed one by one; a null id stays null; other columns are ignored.
@@ -49,15 +52,15 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {}
+    return Tokenizer.from_file(path), {}
 
 
 #: Words that are one piece for the tokenizer, unchanged by its normalisation: basic and Latin-1 small letters.
 PLAIN = "[a-z\u00df-\u00f6\u00f8-\u00ff]"
 #: Marks that end a word after such a letter; the apostrophe isn't one of them, as it may take letters with it.
 MARKS = r"[!-&(-/:-@\[-`{-~]"
+#: Begins the string of a special token, which is case-sensitive and one piece with its marks.
+SPECIAL = "<|"
 
 
 def encode_words(words: list[str], path: str) -> list[bytes]:
@@ -94,7 +97,7 @@ def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of the words end to end, number of ids of each). Marks at a word's end are encoded apart, as the tokenizer
     itself does, so that a word is looked up once whatever follows it."""
     words = words.cast(pa.string())
-    apart = pc.extract_regex(words, f"^(?P<head>(?s:.*){PLAIN})(?P<tail>{MARKS}+)$")
+    apart = pc.extract_regex(pc.if_else(pc.match_substring(words, SPECIAL), pa.scalar("", pa.string()), words), f"^(?P<head>(?s:.*){PLAIN})(?P<tail>{MARKS}+)$")
     both = pa.concat_arrays([pc.coalesce(pc.struct_field(apart, "head"), words), pc.coalesce(pc.struct_field(apart, "tail"), pa.scalar(""))]).dictionary_encode()
     each = encode_words(both.dictionary.to_pylist(), path)
     lens = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -112,7 +115,8 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
         stop = np.array([end_id], "<u4")
         for batch in batches:
             for part in common.slices(batch, "text"):
-                offsets, index, words = common.words_of(part.column("text"))
+                special = pc.any(pc.match_substring(part.column("text"), SPECIAL)).as_py()
+                offsets, index, words = common.words_of(part.column("text"), lower=not special)
                 flat, lens = word_ids(words, path)
                 begin = np.cumsum(lens) - lens
                 rows = []
@@ -164,14 +168,17 @@ def plan(counts: dict[int, int], c: Capacity) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 4)
 
 
-def pack(items: DataFrame, capacity: Capacity | None = None, salts: int = 64) -> DataFrame:
-    """items (uid unique, length, ...) -> the same with sequence_id and offset. items is read twice: stage it before."""
+def pack(items: DataFrame, capacity: Capacity | None = None, rows: int = 1 << 16) -> DataFrame:
+    """items (uid unique, length, ...) -> the same with sequence_id and offset; a task numbers about `rows` of a length.
+    items is read three times: stage it before."""
     c = capacity or Capacity()
-    items = items.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
-    held = items.groupBy("length", "salt").count().toArrow().to_pandas().sort_values(["length", "salt"])  # tokens * salts rows at most
+    spark = items.sparkSession
+    many = [(r.length, -(-r["count"] // rows)) for r in items.groupBy("length").count().collect()]  # tokens rows at most
+    salts = spark.createDataFrame(many, "length long, salts long")
+    items = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")).drop("salts")
+    held = items.groupBy("length", "salt").count().toArrow().to_pandas().sort_values(["length", "salt"])  # a row for each task above
     made = plan(held.groupby("length")["count"].sum().to_dict(), c)
     order = np.lexsort((made[:, 1], made[:, 0]))
-    spark = items.sparkSession
     bases = {(r.length, r.salt): b for r, b in zip(held.itertuples(), held.groupby("length")["count"].cumsum() - held["count"], strict=True)}
     shared = spark.sparkContext.broadcast((made[order], bases))
     columns = [x for x in items.columns if x != "salt"]
