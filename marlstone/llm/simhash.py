@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components, least_of
+from .components import components, least_of, meet
 
 SEED = 42
 SEGMENT, SEGMENTS, DISTANCE = 16, 4, 3
@@ -79,31 +79,34 @@ def keyed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def forest(key: int, lives: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints under a key, as a spanning forest: arrays u, v."""
+    """Links among the fingerprints under a key: a spanning forest of pairs that are linked themselves, arrays u, v."""
     start = np.uint64(SEGMENT * (key >> 32))
     ring = lambda x: (x >> start) | (x << ((np.uint64(64) - start) & np.uint64(63))) if start else x
     chain = np.uint64((1 << 3 * SEGMENT) - 1)
     every = np.concatenate([lives, visits])
     turned = ring(every)
     label = np.arange(len(every))
+    us, vs = [], []
     rows = max(1, (1 << 21) // len(every))
-    while True:
-        before = label.copy()
-        for at in range(0, len(lives), rows):
-            x = turned[at : min(at + rows, len(lives)), None] ^ turned[None, :]
-            near = np.bitwise_count(x & chain) <= 2
-            near &= np.bitwise_count(x) <= DISTANCE
-            least = np.where(near, label[None, :], len(every)).min(1)
-            np.minimum(label, np.where(near, least[:, None], len(every)).min(0), out=label)
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.flatnonzero(label != np.arange(len(every)))
-    return every[moved], every[label[moved]]
+    for at in range(0, len(lives), rows):
+        own = np.arange(at, min(at + rows, len(lives)))
+        x = turned[own, None] ^ turned[None, :]
+        near = np.bitwise_count(x & chain) <= 2
+        near &= np.bitwise_count(x) <= DISTANCE
+        near[np.arange(len(own)), own] = False
+        for i in own[near.any(1)]:
+            to = np.flatnonzero(near[i - at])
+            other = to[label[to] != label[i]]
+            if len(other):
+                trees, first = np.unique(label[other], return_index=True)
+                us += [i] * len(first)
+                vs += other[first].tolist()
+                label[np.isin(label, trees) | (label == label[i])] = min(label[i], trees[0])
+    return every[np.array(us, np.int64)], every[np.array(vs, np.int64)]
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(fp) distinct -> (u, v): links that connect what is connected."""
+    """(fp) distinct -> (u, v): pairs that are linked, enough to connect what is connected."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +156,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint, component_id), a row for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = common.stage(fingerprints(docs), "simhash-prints")
-    nodes = common.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = common.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    linked = common.stage(nodes.join(roots, "fp"), "simhash-linked")
-    ids = common.stage(nodes.join(least_of(linked), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = common.stage(nodes.select("fp", "least").join(roots, "fp"), "simhash-linked")
+    ids = common.stage(nodes.join(least_of(linked), "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
+    common.unstage(nodes, linked)
+    return meet(prints, ids, "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
