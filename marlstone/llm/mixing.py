@@ -10,10 +10,11 @@ others go on by their shares: a new phase with a new period. Nothing is dropped
 Every source is scheduled. Those with a given share and the `streams` largest are streams of their own. If there are more,
 the others are dealt by a hash to at most `streams` groups; a group is one stream with the sum of its sources' weights,
 and its own blocks are dealt to its sources by Pfair once more. The driver holds one row per source.
-Prefix sums are taken within (source, bucket of the hash) and then over the buckets, so a large source is spread.
+Prefix sums are taken within (source, bucket of the hash) and then over the buckets, of which there are as many as the
+largest source needs, so a large source is spread; the hash is of the id and the text, so a repeated id is spread too.
 
 Edge cases: a null source is a source of its own, a null text has no characters but still counts one, null and repeated
-ids are ordered by their text; an empty table gives an empty result; other columns pass through.
+ids are ordered by their text, rows that repeat an id and its text in any order; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 256
+#: Buckets of a source at least, and its rows in one of them, about.
+BUCKETS, BUCKET_ROWS = 256, 1 << 18
 OWN = "__mix_"
 
 
@@ -84,16 +86,18 @@ def whole_shares(weights: dict[int, float], total: int) -> dict[int, int]:
     return out
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = 1 << 16, streams: int = 64) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_chars: int = 1 << 16, streams: int = 64) -> DataFrame:
     """docs (doc_id, text, source, ...) with __mix_block and __mix_slot: their block in the source, and its slot. shares:
-    of sources by name ("" is the null source), 1 if it isn't there; "*" is that of all grouped sources together."""
+    target weights of sources by name (None is the null source), 1 if it isn't there; "*" is that of all grouped sources
+    together. Without shares a source weighs the root of its size."""
     spark = docs.sparkSession
     columns = docs.columns
     source = F.struct(F.col("source").cast("string").alias("name"))
     cost = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
-    sizes = docs.select(source.alias("source"), cost.alias("cost")).groupBy("source").agg(F.sum("cost").alias("chars"))
-    every = sorted(((r.source.name, r.chars) for r in sizes.collect()), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
-    own = [n for i, (n, _) in enumerate(every) if i < streams or shares and (n or "") in shares]
+    sizes = docs.select(source.alias("source"), cost.alias("cost")).groupBy("source").agg(F.sum("cost").alias("chars"), F.count("*").alias("rows")).collect()  # a row for each source
+    buckets = max(BUCKETS, *(-(-r.rows // BUCKET_ROWS) for r in sizes), 1)
+    every = sorted(((r.source.name, r.chars) for r in sizes), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    own = [n for i, (n, _) in enumerate(every) if i < streams or shares and n in shares]
     rest = [x for x in every if x[0] not in set(own)]
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
     name = lambda n: "" if n is None else f"s{n}"
@@ -107,7 +111,7 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int
     roots = {g: sum(math.sqrt(rest[i][1]) for i in x) for g, x in groups.items()}
     if shares:
         scale = 1000 if groups else 1
-        given = {i: scale * shares.get("" if n is None else n, 1) for i, n in enumerate(own)} | (whole_shares(roots, scale * shares.get("*", 1)) if groups else {})
+        given = {i: scale * shares.get(n, 1) for i, n in enumerate(own)} | (whole_shares(roots, scale * shares.get("*", 1)) if groups else {})
     else:
         given = shares_of({i: math.sqrt(dict(every)[n]) for i, n in enumerate(own)} | roots)
     made = phases(blocks, given)
@@ -116,12 +120,12 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int
         inner = phases({i: ceil(rest[i][1]) for i in x}, default_shares({i: rest[i][1] for i in x}))
         within += [(name(rest[i][0]), g, *row) for i, *row in inner]
 
-    hashed = F.xxhash64("doc_id")
-    rows = docs.select("*", key.alias(f"{OWN}key"), hashed.alias(f"{OWN}hash"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias(f"{OWN}bucket"), cost.alias(f"{OWN}cost"), F.xxhash64("text").alias(f"{OWN}tie"))
+    hashed = F.xxhash64("doc_id", "text")
+    rows = docs.select("*", key.alias(f"{OWN}key"), hashed.alias(f"{OWN}hash"), F.pmod(hashed, F.lit(buckets)).cast("int").alias(f"{OWN}bucket"), cost.alias(f"{OWN}cost"), F.xxhash64("text").alias(f"{OWN}tie"))
     sums = rows.groupBy(f"{OWN}key", f"{OWN}bucket").agg(F.sum(f"{OWN}cost").alias(f"{OWN}chars"))
     up_to = Window.partitionBy(f"{OWN}key").orderBy(f"{OWN}bucket").rowsBetween(Window.unboundedPreceding, 0)
     base = sums.withColumn(f"{OWN}base", F.sum(f"{OWN}chars").over(up_to) - F.col(f"{OWN}chars")).drop(f"{OWN}chars")
-    base = F.broadcast(base) if not groups else base  # streams * BUCKETS rows at most
+    base = F.broadcast(base) if len(every) * buckets <= 1 << 16 else base
     inner = Window.partitionBy(f"{OWN}key", f"{OWN}bucket").orderBy(f"{OWN}hash", "doc_id", f"{OWN}tie")
     rows = rows.withColumn(f"{OWN}inner", F.sum(f"{OWN}cost").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(base, [f"{OWN}key", f"{OWN}bucket"])
