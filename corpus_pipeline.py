@@ -9,36 +9,50 @@ from marlstone.llm import common, langid, mixing, nearcopies, packing, pii
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language (no letter at all) go."""
+    """Documents in no learned language (null, empty, or no letter at all) go; the others' lang is the predicted one. Repeated
+    rows and null ids stay; very long texts are parsed whole. Where no row has a language to learn from, no document has one
+    and all go."""
     texts = langid.training_texts(langid.training_rows(docs))
     said = langid.predict(docs, texts, *docs.columns, out=("__lang", "__score"))
-    return said.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+    return said.where(F.col("__lang") != langid.UNKNOWN).withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts at a similarity of 0.8 or more by sets of five words are near copies: more than SimHash's three bits of op8
-    can tell. The document with the smallest id of each group stays; rows that repeat an id and its text are one document, and
-    rows without an id stay, since nothing could name them."""
+    """Texts at a similarity of 0.8 or more by sets of five words are near copies. op8's fingerprints and keys find the
+    nearest; what three bits can't tell is found as `nearcopies` says. The document with the smallest id of each group
+    stays; rows that repeat an id and its text are one document (which of them is open where other columns differ), and
+    rows without an id stay, since nothing could name them. Null and blank texts are copies of each other."""
     groups = nearcopies.near_components(docs)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    print_ = F.xxhash64("text").alias("__print")
+    twice = kept.select("doc_id", print_).groupBy("doc_id", "__print").count().where("count > 1").drop("count")
+    twice = common.stage(twice, "near-repeated")
+    if not twice.isEmpty():
+        marked = kept.select("*", print_)
+        once = marked.join(twice, ["doc_id", "__print"], "left_semi").dropDuplicates(["doc_id", "__print"])
+        kept = marked.join(twice, ["doc_id", "__print"], "left_anti").unionByName(once).select(*docs.columns)
+    return kept.union(docs.where(F.col("doc_id").isNull()))
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span is replaced by its kind; all documents stay."""
+    """Every span is replaced by its kind, and n_chars is that of the new text (null for a null one); all documents stay,
+    those with null, empty and very long texts, repeated rows and null ids too."""
     found = pii.label(docs, pii.fit(docs.select("text")), out="__spans")
     clean = found.withColumn("text", pii.redact(F.col("text"), F.col("__spans")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of their slots."""
+    """All documents, in the order of their slots: a null source is one of its own, a null text is one character long, ties
+    of a slot come by a hash of id and text. An empty table stays empty."""
     return mixing.mixed_order(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of the mixed order are packed one by one, so that sequences come in the proportions of the slots."""
+    """Runs of the mixed order are packed one by one, so that sequences come in the proportions of the slots. A null or blank
+    text is one piece with only the end id; a very long one is cut; repeated rows are packed one by one; an empty table gives
+    no rows."""
     return packing.pack_in_order(docs)
 
 
@@ -55,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     docs = common.table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = common.stage(step(spark, docs, sf_dir), name)

@@ -1,10 +1,15 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles.
+"""Near copies by SimHash, completed to a Jaccard similarity of sets of five-word shingles.
 
-Candidates meet under keys of MinHash values: BANDS keys of ROWS values each, so that a pair at similarity s shares no key
-with probability (1 - s ** ROWS) ** BANDS, 3 in a million at 0.8. Under a key the texts are ordered by their next key, so
-that the most alike are neighbours, and each meets the WINDOW before it: all pairs of a small group, and rows in proportion
-to the size of a large one. Candidates are then compared by their whole sets of 64-bit shingle hashes; links are between
-texts at `least` similarity or more, and groups are the links' connected components.
+Candidates come from op8's operator with five words: pairs that its pigeonring keys find within three bits. Three of 64
+bits tell only the nearest: of the pairs at a similarity of 0.8 to 0.95 in the given documents they find almost none (the
+README has figures), and keys for the ten bits by which such pairs differ would not prune. So candidates also meet under
+keys of MinHash values: BANDS keys of ROWS values each, so that a pair at similarity s shares no key with probability
+(1 - s ** ROWS) ** BANDS, 3 in a million at 0.8. Every candidate is then compared by the whole sets of 64-bit shingle
+hashes; links are between texts at `least` similarity or more, and groups are the links' connected components.
+
+Under a key the texts are ordered by their next key, so that the most alike are neighbours, and each meets the WINDOW before
+it: all pairs of a small group. What is left of larger groups are pairs of texts that aren't connected by then; those meet
+in a second pass, tile by tile, however many they are.
 
 Edge cases: a text of less than five words is one shingle; null and blank texts are alike; a null doc_id never becomes a
 component's id unless all its ids are null; an empty table gives an empty result; other columns are ignored.
@@ -20,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .components import components, least_of
+from . import common, simhash
+from .components import components, least_of, meet as meet_keys
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 BANDS, ROWS, WINDOW = 24, 4, 8
+#: Texts of a key in one tile of the second pass.
+TILE = 1024
 _random = np.random.default_rng(SEED)
 TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -56,18 +63,20 @@ def keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, node, text) -> (doc_id, node, keys), keys as little-endian uint64."""
+    """docs (doc_id, node, text) -> (doc_id, node, fp, keys), fp as op8's, keys as little-endian uint64."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [keys(shingles((x.as_py() or "").encode())).astype("<u8").tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(found, pa.binary())], ["doc_id", "node", "keys"])
+            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
+            fp = np.array([simhash.fingerprint(x, SHINGLE) for x in texts], np.uint64).view(np.int64)
+            found = [keys(shingles(x)).astype("<u8").tobytes() for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fp), pa.array(found, pa.binary())], ["doc_id", "node", "fp", "keys"])
 
-    return docs.mapInArrow(common.tidy(of), "doc_id long, node long, keys binary")
+    return docs.mapInArrow(common.tidy(of), "doc_id long, node long, fp long, keys binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes (node, keys) -> (u, v) distinct, u < v."""
+def dealt(nodes: DataFrame) -> DataFrame:
+    """nodes (node, keys) -> (key, next, node), a row for each band."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,27 +86,62 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(np.asarray(part.column("node")), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.roll(key, -1, 1).ravel()), pa.array(node)], ["key", "next", "node"])
 
+    return nodes.select("node", "keys").mapInArrow(common.tidy(deal), "key long, next long, node long")
+
+
+def candidates(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
+    """nodes (node, keys) -> (u, v) distinct, u < v: all pairs of keys with window + 1 texts at most, neighbours of others.
+    The others' keys are rows too, u the key and v null."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = node = np.empty(0, np.int64)  # the last rows of the batches before
         for batch in batches:
             old = len(key)
             key, node = np.concatenate([key, np.asarray(batch.column("key"))]), np.concatenate([node, np.asarray(batch.column("node"))])
             us, vs = [], []
-            for back in range(1, min(WINDOW, len(key) - 1) + 1):
+            for back in range(1, min(window, len(key) - 1) + 1):
                 later = np.arange(max(old, back), len(key))
                 later = later[key[later] == key[later - back]]
                 us.append(np.minimum(node[later], node[later - back]))
                 vs.append(np.maximum(node[later], node[later - back]))
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-            key, node = key[-WINDOW:], node[-WINDOW:]
-
-    dealt = nodes.select("node", "keys").mapInArrow(common.tidy(deal), "key long, next long, node long")
-    return dealt.repartition("key").sortWithinPartitions("key", "next", "node").mapInArrow(common.tidy(meet), "u long, v long").distinct()
-
-
-def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Of the pairs (u, v) those whose texts (node, text; a row for each node) are at least so similar."""
+            later = np.arange(max(old, window + 1), len(key))
+            large = np.unique(key[later[key[later] == key[later - window - 1]]])
+            yield pa.RecordBatch.from_arrays([pa.array(large), pa.nulls(len(large), pa.int64())], ["u", "v"])
+            key, node = key[-window - 1 :], node[-window - 1 :]
+
+    return dealt(nodes).repartition("key").sortWithinPartitions("key", "next", "node").mapInArrow(common.tidy(meet), "u long, v long").distinct()
+
+
+def apart(nodes: DataFrame, large: DataFrame, roots: DataFrame, tile: int = TILE) -> DataFrame:
+    """(u, v) distinct, u < v: all pairs under the keys of large (key) that roots (node, root) doesn't connect."""
+    few = large.count() <= 1 << 16
+    named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    held = common.stage(dealt(nodes).select("key", "node").join(F.broadcast(large) if few else large, "key").join(named, "node"), "near-large")
+    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    own = meet_keys(held, mixed.select("key", "n", tiles.alias("tiles")), "key", held.count())
+    own = own.withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    own = own.select("key", F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b"), (F.col("t") <= F.col("other")).alias("left"), "node", "root")
+
+    def pairs(group: pa.Table) -> pa.Table:
+        node, root, left = (group[c].to_numpy() for c in ("node", "root", "left"))
+        same = group["a"][0] == group["b"][0]
+        x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        i, j = np.nonzero(root[x][:, None] != root[y][None, :])
+        if same:
+            i, j = i[i < j], j[i < j]
+        u, v = node[x[i]], node[y[j]]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return own.groupBy("key", "a", "b").applyInArrow(pairs, "u long, v long").distinct()
+
+
+def alike(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Of the pairs (u, v) those whose texts in docs (node, text) are at least so similar."""
+    members = common.stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-members")
+    texts = docs.select("node", "text").join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,15 +162,24 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
     return both.select("u", "v", "a", "b").mapInArrow(common.tidy(compare), "u long, v long")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id), a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.col("text").cast("string").alias("text"))
     made = common.stage(prints(docs), "near-prints")
-    nodes = common.stage(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys")), "near-nodes")
-    pairs = common.stage(candidates(nodes), "near-pairs")
-    members = common.stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-members")
-    texts = docs.select("node", "text").join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    roots = components(alike(pairs, texts))
+    nodes = common.stage(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.count("*").alias("n")), "near-nodes")
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))  # texts with one fingerprint meet its first one
+    bits = simhash.links(by_print.select("fp")).join(by_print.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_print.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    same = nodes.select("node", "fp").join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = bits.union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    met = common.stage(near.union(candidates(nodes, window)).distinct(), "near-pairs")
+    links = common.stage(alike(met.where("v is not null"), docs), "near-links")
+    roots = common.stage(components(links), "near-roots")
+    large = met.where("v is null").select(F.col("u").alias("key"))
+    if not large.isEmpty():
+        more = common.stage(apart(nodes, large, roots), "near-more")
+        if not more.isEmpty():
+            roots = common.stage(components(links.union(alike(more, docs))), "near-roots")
     linked = common.stage(nodes.select("node", "least").join(roots, "node"), "near-linked")
-    ids = common.stage(nodes.join(least_of(linked), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "near-ids")
-    return made.join(ids, "node").select("doc_id", "component_id")
+    ids = common.stage(nodes.join(least_of(linked), "node", "left").select("node", "n", F.coalesce("component_id", "least").alias("component_id")), "near-ids")
+    common.unstage(nodes, met, links, roots, linked)
+    return meet_keys(made.select("doc_id", "node"), ids, "node", made.count()).select("doc_id", "component_id")
