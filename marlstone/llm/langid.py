@@ -83,8 +83,9 @@ class Group:
     def __init__(self, texts: dict[str, str], dense: bool):
         self.langs = sorted(texts)
         chars = sorted(set("".join(texts.values())) | {" "})
-        self.chars = np.array([ord(c) for c in chars], np.uint32)
         self.alphabet = len(chars) + 1
+        self.codes = np.full(max(map(ord, chars)) + 2, len(chars), np.int32)  # the last for all that no language has
+        self.codes[[ord(c) for c in chars]] = np.arange(len(chars))
         made = [Automaton(self.coded(texts[x]).tolist()) for x in self.langs]
         sizes = [m.size for m in made]
         self.roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
@@ -106,8 +107,7 @@ class Group:
     def coded(self, text: str) -> np.ndarray:
         """Codes of the characters; one code stands for all that no language has."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
-        return np.where(self.chars[at] == points, at, len(self.chars)).astype(np.int32)
+        return self.codes[np.minimum(points, np.uint32(len(self.codes) - 1))]
 
     def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[lanes, languages] states after the codes [lanes], and whether a phrase begins with them."""
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = parser(texts) if texts else None
         for batch in batches:
-            for part in common.slices(batch, "text", 4 << 20):
+            for part in common.slices(batch, "text", 2 << 20):
                 said, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
                 some = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(part.column("text"), r"\p{L}"), False)))
                 if parse and len(some):

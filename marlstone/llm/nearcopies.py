@@ -67,10 +67,12 @@ def prints(docs: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
-            fp = np.array([simhash.fingerprint(x, SHINGLE) for x in texts], np.uint64).view(np.int64)
-            found = [keys(shingles(x)).astype("<u8").tobytes() for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fp), pa.array(found, pa.binary())], ["doc_id", "node", "fp", "keys"])
+            fp, found = np.empty(batch.num_rows, np.uint64), []
+            for i, x in enumerate(batch.column("text")):
+                text = (x.as_py() or "").encode()
+                fp[i] = simhash.fingerprint(text, SHINGLE)
+                found.append(keys(shingles(text)).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fp.view(np.int64)), pa.array(found, pa.binary())], ["doc_id", "node", "fp", "keys"])
 
     return docs.mapInArrow(common.tidy(of), "doc_id long, node long, fp long, keys binary")
 
@@ -145,21 +147,18 @@ def alike(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles((x.as_py() or "").encode()).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "hashes"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(a) + len(b) - len(np.union1d(a, b)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
-                good.append(both >= least * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    held = common.stage(texts.mapInArrow(common.tidy(sets), "node long, hashes binary"), "near-sets")
-    both = pairs.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(common.tidy(compare), "u long, v long")
+            for part in common.slices(batch, "text", 2 << 20):
+                found = [shingles((x.as_py() or "").encode()).view(np.int64) for x in part.column("text")]
+                ends = np.cumsum([0, *map(len, found)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "hashes"])
+
+    held = common.stage(texts.mapInArrow(common.tidy(sets), "node long, hashes array<long>"), "near-sets")
+    sized = held.select("node", "hashes", F.size("hashes").alias("n"))
+    both = pairs.join(sized.select(F.col("node").alias("u"), F.col("hashes").alias("a"), F.col("n").alias("an")), "u").join(sized.select(F.col("node").alias("v"), F.col("hashes").alias("b"), F.col("n").alias("bn")), "v")
+    both = both.where(F.least("an", "bn") >= least * F.greatest("an", "bn"))
+    shared = F.size(F.array_intersect("a", "b"))  # in the JVM, pair by pair: a batch of pairs of whole sets would be large
+    return both.select("u", "v", "an", "bn", shared.alias("shared")).where(F.col("shared") >= least * (F.col("an") + F.col("bn") - F.col("shared"))).select("u", "v")
 
 
 def near_components(docs: DataFrame, window: int = WINDOW) -> DataFrame:
