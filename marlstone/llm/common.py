@@ -102,11 +102,26 @@ def _malloc_trim() -> Callable[[int], int]:
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda n: 0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to drop what the owner's tasks leave in a Python worker for the next ones of the same kind."""
+    _kept[owner] = clear
+
+
+def forget(but: str) -> None:
+    for owner, clear in _kept.items():
+        if owner != but:
+            clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, and at a task's end what the allocators still hold goes back to the system: Python workers outlive their stage
-    and stand beside those of the next."""
+    and stand beside those of the next. What tasks of another owner kept is dropped first."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
         try:
             yield from run(batches)
         finally:

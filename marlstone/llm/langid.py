@@ -184,6 +184,7 @@ class Parser:
 
 
 _parsers: dict[tuple, Parser] = {}
+common.keeps("langid", _parsers.clear)
 
 
 def parser(texts: dict[str, str]) -> Parser:
@@ -242,7 +243,7 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
 
     kinds = dict(docs.dtypes)
     needed = [*carry, *(() if "text" in carry else ("text",))]
-    return docs.select(*needed).mapInArrow(common.tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{out[0]}` string, `{out[1]}` double")
+    return docs.select(*needed).mapInArrow(common.tidy(run, "langid"), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{out[0]}` string, `{out[1]}` double")
 
 
 def training_rows(docs: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:

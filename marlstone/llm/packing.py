@@ -52,7 +52,12 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path)
+
+
+#: Ids of words seen, by tokenizer and word.
+_seen: dict[str, dict[str, bytes]] = {}
+common.keeps("packing", _seen.clear)
 
 
 #: Words that are one piece for the tokenizer, unchanged by its normalisation: basic and Latin-1 small letters.
@@ -66,8 +71,8 @@ SPECIAL = "<|"
 def encode_words(words: list[str], path: str) -> list[bytes]:
     """Ids of single words as little-endian uint32; a word's ids don't depend on its neighbours, since the tokenizer
     drops white space and never joins across it."""
-    t, cache = _tokenizer(path)
-    if len(cache) > 400_000:
+    t, cache = _tokenizer(path), _seen.setdefault(path, {})
+    if len(cache) > 250_000:
         cache.clear()
     new = pa.array([w for w in words if w not in cache], pa.string())
     plain = pc.match_substring_regex(new, f"^{PLAIN}{{1,64}}$")
@@ -114,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
         uid = TaskContext.get().partitionId() << 33
         stop = np.array([end_id], "<u4")
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", 4 << 20):
                 special = pc.any(pc.match_substring(part.column("text"), SPECIAL)).as_py()
                 offsets, index, words = common.words_of(part.column("text"), lower=not special)
                 flat, lens = word_ids(words, path)
@@ -128,7 +133,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: i
                 uid += len(rows)
 
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
-    return docs.mapInArrow(common.tidy(run), "uid long, doc_id long, piece int, start long, length long, ids binary" + "".join(f", {x} long" for x in carry))
+    return docs.mapInArrow(common.tidy(run, "packing"), "uid long, doc_id long, piece int, start long, length long, ids binary" + "".join(f", {x} long" for x in carry))
 
 
 def plan(counts: dict[int, int], c: Capacity) -> np.ndarray:
