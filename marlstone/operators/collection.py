@@ -64,7 +64,8 @@ def _first(hits: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(store: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """queries (query_id, qvec) against every vector of the store by inner product, in column functions."""
+    """queries (query_id, qvec) against every vector of the store by inner product, in column functions. A plain statement of
+    what `top_k_blocked` returns, for few queries: every pair is a row."""
     return _first(store.crossJoin(queries).select("query_id", "vec_id", F.round(dot(F.col("qvec"), F.col("embedding")), DIGITS).alias("score")), k)
 
 
@@ -106,6 +107,23 @@ def score_mutations(got: DataFrame, truth: DataFrame, totals: DataFrame) -> Data
     return j.join(F.broadcast(totals), "op").groupBy("op").agg(F.sum(F.col("n") / F.greatest("total", F.lit(1)) * F.col("j")).alias("score"))
 
 
+def agreement(done: DataFrame, truth: DataFrame) -> DataFrame:
+    """done and truth (op_seq, op, vec_id, ok) -> (op_seq, op, n, ok, bad): rows of done, and the Jaccard indices of the ids
+    that succeeded and of those that failed. Ids are counted, never gathered in one place."""
+    key = ["op_seq", "op", "vec_id", "ok"]
+    one = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(1))
+    sums = one(done, "a").join(one(truth, "b"), key, "full").groupBy("op_seq", "op").agg(*(F.count(F.when(F.col("ok") == ok, F.when(c, 1))).alias(f"{name}_{ok}") for ok in (True, False) for name, c in (("both", F.col("a").isNotNull() & F.col("b").isNotNull()), ("any", F.lit(True)))))
+    part = lambda ok: F.when(F.col(f"any_{ok}") == 0, 1.0).otherwise(F.col(f"both_{ok}") / F.col(f"any_{ok}"))
+    sizes = done.groupBy("op_seq", "op").agg(F.count("*").alias("n"))
+    return sums.join(sizes, ["op_seq", "op"], "left").select("op_seq", "op", F.coalesce("n", F.lit(0)).alias("n"), part(True).alias("ok"), part(False).alias("bad"))
+
+
+def weighted(agreed: DataFrame) -> DataFrame:
+    """(op, score): operations of a kind weighted by their size."""
+    total = agreed.groupBy("op").agg(F.sum("n").alias("total"))
+    return agreed.join(F.broadcast(total), "op").groupBy("op").agg(F.sum(F.col("n") / F.greatest("total", F.lit(1)) * (F.col("ok") + F.col("bad")) / 2).alias("score"))
+
+
 def final_score(scores: DataFrame, ratio: float) -> DataFrame:
     """scores (op, score) -> (functional, multiplier, final)."""
     part = lambda op, w: F.coalesce(F.sum(F.when(F.col("op") == op, F.col("score") * w)), F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def recall(lists: DataFrame, k: int = 10) -> DataFrame:
     return lists.select("query_id", F.when(F.size("truth") == 0, 1.0).otherwise(hit / F.size(truth)).alias("recall"))
 
 
+def evaluate_run(run: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int = 10) -> float:
+    """Mean NDCG of run, which gets queries (query_id, query) and gives (query_id, page_ids); queries has `relevant` too."""
+    lists = run(queries.select("query_id", "query"))
+    check_lists(lists, queries)
+    ranked = lists.select("query_id", F.posexplode("page_ids").alias("rank", "page_id")).withColumn("rank", F.col("rank") + 1)
+    truth = queries.select("query_id", F.explode("relevant").alias("page_id"))
+    return mean_ndcg(ndcg(queries, ranked, truth, k)).first()[0]
+
+
 def check_lists(lists: DataFrame, queries: DataFrame) -> None:
     """One list for each query, or an error."""
     if dict(lists.dtypes).get("page_ids") != "array<bigint>":

@@ -324,6 +324,81 @@ def scenario_score(spark, sf_dir):
     return collection.final_score(parts.union(searched), 0.8).select(*(F.round(c, 9).alias(c) for c in ("functional", "multiplier", "final")))
 
 
+def whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log over every row: inserts of two thirds, deletes of present and absent ids, inserts of the even ids with another
+    vector, deletes of each fifth id twice. Searches are at 2 and 5."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    op = lambda df, seq, kind, v, more=0: df.select(F.lit(seq).cast("bigint").alias("op_seq"), (F.col("vec_id") + more).alias("pos"), F.lit(kind).alias("op"), "vec_id", v.alias("embedding"))
+    none = F.lit(None).cast("array<float>")
+    fifth = e.where(F.col("vec_id") % 5 == 0)
+    return (
+        op(e.where(F.col("vec_id") % 3 != 0), 0, "insert", F.col("embedding"))
+        .union(op(e.where(F.col("vec_id") % 7 == 0), 1, "delete", none))
+        .union(op(e.where(F.col("vec_id") % 2 == 0), 3, "insert", F.reverse("embedding")))
+        .union(op(fifth, 4, "delete", none))
+        .union(op(fifth, 4, "delete", none, 1 << 40))
+    )
+
+
+def _asked_at(spark, sf_dir, op_seq: int) -> DataFrame:
+    every = {2: 50, 5: 20}[op_seq]
+    e = table(spark, sf_dir, "embeddings")
+    return e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
+def _told(done: DataFrame) -> DataFrame:
+    """A truth that lacks the ids divisible by 11 and has those divisible by 13 turned round."""
+    return done.where(F.col("vec_id") % 11 != 0).withColumn("ok", F.when(F.col("vec_id") % 13 == 0, ~F.col("ok")).otherwise(F.col("ok")))
+
+
+@query
+def replay_outcomes(spark, sf_dir):
+    done = collection.mutations(whole_log(spark, sf_dir))
+    return collection.agreement(done, _told(done)).select("op_seq", "op", "n", F.round("ok", 9).alias("ok"), F.round("bad", 9).alias("bad"))
+
+
+@query
+def replay_active(spark, sf_dir):
+    done = collection.mutations(whole_log(spark, sf_dir))
+    at = lambda s: collection.active(done, s).select(F.lit(s).cast("bigint").alias("op_seq"), "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    return at(2).union(at(5))
+
+
+@query
+def replay_search(spark, sf_dir):
+    done = collection.mutations(whole_log(spark, sf_dir))
+    found = lambda s: collection.top_k_blocked(collection.active(done, s), _asked_at(spark, sf_dir, s)).withColumn("op_seq", F.lit(s).cast("bigint"))
+    return found(2).union(found(5)).select("op_seq", "query_id", "rank", "vec_id", "score")
+
+
+@query
+def replay_score(spark, sf_dir):
+    """Searches weighted by their number of queries; the truth of a search is the best of all vectors."""
+    done = collection.mutations(whole_log(spark, sf_dir))
+    mutated = collection.weighted(collection.agreement(done, _told(done)))
+    lists = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("query_id", F.col("l.vec_id").alias(name))
+    every = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    recalls = None
+    for s in (2, 5):
+        asked_ = _asked_at(spark, sf_dir, s)
+        found = lists(collection.top_k_blocked(collection.active(done, s), asked_), "found")
+        truth = lists(collection.top_k_blocked(every, asked_), "truth")
+        part = metrics.recall(truth.join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>"))))
+        recalls = part if recalls is None else recalls.union(part)
+    searched = recalls.agg(F.lit("search").alias("op"), F.avg("recall").alias("score"))  # over all queries: weighted by their number
+    scores = mutated.union(searched.select("op", "score"))
+    return collection.final_score(scores, 0.4).select(*(F.round(c, 9).alias(c) for c in ("functional", "multiplier", "final")))
+
+
+@query
+def ivf_recall(spark, sf_dir):
+    """Whether the clustered search with 32 lists finds nine of ten of the exact neighbours, over all queries."""
+    store = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lists = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("query_id", F.col("l.vec_id").alias(name))
+    pairs = lists(vec_topk(spark, sf_dir), "truth").join(lists(ivf_topk(spark, sf_dir), "found"), "query_id")
+    return metrics.recall(pairs).agg((F.avg("recall") >= 0.9).alias("enough"), F.count("*").alias("queries")).select("enough", "queries")
+
+
 @query
 def runtime_multipliers(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in (0.5, 0.51, 1.0, 1.01, 2.0, 2.01)], "ratio double").select("ratio", runtime_multiplier(F.col("ratio")).alias("multiplier"))

@@ -85,6 +85,23 @@ CTES: dict[str, str] = {
     "tokens_": f"SELECT * FROM ({_values([(t,) for t in TOKENS])}) t(term)",
 }
 
+#: The log over every row, and what follows from it as from `log`.
+CTES |= {
+    "whole_log": "SELECT 0::BIGINT AS op_seq, vec_id AS pos, 'insert' AS op, vec_id, embedding FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT 1, vec_id, 'delete', vec_id, NULL FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT 3, vec_id, 'insert', vec_id, list_reverse(embedding) FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 4, vec_id + x, 'delete', vec_id, NULL FROM embeddings, (VALUES (0), (1099511627776)) t(x) WHERE vec_id % 5 = 0",
+    "whole_done": CTES["done"].replace("FROM log", "FROM whole_log"),
+    "whole_versions": CTES["versions"].replace("FROM done", "FROM whole_done"),
+    "whole_seen": CTES["seen"].replace("FROM versions", "FROM whole_versions"),
+    "told": "SELECT op_seq, op, vec_id, CASE WHEN vec_id % 13 = 0 THEN NOT ok ELSE ok END AS ok FROM whole_done WHERE vec_id % 11 <> 0",
+    "agreed": "SELECT op_seq, op, count(*) FILTER (ok) AS any_ok, count(*) FILTER (ok AND a AND b) AS both_ok, count(*) FILTER (NOT ok) AS any_bad, count(*) FILTER (NOT ok AND a AND b) AS both_bad FROM (SELECT op_seq, op, vec_id, ok, bool_or(side = 'a') AS a, bool_or(side = 'b') AS b FROM (SELECT op_seq, op, vec_id, ok, 'a' AS side FROM whole_done UNION ALL SELECT op_seq, op, vec_id, ok, 'b' FROM told) GROUP BY ALL) GROUP BY op_seq, op",
+    "whole_jac": "SELECT op_seq, op, n, CASE WHEN any_ok = 0 THEN 1.0::DOUBLE ELSE both_ok::DOUBLE / any_ok END AS ok, CASE WHEN any_bad = 0 THEN 1.0::DOUBLE ELSE both_bad::DOUBLE / any_bad END AS bad FROM agreed JOIN (SELECT op_seq, op, count(*) AS n FROM whole_done GROUP BY op_seq, op) USING (op_seq, op)",
+    "whole_weighed": "SELECT op, sum(n::DOUBLE / total * (ok + bad) / 2) AS score FROM whole_jac JOIN (SELECT op, sum(n) AS total FROM whole_jac GROUP BY op) USING (op) GROUP BY op",
+    "whole_asked": "SELECT 2::BIGINT AS op_seq, vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT 5, vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0",
+    "whole_best": "SELECT op_seq, query_id, row_number() OVER (PARTITION BY op_seq, query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM (SELECT op_seq, query_id, vec_id, round(list_dot_product(qvec::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM whole_asked JOIN whole_seen USING (op_seq)) QUALIFY rank <= 10",
+    "whole_true": "SELECT op_seq, query_id, row_number() OVER (PARTITION BY op_seq, query_id ORDER BY score DESC, vec_id) AS rank, vec_id FROM (SELECT op_seq, query_id, e.vec_id, round(list_dot_product(qvec::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM whole_asked, embeddings e) QUALIFY rank <= 10",
+    "whole_recalls": "SELECT op_seq, query_id, count(b.vec_id)::DOUBLE / count(*) AS recall FROM whole_true t LEFT JOIN whole_best b USING (op_seq, query_id, vec_id) GROUP BY op_seq, query_id",
+    "whole_functional": "SELECT 0.5::DOUBLE * (SELECT avg(recall) FROM whole_recalls) + 0.3::DOUBLE * (SELECT score FROM whole_weighed WHERE op = 'insert') + 0.2::DOUBLE * (SELECT score FROM whole_weighed WHERE op = 'delete') AS f",
+}
+
 FINAL: dict[str, str] = {
     "corpus_scan": "SELECT page_id, title, md5(content) AS content_md5 FROM pages",
     "sentence_split": "SELECT page_id, unnest(range(len(sents))) AS pos, unnest(sents) AS sentence FROM split_",
@@ -126,6 +143,11 @@ FINAL: dict[str, str] = {
     "recall_at_10": "SELECT query_id, recall FROM recalls",
     "jaccard_mutations": "SELECT op_seq, round(ok, 9) AS ok, round(bad, 9) AS bad FROM jac",
     "scenario_score": "SELECT round(f, 9) AS functional, 0.9::DOUBLE AS multiplier, round(f * 0.9::DOUBLE, 9) AS final FROM functional",
+    "replay_outcomes": "SELECT op_seq, op, n, round(ok, 9) AS ok, round(bad, 9) AS bad FROM whole_jac",
+    "replay_active": "SELECT op_seq, vec_id, round(embedding[1]::DOUBLE, 6) AS first FROM whole_seen",
+    "replay_search": "SELECT op_seq, query_id, rank, vec_id, score FROM whole_best",
+    "replay_score": "SELECT round(f, 9) AS functional, CASE WHEN 0.4 <= 0.5 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS multiplier, round(f, 9) AS final FROM whole_functional",
+    "ivf_recall": "SELECT true AS enough, count(*) FILTER (vec_id % 50 = 0) AS queries FROM embeddings",
     "runtime_multipliers": "SELECT ratio::DOUBLE AS ratio, (CASE WHEN ratio <= 0.5 THEN 1.0 WHEN ratio <= 1 THEN 0.9 WHEN ratio <= 2 THEN 0.75 ELSE 0.5 END)::DOUBLE AS multiplier FROM (VALUES (0.5), (0.51), (1.0), (1.01), (2.0), (2.01)) t(ratio)",
     "l2_normalized": "SELECT vec_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings",
     "ivf_all_lists": "SELECT query_id, rank, vec_id, score FROM best",

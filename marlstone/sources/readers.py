@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,9 +63,45 @@ def mutation_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MUTATION).option("multiLine", True).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def insert_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet (pos, vec_id, embedding); of a repeated id the last vector stays."""
-    return spark.read.parquet(path).groupBy("vec_id").agg(F.max_by("embedding", "pos").alias("embedding"))
+    """(pos, vec_id, embedding) from Parquet of that form, or from a NumPy file of (id, vector) pairs; of a repeated id the
+    last vector stays, at the place of the first."""
+    rows = pairs(spark, path) if path.endswith(".npy") else spark.read.parquet(path)
+    kept = rows.groupBy("vec_id").agg(F.min("pos").alias("pos"), F.max_by("embedding", "pos").alias("embedding"))
+    return kept.select("pos", F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+class _PlainArrays(pickle.Unpickler):
+    """Loads arrays and numbers only: nothing in a file can name other code."""
+
+    ALLOWED = {"_reconstruct", "scalar", "ndarray", "dtype", "_frombuffer"}
+
+    def find_class(self, module: str, name: str):
+        if module.split(".")[0] == "numpy" and name in self.ALLOWED:
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} isn't an array or a number")
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, vec_id, embedding) of a NumPy file of (id, vector) pairs, which NumPy keeps as pickled objects."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame.content:
+                f = io.BytesIO(content)
+                major = np.lib.format.read_magic(f)[0]
+                (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
+                every = np.asarray(_PlainArrays(f).load(), object).reshape(-1, 2)
+                for at in range(0, len(every), 4096):
+                    some = every[at : at + 4096]
+                    yield pd.DataFrame({"pos": np.arange(at, at + len(some)), "vec_id": [int(x) for x in some[:, 0]], "embedding": [np.asarray(x, np.float32) for x in some[:, 1]]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "pos long, vec_id long, embedding array<float>")
 
 
 def npy(spark: SparkSession, path: str) -> DataFrame:
