@@ -20,7 +20,6 @@ def build(spark: SparkSession, pages: DataFrame, root: str, dense: bool = True)
     index = bm25.build(chunks)
     store.save("postings", index.postings, sort=("term", "chunk_id"))
     store.save("bm25_stats", index.stats)
-    index.tf.unpersist()
     if dense:
         store.save("vectors", ann.hashing_embedding(chunks.select(F.col("chunk_id").alias("text_id"), "text")).withColumnRenamed("text_id", "vec_id"))
         centroids, listed = ann.build(store.load("vectors"))

@@ -16,6 +16,8 @@ from ..functions.vector import dot, l2_normalize
 from . import collection
 
 NPROBE, DIM = 32, 384
+#: Bytes of centroids that are broadcast at most; more are joined as any table.
+BROADCAST = 64 << 20
 
 
 def list_count(n: int) -> int:
@@ -35,8 +37,10 @@ def build(store: DataFrame, lists: int | None = None, seed: int = 1, sample: int
 
 
 def search(centroids: DataFrame, listed: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = NPROBE) -> DataFrame:
-    """queries (query_id, qvec): the nprobe nearest lists, then the k best of their members."""
-    near = queries.crossJoin(F.broadcast(centroids)).withColumn("near", dot(F.col("qvec"), F.col("centroid")))
+    """queries (query_id, qvec): the nprobe nearest lists, then the k best of their members. Every query meets every centroid
+    (about the root of the number of vectors); a query set is stated, never the table itself."""
+    small = centroids.agg(F.coalesce(F.sum(F.size("centroid") * 8), F.lit(0))).first()[0] <= BROADCAST
+    near = queries.join(F.broadcast(centroids) if small else centroids).withColumn("near", dot(F.col("qvec"), F.col("centroid")))
     probe = near.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "list_id"))).where(F.col("nth") <= nprobe).select("query_id", "qvec", "list_id")
     hits = probe.join(listed, "list_id").select("query_id", "vec_id", F.round(dot(F.col("qvec"), F.col("embedding")), collection.DIGITS).alias("score"))
     return collection._first(hits, k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import with_stem
+from ..sources.stage import stage
 
 K1, B, MOST_DF = 1.5, 0.75, 0.5
 DIGITS = 6  # scores are rounded before they are ranked, so that the order of a sum doesn't decide ties
@@ -22,6 +23,7 @@ def stem_table(raw: DataFrame) -> DataFrame:
 def term_counts(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, tf): stems, and words that differ from their stem, counted together."""
     raw = chunks.select("chunk_id", F.explode(T.raw_tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+    raw = stage(raw, "bm25-raw")  # read for its terms and for their counts
     both = raw.join(stem_table(raw), "term").select("chunk_id", "n", F.explode(F.array_distinct(F.array("stem", "term"))).alias("term"))
     return both.groupBy("chunk_id", "term").agg(F.sum("n").alias("tf"))
 
@@ -69,12 +71,9 @@ class Index:
     dl: DataFrame
 
 
-def build(chunks: DataFrame, most_df: float = MOST_DF, keep: bool = True) -> Index:
-    """Index of chunks (chunk_id, text). All parts read tf, so it is kept (in memory or on disk) unless told otherwise;
-    unpersist Index.tf when the index is written."""
-    tf = term_counts(chunks)
-    if keep:
-        tf = tf.persist()
+def build(chunks: DataFrame, most_df: float = MOST_DF) -> Index:
+    """Index of chunks (chunk_id, text). All parts read tf, so it is written once to the shared folder."""
+    tf = stage(term_counts(chunks), "bm25-tf")
     df, dl, stats = doc_freq(tf), doc_len(tf), corpus_stats(chunks, tf)
     c = F.col
     score = weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.stage import stage
 
 WINDOW, STRIDE, LEAST = 200, 150, 20
 SUMMARY_SENTENCES, SUMMARY_CHARS = 2, 300
-PAGES_IN_BUCKET = 4096
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
@@ -26,17 +26,16 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, page_id, chunk_type, text): dense ids by page, then place. Running sums are taken within buckets of
-    page ids and over the buckets, so no window sees all pages."""
-    bucket = F.floor(F.col("page_id") / PAGES_IN_BUCKET).alias("bucket")
-    per_page = chunks.groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", bucket, "n")
-    inner = Window.partitionBy("bucket").orderBy("page_id")
-    per_page = per_page.withColumn("inner", F.sum("n").over(inner) - F.col("n"))
-    totals = per_page.groupBy("bucket").agg(F.sum("n").alias("total"))
-    bases = totals.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("base"))
-    offsets = per_page.join(bases, "bucket").select("page_id", (F.col("base") + F.col("inner")).alias("first"))
+    """(chunk_id, page_id, chunk_type, text): dense ids by page, then place. chunks is read twice: stage it before. Pages are
+    dealt by ranges of their ids, however these are spread; running sums are within a range and over the ranges."""
+    sizes = chunks.groupBy("page_id").agg(F.count("*").alias("n"))
+    sizes = stage(sizes.repartitionByRange("page_id").select("page_id", "n", F.spark_partition_id().alias("range")), "chunk-sizes")
+    totals = sizes.groupBy("range").agg(F.sum("n").alias("total"))  # a row for each range
+    bases = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("base"))
+    inner = F.sum("n").over(Window.partitionBy("range").orderBy("page_id")) - F.col("n")
+    offsets = sizes.withColumn("inner", inner).join(F.broadcast(bases), "range").select("page_id", (F.col("base") + F.col("inner")).alias("first"))
     return chunks.join(offsets, "page_id").select((F.col("first") + F.col("pos")).cast("bigint").alias("chunk_id"), "page_id", "chunk_type", "text")
 
 
 def chunk_corpus(pages: DataFrame) -> DataFrame:
-    return number_chunks(chunk_pages(pages))
+    return number_chunks(stage(chunk_pages(pages), "chunk-parts"))

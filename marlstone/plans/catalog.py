@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vector import dot, jaccard, l2_normalize, runtime_multiplier
-from ..operators import ann, bm25, collection, fusion, metrics
+from ..operators import ann, bm25, collection, fusion, metrics, passages
 from ..operators.chunk import chunk_corpus, chunk_pages
 from ..sources.readers import documents_as_pages, table
+from ..sources.stage import stage
 from .oracle import ASKED, ORACLE_SQL, TOKENS  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build(_chunks(spark, sf_dir))
+    return bm25.build(stage(_chunks(spark, sf_dir), "chunks"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, page_id): documents that hold the item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    return docs.join(items, F.col("text").contains(F.col("item"))).select("query_id", "page_id")
+    return stage(passages.holding(docs, items), "relevant")  # a metric reads it twice
 
 
 # ---- scans and chunks
@@ -177,7 +178,7 @@ def rrf_fuse(spark, sf_dir):
 
 @query
 def search_pages(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    chunks = stage(_chunks(spark, sf_dir), "chunks")
     return fusion.search(asked(spark, sf_dir), bm25.build(chunks).postings, chunks)
 
 
