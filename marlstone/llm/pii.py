@@ -39,11 +39,22 @@ PATTERNS = {
     "email_spelt": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "person": rf"\b(?:(?:{HONOURS})\.? |(?:{GIVEN}) )(?:[A-Z]\. ?)?[A-Z][a-z]++(?:[ -][A-Z][a-z]++)?",
+    "person": rf"(?=[A-Z])\b(?:(?:{HONOURS})\.? |(?:{GIVEN}) )(?:[A-Z]\. ?)?[A-Z][a-z]++(?:[ -][A-Z][a-z]++)?",
     "street": rf"\b[0-9]{{1,5}} (?:[A-Z][a-z]++ ){{1,3}}(?:{WAYS})\b\.?",
 }
-#: Tested before a pattern is tried: a text without it has no match.
-GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "email_spelt": r"(?i)\bdot\b", "phone_local": "[0-9]{3}[ .-][0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "person": rf"\b(?:{HONOURS}|{GIVEN})\b", "street": rf" (?:{WAYS})\b"}
+#: Tested before a pattern is tried: a text without it has no match. What needs a digit is tried in texts with one only.
+GUARDS = {
+    "email": lambda text: F.contains(text, F.lit("@")),
+    "ip": lambda text: text.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda text: text.rlike("[0-9][ -]?[0-9]"),
+    "phone": lambda text: F.contains(text, F.lit("+")),
+    "email_spelt": lambda text: F.contains(F.lower(text), F.lit("dot")),
+    "phone_local": lambda text: text.rlike("[0-9]{3}[ .-][0-9]{4}"),
+    "ssn": lambda text: text.rlike("[0-9]-[0-9]{2}-[0-9]"),
+    "person": lambda text: text.rlike(rf"(?=[A-Z])(?<![A-Za-z])(?:{HONOURS}|{GIVEN})\b"),
+    "street": lambda text: text.rlike(rf" (?=[A-Z])(?:{WAYS})\b"),
+}
+DIGITS = {"ip", "card", "phone", "phone_local", "ssn", "street"}
 CUES = {"email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address|client|login", "card": "card|visa|master|amex|credit|debit|paid", "phone": "phone|tel|call|mobile|cell|fax|contact", "ssn": r"ssn|social|security", "person": r"\bname\b|dear|regards|signed|author|contact|attn|from|by\b|i am|i'm", "street": r"address|lives?\b|live at|ship|deliver|mail|office|located|visit"}
 AGAINST = r"version|release|order|invoice|isbn|ticket|serial|part no|section|chapter|figure"
 AFTER = r"^\W*(?:is|was|are) (?:my|our|his|her|the) (?:e?-?mail|address|phone|number|card|server)"
@@ -59,7 +70,7 @@ NEAR = 32
 MARK, MARK_READ = "\ue000", "\ue001"
 
 
-def found(text: Column, kind: str) -> Column:
+def found(text: Column, kind: str, digit: Column | None = None) -> Column:
     """Leftmost non-overlapping matches of a kind's pattern with what stands around them. The text is searched once and cut
     at its matches; nothing is looked up by its place in the whole text, so the cost is linear in text and matches."""
     cut = F.split(F.regexp_replace(F.translate(text, MARK, MARK_READ), f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK, -1)
@@ -72,7 +83,8 @@ def found(text: Column, kind: str) -> Column:
         at = F.transform(F.filter(every, lambda x, i: i % 2 == 0), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["left"]["before"].alias("before"), F.coalesce(x["right"]["after"], F.lit("")).alias("after")))
         return at
 
-    return F.when(text.rlike(GUARDS[kind]), common.let(cut, spans)).otherwise(F.array().cast(SPAN))
+    guard = GUARDS[kind](text)
+    return F.when(digit & guard if kind in DIGITS and digit is not None else guard, common.let(cut, spans)).otherwise(F.array().cast(SPAN))
 
 
 def digits(m: Column) -> Column:
@@ -140,7 +152,8 @@ def candidates(kind: str, spans: Column) -> Column:
 
 def with_candidates(docs: DataFrame, text: str, out: str = "__pii_cands") -> DataFrame:
     """docs with an array of candidates of all kinds."""
-    raw = docs.select("*", *(found(F.col(text), k).alias(f"__pii_{k}") for k in PATTERNS))
+    raw = docs.withColumn("__pii_digit", F.col(text).rlike("[0-9]"))
+    raw = raw.select("*", *(found(F.col(text), k, F.col("__pii_digit")).alias(f"__pii_{k}") for k in PATTERNS))
     every = F.concat(*(candidates(k, F.col(f"__pii_{k}")) for k in PATTERNS))
     return raw.select(*docs.columns, every.alias(out))
 
