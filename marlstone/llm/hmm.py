@@ -47,7 +47,7 @@ class Settings:
     head: int = 1 << 18
     near: int = 255
     rounds: int = 3
-    segment: int = 8192
+    segment: int = 2048
     block: int = 250_000
     gather: int = 1_500_000
     seed: int = 7
@@ -270,17 +270,34 @@ def likelihoods(codes: list[np.ndarray], m: Model, s: Settings) -> np.ndarray:
     return like
 
 
-def coded(batches: Iterator[pa.RecordBatch], head: pa.Array, s: Settings, gather: int) -> Iterator[list[np.ndarray]]:
-    """Class sequences of whole texts, gathered until they hold about `gather` tokens."""
+def encoded(docs: DataFrame, head, s: Settings) -> DataFrame:
+    """docs (text) -> (codes): the classes of a whole text's tokens as little-endian integers, found once for all passes."""
+    kind = code_type(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                offsets, index, words = common.words_of(part.column("text"))
+                g = classes_of(words.cast(pa.string()), head.value, s)[0].astype(kind)[index]
+                rows = [np.append(g[a:b], kind.type(END)).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["codes"])
+
+    return docs.select("text").mapInArrow(common.tidy(run), "codes binary")
+
+
+def code_type(s: Settings) -> np.dtype:
+    return np.dtype("<i2" if s.classes < 1 << 15 else "<i4")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[list[np.ndarray]]:
+    """Class sequences of whole texts, until they hold about s.gather tokens."""
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        for part in common.slices(batch, "text"):
-            offsets, index, words = common.words_of(part.column("text"))
-            g = classes_of(words.cast(pa.string()), head, s)[0].astype(np.int32)[index]
-            held += [np.append(g[a:b], np.int32(END)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            size += len(g)
-            if size >= gather:
+        for x in batch.column("codes"):
+            held.append(np.frombuffer(x.as_buffer(), code_type(s)).astype(np.int32))
+            size += len(held[-1])
+            if size >= s.gather:
                 yield held
                 held, size = [], 0
     if held:
@@ -344,16 +361,17 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
     schema = "g int, " + ", ".join(f"w{z} double" for z in range(k))
     head = spark.sparkContext.broadcast(vocab.head)
     near = min(s.near, s.own)
+    texts = common.stage(encoded(docs, head, s), "hmm-codes")
 
     def succeed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((near + 1) ** 2, np.int64)
-        for codes in coded(batches, head.value, s, s.gather):
+        for codes in gathered(batches, s):
             found += successions(codes, near)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], ["at", "n"])
 
     counts = np.zeros((near + 1) ** 2)
-    for r in docs.select("text").mapInArrow(common.tidy(succeed), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # (near + 1) ** 2 at most
+    for r in texts.mapInArrow(common.tidy(succeed), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # (near + 1) ** 2 at most
         counts[r["at"]] = r.n
     model = first_model(counts.reshape(near + 1, near + 1), prior, s)
     for _ in range(s.rounds):
@@ -361,12 +379,12 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             found = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
-            for codes in coded(batches, head.value, s, s.gather):
+            for codes in gathered(batches, s):
                 for b in blocks(codes, now.value, s):
                     b.expect(now.value, *found)
             yield _rows(*found)
 
-        sums = docs.select("text").mapInArrow(common.tidy(expect), schema).groupBy("g").agg(*(F.sum(f"w{z}").alias(f"w{z}") for z in range(k)))
+        sums = texts.mapInArrow(common.tidy(expect), schema).groupBy("g").agg(*(F.sum(f"w{z}").alias(f"w{z}") for z in range(k)))
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes, k))
         for r in sums.collect():  # a row for each class and state
             if r.g >= 0:
@@ -378,6 +396,7 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
         model = normalised(start, move, emit, prior)
         now.unpersist()
     head.unpersist()
+    common.unstage(texts)
     return model
 
 
