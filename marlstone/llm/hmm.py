@@ -201,7 +201,7 @@ def transfers(codes: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray
         grid[row, : lens[row]] = codes[i]
     for t, n in enumerate(np.searchsorted(-lens, -np.arange(lens[0]), side="left")):
         e = m.emit[grid[:n, t]]
-        made[:n] = np.eye(k)[None] * e[:, None, :] if t == 0 else (made[:n] @ m.move) * e[:, None, :]
+        made[:n] = np.eye(k)[None] * e[:, None, :] if t == 0 else (made[:n].reshape(-1, k) @ m.move).reshape(n, k, k) * e[:, None, :]
         c = made[:n].sum((1, 2))
         made[:n] /= c[:, None, None]
         logs[:n] += np.log(c)
@@ -209,11 +209,18 @@ def transfers(codes: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray
     return made[back], logs[back]
 
 
-def chained(text: np.ndarray, m: Model, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, float]:
-    """A long text's segments with prior, before and tail of each, and the log of its likelihood."""
-    cut = [text[at : at + size] for at in range(0, len(text), size)]
-    parts = [transfers(cut[at : at + 64], m) for at in range(0, len(cut), 64)]
-    made, logs = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+def chained(texts: list[np.ndarray], m: Model, size: int, lanes: int = 1024) -> list[tuple]:
+    """Of each long text its segments with prior, before and tail of each, and the log of its likelihood. The segments of
+    all texts go side by side, so that a step has many of them."""
+    cuts = [[text[at : at + size] for at in range(0, len(text), size)] for text in texts]
+    flat = [c for cut in cuts for c in cut]
+    parts = [transfers(flat[at : at + lanes], m) for at in range(0, len(flat), lanes)]
+    made, logs = (np.concatenate([x[i] for x in parts]) if parts else np.empty(0) for i in range(2))
+    first = np.cumsum([0, *map(len, cuts)])
+    return [chain(cut, made[a : a + len(cut)], logs[a : a + len(cut)], m) for cut, a in zip(cuts, first, strict=False)]
+
+
+def chain(cut: list[np.ndarray], made: np.ndarray, logs: np.ndarray, m: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, float]:
     prior, before, tail = np.empty((len(cut), len(m.start))), np.zeros((len(cut), len(m.start))), np.ones((len(cut), len(m.start)))
     at, like = m.start, 0.0
     for i in range(len(cut)):
@@ -233,7 +240,7 @@ def blocks(codes: list[np.ndarray], m: Model, s: Settings) -> Iterator[Block]:
     """All texts in segments by falling length, about s.block tokens in a block."""
     k = len(m.start)
     short = [c for c in codes if len(c) <= s.segment]
-    long = [chained(c, m, s.segment) for c in codes if len(c) > s.segment]
+    long = chained([c for c in codes if len(c) > s.segment], m, s.segment)
     every = short + [c for x in long for c in x[0]]
     prior = np.concatenate([np.tile(m.start, (len(short), 1)), *(x[1] for x in long)])
     before = np.concatenate([np.zeros((len(short), k)), *(x[2] for x in long)])
@@ -264,9 +271,8 @@ def likelihoods(codes: list[np.ndarray], m: Model, s: Settings) -> np.ndarray:
     for took in dealt([len(codes[i]) for i in short], s.block):
         k = np.zeros((len(took), len(m.start)))
         like[short[took]] = Block([codes[i] for i in short[took]], np.tile(m.start, (len(took), 1)), k, k).likelihood(m)
-    for i, c in enumerate(codes):
-        if len(c) > s.segment:
-            like[i] = chained(c, m, s.segment)[-1]
+    long = [i for i, c in enumerate(codes) if len(c) > s.segment]
+    like[long] = [x[-1] for x in chained([codes[i] for i in long], m, s.segment)]
     return like
 
 
