@@ -36,7 +36,8 @@ from .components import meet
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    """part_rows: rows of a part where `most_parts` allows; asked: held-out vectors that `probes` is chosen by."""
+    """part_rows: rows of a part where `most_parts` allows; asked: held-out vectors that `probes` is chosen by; block: rows of a
+    shard, 0 for a 64th of all within 1,024 and 65,536."""
 
     k: int = 5
     sample: int = 16384
@@ -45,7 +46,7 @@ class Settings:
     graph: int = 10
     recall: float = 0.93
     asked: int = 256
-    block: int = 8192
+    block: int = 0
     query_block: int = 1 << 20
     epochs: int = 8
     seed: int = 5
@@ -241,7 +242,7 @@ def search_length(rows: DataFrame, dim: int, every: int, s: Settings) -> DataFra
     common.unstage(entries)
     sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
     probes = needed_probes(placed, router, x, dim, s)
-    where = shards(sizes, s.block)
+    where = shards(sizes, s.block or min(1 << 16, max(1 << 10, total >> 6)))
     plan = spark.createDataFrame([(p, first, many) for p, (first, many) in where.items()], "part int, first int, many int")  # a row for each part
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     unique = common.stage(asked.groupBy("v").agg(F.min("vec_id").alias("q"), F.count("*").alias("n")), "ann-queries")
