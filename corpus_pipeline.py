@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import common, langid, mixing, nearcopies, packing, pii
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def beside(step: Stage) -> Stage:
+    """The stage, which sees columns that aren't those of documents as one, so that none of their names can clash with its own."""
+
+    @functools.wraps(step)
+    def whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in OWN]
+        if not more:
+            return step(spark, docs, sf_dir)
+        held = docs.select(*(c for c in docs.columns if c in OWN), F.struct(*(F.col(f"`{c}`") for c in more)).alias("_more"))
+        return step(spark, held, sf_dir).select(*(c if c in OWN else F.col("_more").getField(c).alias(c) for c in docs.columns))
+
+    return whole
+
+
+@beside
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language (null, empty, or no letter at all) go; the others' lang is the predicted one. Repeated
     rows and null ids stay; very long texts are parsed whole. Where no row has a language to learn from, no document has one
@@ -17,6 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.where(F.col("__lang") != langid.UNKNOWN).withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
+@beside
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts at a similarity of 0.8 or more by sets of five words are near copies. op8's fingerprints and keys find the
     nearest; what three bits can't tell is found as `nearcopies` says. The document with the smallest id of each group
@@ -35,6 +58,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.union(docs.where(F.col("doc_id").isNull()))
 
 
+@beside
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span is replaced by its kind, and n_chars is that of the new text (null for a null one); all documents stay,
     those with null, empty and very long texts, repeated rows and null ids too."""
@@ -43,6 +67,7 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@beside
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of their slots: a null source is one of its own, a null text is one character long, ties
     of a slot come by a hash of id and text. An empty table stays empty."""

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -241,9 +242,9 @@ def predict(docs: DataFrame, texts: dict[str, str], *carry: str, out: tuple[str,
                 score = np.nan_to_num(score)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), names, pa.array(score, pa.float64())], [*carry, *out])
 
-    kinds = dict(docs.dtypes)
+    schema = T.StructType([*docs.select(*carry).schema, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     needed = [*carry, *(() if "text" in carry else ("text",))]
-    return docs.select(*needed).mapInArrow(common.tidy(run, "langid"), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{out[0]}` string, `{out[1]}` double")
+    return docs.select(*needed).mapInArrow(common.tidy(run, "langid"), schema)
 
 
 def training_rows(docs: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:

@@ -209,17 +209,17 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: Capacity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = pieces(docs, path, c.tokens, end_id)
     held = common.stage(cut.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pack-pieces")
-    return pack(held, c).drop("uid")
+    return pack(held, c).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """docs with `part` and `at`, the places of its rows: Spark's number of the file and the row in it where docs is a
+    """docs (doc_id, text) with `part` and `at`, the places of its rows: Spark's number of the file and the row in it where docs is a
     table as read (readers take files in any order, writers number them by partition), else partition and row."""
     if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
         number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
-        return docs.select("*", F.coalesce(number, F.lit(0)).cast("long").alias("part"), F.col("_metadata.row_index").cast("long").alias("at"))
+        return docs.select("doc_id", "text", F.coalesce(number, F.lit(0)).cast("long").alias("part"), F.col("_metadata.row_index").cast("long").alias("at"))
     place = F.monotonically_increasing_id()
-    return docs.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    return docs.select("doc_id", "text", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
 
 
 def place_run(part: pa.Table, c: Capacity) -> tuple[np.ndarray, np.ndarray]:
