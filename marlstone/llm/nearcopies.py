@@ -8,8 +8,8 @@ keys of MinHash values: BANDS keys of ROWS values each, so that a pair at simila
 hashes; links are between texts at `least` similarity or more, and groups are the links' connected components.
 
 Under a key the texts are ordered by their next key, so that the most alike are neighbours, and each meets the WINDOW before
-it: all pairs of a small group. What is left of larger groups are pairs of texts that aren't connected by then; those meet
-in a second pass, tile by tile, however many they are.
+it: all pairs of a small group. Larger groups whose texts aren't all connected by then are compared in a second pass, tile
+by tile: a pair of tiles has the whole sets of its texts, and emits a spanning forest of their links, never pairs.
 
 Edge cases: a text of less than five words is one shingle; null and blank texts are alike; a null doc_id never becomes a
 component's id unless all its ids are null; an empty table gives an empty result; other columns are ignored.
@@ -30,8 +30,8 @@ from .components import components, least_of, meet as meet_keys
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 BANDS, ROWS, WINDOW = 24, 4, 8
-#: Texts of a key in one tile of the second pass.
-TILE = 1024
+#: Texts of a key in one tile of the second pass, and hashes of their sets.
+TILE, TILE_HASHES = 1024, 1 << 20
 _random = np.random.default_rng(SEED)
 TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -116,33 +116,63 @@ def candidates(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
     return dealt(nodes).repartition("key").sortWithinPartitions("key", "next", "node").mapInArrow(common.tidy(meet), "u long, v long").distinct()
 
 
-def apart(nodes: DataFrame, large: DataFrame, roots: DataFrame, tile: int = TILE) -> DataFrame:
-    """(u, v) distinct, u < v: all pairs under the keys of large (key) that roots (node, root) doesn't connect."""
+def forest(hashes: list[np.ndarray], left: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts, and of others that they are connected with: a spanning forest of the links of left texts with the
+    others (of all with all if same). Intersections of sets are products of incidence matrices, some hashes at a time."""
+    sizes = np.array([len(x) for x in hashes], np.float64)
+    _, code, many = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(len(hashes)), sizes.astype(np.int64))
+    shared = many[code] > 1
+    number = np.cumsum(many > 1) - 1
+    code, text = number[code[shared]], text[shared]
+    order = np.argsort(code, kind="stable")
+    code, text = code[order], text[order]
+    x, y = (np.arange(len(hashes)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+    both = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+        a, b = np.searchsorted(code, [at, at + 2048])
+        held = np.zeros((len(hashes), 2048), np.float32)
+        held[text[a:b], code[a:b] - at] = 1
+        both += held[x] @ held[y].T
+    i, j = np.nonzero(both >= least * (sizes[x][:, None] + sizes[y][None, :] - both))
+    i, j = x[i], y[j]
+    label = np.arange(len(hashes))
+    while len(i):
+        u, v = label[i], label[j]
+        i, j, u, v = i[u != v], j[u != v], u[u != v], v[u != v]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
+
+
+def apart(nodes: DataFrame, docs: DataFrame, large: DataFrame, roots: DataFrame, least: float = LEAST) -> DataFrame:
+    """(u, v): links that connect the texts under a key of large (key) wherever roots (node, root) doesn't connect them all."""
     few = large.count() <= 1 << 16
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     held = common.stage(dealt(nodes).select("key", "node").join(F.broadcast(large) if few else large, "key").join(named, "node"), "near-large")
-    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = meet_keys(held, mixed.select("key", "n", tiles.alias("tiles")), "key", held.count())
-    own = own.withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    own = own.select("key", F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b"), (F.col("t") <= F.col("other")).alias("left"), "node", "root")
-
-    def pairs(group: pa.Table) -> pa.Table:
-        node, root, left = (group[c].to_numpy() for c in ("node", "root", "left"))
-        same = group["a"][0] == group["b"][0]
-        x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        i, j = np.nonzero(root[x][:, None] != root[y][None, :])
-        if same:
-            i, j = i[i < j], j[i < j]
-        u, v = node[x[i]], node[y[j]]
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return own.groupBy("key", "a", "b").applyInArrow(pairs, "u long, v long").distinct()
-
-
-def alike(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Of the pairs (u, v) those whose texts in docs (node, text) are at least so similar."""
-    members = common.stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-members")
+    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
+    own = common.stage(meet_keys(held.select("key", "node"), mixed.withColumn("m", F.col("n")), "key", held.count()).select("key", "node"), "near-mixed")
+    sets = hashed(own.select("node").distinct(), docs)
+    sized = own.join(sets.select("node", F.size("hashes").alias("size")), "node")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_HASHES)).cast("int").alias("tiles")
+    per_key = sized.groupBy("key").agg(tiles, F.count("*").alias("n"))
+    dealt_out = meet_keys(own, per_key, "key", own.count()).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt_out = dealt_out.select("key", F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b"), (F.col("t") <= F.col("other")).alias("left"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node = group["node"].to_numpy()
+        sets_ = [np.asarray(x.values) for x in group["hashes"]]
+        u, v = forest(sets_, group["left"].to_numpy(), group["a"][0] == group["b"][0], least)
+        return pa.table({"u": node[u], "v": node[v]})
+
+    return dealt_out.join(sets, "node").groupBy("key", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+
+
+def hashed(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, hashes), staged: the set of each of the members' (node) texts in docs (node, text)."""
     texts = docs.select("node", "text").join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +183,13 @@ def alike(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "hashes"])
 
-    held = common.stage(texts.mapInArrow(common.tidy(sets), "node long, hashes array<long>"), "near-sets")
+    return common.stage(texts.mapInArrow(common.tidy(sets), "node long, hashes array<long>"), "near-sets")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Of the pairs (u, v) those whose texts in docs (node, text) are at least so similar."""
+    members = common.stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-members")
+    held = hashed(members, docs)
     sized = held.select("node", "hashes", F.size("hashes").alias("n"))
     both = pairs.join(sized.select(F.col("node").alias("u"), F.col("hashes").alias("a"), F.col("n").alias("an")), "u").join(sized.select(F.col("node").alias("v"), F.col("hashes").alias("b"), F.col("n").alias("bn")), "v")
     both = both.where(F.least("an", "bn") >= least * F.greatest("an", "bn"))
@@ -175,9 +211,9 @@ def near_components(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     roots = common.stage(components(links), "near-roots")
     large = met.where("v is null").select(F.col("u").alias("key"))
     if not large.isEmpty():
-        more = common.stage(apart(nodes, large, roots), "near-more")
+        more = common.stage(apart(nodes, docs, large, roots), "near-more")
         if not more.isEmpty():
-            roots = common.stage(components(links.union(alike(more, docs))), "near-roots")
+            roots = common.stage(components(links.union(more)), "near-roots")
     linked = common.stage(nodes.select("node", "least").join(roots, "node"), "near-linked")
     ids = common.stage(nodes.join(least_of(linked), "node", "left").select("node", "n", F.coalesce("component_id", "least").alias("component_id")), "near-ids")
     common.unstage(nodes, met, links, roots, linked)
