@@ -7,9 +7,10 @@ keys of MinHash values: BANDS keys of ROWS values each, so that a pair at simila
 (1 - s ** ROWS) ** BANDS, 3 in a million at 0.8. Every candidate is then compared by the whole sets of 64-bit shingle
 hashes; links are between texts at `least` similarity or more, and groups are the links' connected components.
 
-Under a key the texts are ordered by their next key, so that the most alike are neighbours, and each meets the WINDOW before
-it: all pairs of a small group. Larger groups whose texts aren't all connected by then are compared in a second pass, tile
-by tile: a pair of tiles has the whole sets of its texts, and emits a spanning forest of their links, never pairs.
+Under a key with WINDOW + 1 texts at most all pairs meet. The texts of a larger one are ordered by their next key, so that the
+most alike are neighbours, and each meets the one before it only: a pair for each text and key, however large the group.
+Larger groups whose texts aren't all connected by then are compared in a second pass, all with all and tile by tile: a pair of
+tiles has the whole sets of its texts, and emits a spanning forest of their links, never pairs.
 
 Edge cases: a text of less than five words is one shingle; null and blank texts are alike; a null doc_id never becomes a
 component's id unless all its ids are null; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +18,7 @@ component's id unless all its ids are null; an empty table gives an empty result
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,26 +94,30 @@ def dealt(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
-    """nodes (node, keys) -> (u, v) distinct, u < v: all pairs of keys with window + 1 texts at most, neighbours of others.
+    """nodes (node, keys) -> (u, v) distinct, u < v: all pairs of keys with window + 1 texts at most, next neighbours of others.
     The others' keys are rows too, u the key and v null."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = node = np.empty(0, np.int64)  # the last rows of the batches before
-        for batch in batches:
-            old = len(key)
-            key, node = np.concatenate([key, np.asarray(batch.column("key"))]), np.concatenate([node, np.asarray(batch.column("node"))])
-            us, vs = [], []
+        key = node = np.empty(0, np.int64)  # rows of the key that the last batch ended in: all, or enough to show that it is large
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                key, node = np.concatenate([key, np.asarray(batch.column("key"))]), np.concatenate([node, np.asarray(batch.column("node"))])
+            if not len(key):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            sizes = np.diff(np.append(starts, len(key)))
+            large = np.repeat(sizes > window + 1, sizes)
+            whole = ~large & ((key != key[-1]) | (batch is None))
+            us, vs = [key[starts[sizes > window + 1]]], [np.empty(0, np.int64)]
             for back in range(1, min(window, len(key) - 1) + 1):
-                later = np.arange(max(old, back), len(key))
-                later = later[key[later] == key[later - back]]
+                later = np.arange(back, len(key))
+                later = later[(key[later] == key[later - back]) & (whole[later] | large[later] & (back == 1))]
                 us.append(np.minimum(node[later], node[later - back]))
                 vs.append(np.maximum(node[later], node[later - back]))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-            later = np.arange(max(old, window + 1), len(key))
-            large = np.unique(key[later[key[later] == key[later - window - 1]]])
-            yield pa.RecordBatch.from_arrays([pa.array(large), pa.nulls(len(large), pa.int64())], ["u", "v"])
-            key, node = key[-window - 1 :], node[-window - 1 :]
+            v = pa.concat_arrays([pa.nulls(len(us[0]), pa.int64()), pa.array(np.concatenate(vs))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), v], ["u", "v"])
+            rest = max(int(starts[-1]), len(key) - window - 2)
+            key, node = key[rest:], node[rest:]
 
     return dealt(nodes).repartition("key").sortWithinPartitions("key", "next", "node").mapInArrow(common.tidy(meet), "u long, v long").distinct()
 

@@ -689,6 +689,60 @@ def test_near_copies_of_five_words(spark, docs):
     assert nearcopies.near_components(docs.where("false")).count() == 0
 
 
+def test_pairs_of_a_large_key_grow_with_its_texts(spark):
+    from marlstone.llm import nearcopies
+
+    def distinct_pairs(keys, window):
+        rows = [(i, bytearray(k.astype("<i8").tobytes())) for i, k in enumerate(keys)]
+        got = nearcopies.candidates(spark.createDataFrame(rows, "node long, keys binary"), window).collect()
+        return {(r.u, r.v) for r in got if r.v is not None}, {r.u for r in got if r.v is None}, len(got)
+
+    rng = np.random.default_rng(6)
+    n, bands = 3000, nearcopies.BANDS
+    keys = rng.permutation(n * bands).reshape(n, bands) + 1000  # every key is of one text, but for:
+    keys[:2500, 0], keys[:700, 1] = 1, 2  # two large keys, the first over several batches
+    keys[:, 2] = 10_000_000 + np.arange(n) // 9  # keys of nine texts
+    keys[:10, 3] = 3  # ten
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        pairs, large, many = distinct_pairs(keys, 8)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nines = {(i, j) for i, j in itertools.combinations(range(n), 2) if i // 9 == j // 9}
+    assert nines <= pairs and large == {1, 2, 3} and many == len(pairs) + len(large)
+    others = pairs - nines
+    assert len(others) <= 2499 + 699 + 9  # a pair for each text and large key
+    label = np.arange(n)  # and the texts of a large key are in one chain
+    for i, j in sorted(others | nines):
+        label[label == label[j]] = label[i]
+    assert len(set(label[:2500])) == 1
+
+
+def test_large_groups_of_half_alike_texts_are_compared_whole(spark):
+    from marlstone.llm import nearcopies
+
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(4000)])
+    base, texts = rng.choice(words, 300), []
+    for i in range(150):
+        copy = base.copy()
+        some = rng.choice(300, (1, 6, 8, 10, 14)[i % 5], replace=False)
+        copy[some] = rng.choice(words, len(some))
+        texts.append(copy)
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = np.arange(len(texts))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    compared, alike = [], nearcopies.alike
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(nearcopies, "alike", lambda pairs, docs: compared.append(pairs.count()) or alike(pairs, docs))
+        got = nearcopies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist())) and 1 < len(set(label)) < 150
+    assert sum(compared) < 2000  # of 11,175
+
+
 def test_every_source_is_scheduled(spark):
     rows = [(i, "x" * 9, f"s{i % 300:03d}" if i % 300 else None) for i in range(6000)] + [(6000 + i, "x" * 9, "big") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
