@@ -65,18 +65,20 @@ def keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, node, text) -> (doc_id, node, fp, keys), fp as op8's, keys as little-endian uint64."""
+    """docs (doc_id, node, text) -> (doc_id, node, fp, keys, size), fp as op8's, keys as little-endian uint64, size that of the set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, found = np.empty(batch.num_rows, np.uint64), []
+            fp, size, found = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int32), []
             for i, x in enumerate(batch.column("text")):
                 text = (x.as_py() or "").encode()
                 fp[i] = simhash.fingerprint(text, SHINGLE)
-                found.append(keys(shingles(text)).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fp.view(np.int64)), pa.array(found, pa.binary())], ["doc_id", "node", "fp", "keys"])
+                own = shingles(text)
+                size[i] = len(own)
+                found.append(keys(own).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fp.view(np.int64)), pa.array(found, pa.binary()), pa.array(size)], ["doc_id", "node", "fp", "keys", "size"])
 
-    return docs.mapInArrow(common.tidy(of), "doc_id long, node long, fp long, keys binary")
+    return docs.mapInArrow(common.tidy(of), "doc_id long, node long, fp long, keys binary, size int")
 
 
 def dealt(nodes: DataFrame) -> DataFrame:
@@ -156,14 +158,13 @@ def forest(hashes: list[np.ndarray], left: np.ndarray, same: bool, least: float)
 def apart(nodes: DataFrame, docs: DataFrame, large: DataFrame, roots: DataFrame, least: float = LEAST) -> DataFrame:
     """(u, v): links that connect the texts under a key of large (key) wherever roots (node, root) doesn't connect them all."""
     few = large.count() <= 1 << 16
-    named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "size").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
     held = common.stage(dealt(nodes).select("key", "node").join(F.broadcast(large) if few else large, "key").join(named, "node"), "near-large")
     mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
-    own = common.stage(meet_keys(held.select("key", "node"), mixed.withColumn("m", F.col("n")), "key", held.count()).select("key", "node"), "near-mixed")
+    own = common.stage(meet_keys(held.select("key", "node", "size"), mixed.withColumn("m", F.col("n")), "key", held.count()).select("key", "node", "size"), "near-mixed")
     sets = hashed(own.select("node").distinct(), docs)
-    sized = own.join(sets.select("node", F.size("hashes").alias("size")), "node")
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_HASHES)).cast("int").alias("tiles")
-    per_key = sized.groupBy("key").agg(tiles, F.count("*").alias("n"))
+    per_key = own.groupBy("key").agg(tiles, F.count("*").alias("n"))
     dealt_out = meet_keys(own, per_key, "key", own.count()).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt_out = dealt_out.select("key", F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b"), (F.col("t") <= F.col("other")).alias("left"), "node")
@@ -207,7 +208,7 @@ def near_components(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id), a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.col("text").cast("string").alias("text"))
     made = common.stage(prints(docs), "near-prints")
-    nodes = common.stage(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.count("*").alias("n")), "near-nodes")
+    nodes = common.stage(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.count("*").alias("n")), "near-nodes")
     by_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))  # texts with one fingerprint meet its first one
     bits = simhash.links(by_print.select("fp")).join(by_print.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_print.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
     same = nodes.select("node", "fp").join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
