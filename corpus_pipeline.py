@@ -98,4 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = common.stage(step(spark, docs, sf_dir), name)
+        common.release()
     return STAGES[-1][1](spark, docs, sf_dir)

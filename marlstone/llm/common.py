@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,23 @@ def unstage(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df in Spark's own block store, on disk, once it is computed: for what a few later jobs of one operator read, and
+    what is cheaper to compute again where an executor is lost than to write to the shared folder, a file for each task."""
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release(*frames: DataFrame) -> None:
+    """Let go of what is held: the frames given, or all of them."""
+    for df in frames or tuple(_held):
+        df.unpersist()
+    _held[:] = [df for df in _held if frames and all(df is not f for f in frames)]
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

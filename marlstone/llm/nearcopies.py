@@ -179,7 +179,7 @@ def apart(nodes: DataFrame, docs: DataFrame, large: DataFrame, roots: DataFrame,
 
 
 def hashed(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, hashes), staged: the set of each of the members' (node) texts in docs (node, text)."""
+    """(node, hashes), held: the set of each of the members' (node) texts in docs (node, text)."""
     texts = docs.select("node", "text").join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,31 +190,37 @@ def hashed(members: DataFrame, docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "hashes"])
 
-    return common.stage(texts.mapInArrow(common.tidy(sets), "node long, hashes array<long>"), "near-sets")
+    return common.hold(texts.mapInArrow(common.tidy(sets), "node long, hashes array<long>"))
+
+
+def fitting(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """Of the pairs (u, v) those whose sets' sizes, in nodes (node, size), allow so much similarity, held."""
+    size = lambda x, n: nodes.select(F.col("node").alias(x), F.col("size").alias(n))
+    sized = pairs.join(size("u", "an"), "u").join(size("v", "bn"), "v")
+    return common.hold(sized.where(F.least("an", "bn") >= least * F.greatest("an", "bn")).select("u", "v"))
 
 
 def alike(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Of the pairs (u, v) those whose texts in docs (node, text) are at least so similar."""
-    members = common.stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-members")
-    held = hashed(members, docs)
-    sized = held.select("node", "hashes", F.size("hashes").alias("n"))
-    both = pairs.join(sized.select(F.col("node").alias("u"), F.col("hashes").alias("a"), F.col("n").alias("an")), "u").join(sized.select(F.col("node").alias("v"), F.col("hashes").alias("b"), F.col("n").alias("bn")), "v")
-    both = both.where(F.least("an", "bn") >= least * F.greatest("an", "bn"))
-    shared = F.size(F.array_intersect("a", "b"))  # in the JVM, pair by pair: a batch of pairs of whole sets would be large
-    return both.select("u", "v", "an", "bn", shared.alias("shared")).where(F.col("shared") >= least * (F.col("an") + F.col("bn") - F.col("shared"))).select("u", "v")
+    """Of the pairs (u, v) those whose texts in docs (node, text) are at least so similar, staged."""
+    held = hashed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs)
+    both = pairs.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    size, shared = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))  # in the JVM, pair by pair: a batch of pairs of whole sets would be large
+    links = common.stage(both.select("u", "v", size.alias("size"), shared.alias("shared")).where(F.col("shared") >= least * (F.col("size") - F.col("shared"))).select("u", "v"), "near-links")
+    common.release(pairs, held)
+    return links
 
 
 def near_components(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, component_id), a row for each row of docs."""
+    """docs (doc_id, text) -> (doc_id, component_id), a row for each row of docs, to be read before `common.release`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.col("text").cast("string").alias("text"))
-    made = common.stage(prints(docs), "near-prints")
+    made = common.hold(prints(docs))
     nodes = common.stage(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.count("*").alias("n")), "near-nodes")
     by_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))  # texts with one fingerprint meet its first one
     bits = simhash.links(by_print.select("fp")).join(by_print.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_print.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
     same = nodes.select("node", "fp").join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = bits.union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     met = common.stage(near.union(candidates(nodes, window)).distinct(), "near-pairs")
-    links = common.stage(alike(met.where("v is not null"), docs), "near-links")
+    links = alike(fitting(met.where("v is not null"), nodes), docs)
     roots = common.stage(components(links), "near-roots")
     large = met.where("v is null").select(F.col("u").alias("key"))
     if not large.isEmpty():
