@@ -57,19 +57,30 @@ def term_ids(vocab: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).join(F.broadcast(bases), "letter").select("term", (F.col("base") + F.col("nth")).cast("bigint").alias("term_id"), "df")
 
 
-def weight(tf, df, dl, n, avgdl):
-    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+def idf(df, n):
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def saturated(idf, tf, dl, avgdl):
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def weight(tf, df, dl, n, avgdl):
+    return saturated(idf(df, n), tf, dl, avgdl)
+
+
 @dataclasses.dataclass
 class Index:
     tf: DataFrame
-    postings: DataFrame
+    rows: DataFrame  # postings with what their weights follow from
     stats: DataFrame
     df: DataFrame
     dl: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.select("term", "chunk_id", "score")
+
 
 def build(chunks: DataFrame, most_df: float = MOST_DF) -> Index:
     """Index of chunks (chunk_id, text). All parts read tf, so it is written once to the shared folder."""
@@ -77,13 +88,18 @@ def build(chunks: DataFrame, most_df: float = MOST_DF) -> Index:
     df, dl, stats = doc_freq(tf), doc_len(tf), corpus_stats(chunks, tf)
     c = F.col
     score = weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl"))
-    postings = tf.join(vocabulary(df, stats, most_df), "term").join(dl, "chunk_id").crossJoin(F.broadcast(stats)).select("term", "chunk_id", score.alias("score"))
-    return Index(tf, postings, stats, df, dl)
+    rows = tf.join(vocabulary(df, stats, most_df), "term").join(dl, "chunk_id").crossJoin(F.broadcast(stats)).select("term", "chunk_id", "tf", "df", "dl", score.alias("score"))
+    return Index(tf, rows, stats, df, dl)
 
 
 def csr_offsets(postings: DataFrame, ids: DataFrame) -> DataFrame:
     """(term_id, n, first): where each term's postings would start in one array."""
-    n = postings.groupBy("term").agg(F.count("*").alias("n")).join(ids, "term")
+    return offsets(postings.groupBy("term").agg(F.count("*").alias("n")), ids)
+
+
+def offsets(counts: DataFrame, ids: DataFrame) -> DataFrame:
+    """counts (term, n) -> (term_id, n, first): running sums within ranges of ids, and over the ranges."""
+    n = counts.join(ids, "term")
     bucket = F.floor(F.col("term_id") / 4096)
     n = n.withColumn("bucket", bucket).withColumn("inner", F.sum("n").over(Window.partitionBy("bucket").orderBy("term_id")) - F.col("n"))
     totals = n.groupBy("bucket").agg(F.sum("n").alias("total"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import with_stem
-from . import bm25
+from . import blocks, bm25
 
 #: Fixed values.
 RRF_K, SUMMARY_BOOST, HITS, PAGES = 60, 1.5, 200, 10
@@ -50,10 +50,10 @@ def page_rank(fused: DataFrame, meta: DataFrame, pages: int = PAGES) -> DataFram
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pages).select("query_id", F.col("rank").cast("bigint").alias("rank"), "page_id", "score")
 
 
-def search(queries: DataFrame, postings: DataFrame, meta: DataFrame, hits: int = HITS, pages: int = PAGES) -> DataFrame:
-    """All queries in one plan: (query_id, rank, page_id, score); a query without hits has no row."""
+def search(queries: DataFrame, index: DataFrame, stats: DataFrame, meta: DataFrame, hits: int = HITS, pages: int = PAGES) -> DataFrame:
+    """index: postings in blocks. All queries at once: (query_id, rank, page_id, score); a query without hits has no row."""
     parts = streams(queries)
-    found = bm25.query(postings, query_terms(parts), hits).join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
+    found = blocks.query(index, stats, query_terms(parts), hits).join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
     return page_rank(rrf(found), meta, pages)
 
 

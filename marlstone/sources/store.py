@@ -28,11 +28,9 @@ class Store:
         if gone := self.missing(names or TABLES):
             raise RuntimeError(f"build the index first; missing: {', '.join(gone)}")
 
-    def save(self, name: str, df: DataFrame, partition_by: str | None = None, sort: tuple[str, ...] = ()) -> None:
+    def save(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
         if partition_by:
             df = df.repartition(partition_by)
-        elif sort:  # ranges of terms, so that row groups can be skipped
-            df = df.repartitionByRange(sort[0]).sortWithinPartitions(*sort)
         w = df.write.mode("overwrite")
         (w.partitionBy(partition_by) if partition_by else w).parquet(self.path(name))
 
