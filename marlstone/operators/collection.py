@@ -6,17 +6,13 @@ on the same id, which a window over the id reads. log (op_seq, pos, op, vec_id,
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, jaccard, runtime_multiplier
+from . import tiles
 
-DIGITS = 6
+DIGITS = tiles.DIGITS
 
 
 def mutations(log: DataFrame) -> DataFrame:
@@ -69,35 +65,10 @@ def top_k(store: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return _first(store.crossJoin(queries).select("query_id", "vec_id", F.round(dot(F.col("qvec"), F.col("embedding")), DIGITS).alias("score")), k)
 
 
-def top_k_blocked(store: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 20_000) -> DataFrame:
-    """The same by matrix products: blocks of at most `most_queries` queries go one by one to every partition of the store,
-    which returns its own k best, so what is shuffled doesn't depend on the size of the store."""
-    rows = queries.select("query_id", "qvec").toLocalIterator()
-    found = _search_block(store, list(itertools.islice(rows, most_queries)), k)
-    while block := list(itertools.islice(rows, most_queries)):
-        found = found.union(_search_block(store, block, k))
-    return _first(found, k)
-
-
-def _search_block(store: DataFrame, rows: list, k: int) -> DataFrame:
-    shared = store.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), np.array([r.qvec for r in rows], float)))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for f in frames:
-            if not len(f) or not len(q):
-                continue
-            vec = f.vec_id.to_numpy()
-            by_id = np.argsort(vec, kind="stable")
-            vec = vec[by_id]
-            e = np.array(f.embedding.tolist(), float)[by_id].T
-            step = max(1, (1 << 22) // len(vec))
-            for at in range(0, len(q), step):
-                s = np.round(q[at : at + step] @ e, DIGITS)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids[at : at + step], best.shape[1]), "vec_id": vec[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-
-    return store.select("vec_id", "embedding").mapInPandas(search, "query_id long, vec_id long, score double")
+def top_k_blocked(store: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = tiles.MOST_QUERIES) -> DataFrame:
+    """The same by matrix products over pairs of tiles, of at most `most_queries` queries each: a pair gives its own k best, so
+    what is merged doesn't depend on the size of the store."""
+    return _first(tiles.meet(store, queries, tiles.Best, k, most_queries), k)
 
 
 def score_mutations(got: DataFrame, truth: DataFrame, totals: DataFrame) -> DataFrame:
