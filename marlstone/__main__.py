@@ -23,7 +23,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     evaluate = each.add_parser("evaluate", help="a query set against an index: mean NDCG@10 and seconds")
     evaluate.add_argument("--queries", required=True)
     evaluate.add_argument("--index", required=True)
-    replay = each.add_parser("scenario", help="a scenario against the log index")
+    replay = each.add_parser("scenario", help="a scenario against the bucketed store")
     replay.add_argument("--data", default="data/public")
     replay.add_argument("--scenario", type=int, required=True)
     replay.add_argument("--recalibrate-baseline", action="store_true")
@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
             raise FileNotFoundError(folder)
         base = scenario.baseline(spark, folder, n_runs=a.runs, recalibrate=a.recalibrate_baseline)
         print(" ".join(f"{k}={v:.4f}s" for k, v in base.items()))
-        out = scenario.stats_frame(spark, scenario.replay(spark, folder, scenario.LogIndex, base["baseline_dynamic"], a.wall_limit))
+        out = scenario.stats_frame(spark, scenario.replay(spark, folder, scenario.BucketIndex, base["baseline_dynamic"], a.wall_limit))
     out.show(truncate=False, vertical=True)
     return out
 

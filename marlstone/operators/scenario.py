@@ -1,22 +1,26 @@
 """Replay of a scenario: a manifest's inserts, deletes and searches against an index, scored by its truth and its time.
 
-Any object with the three calls of `Index` can be replayed. `LogIndex` keeps the log of operations and never rewrites a
-vector; `StoreIndex` rewrites its table at every change and is the baseline that run times are compared with.
+Any object with the three calls of `Index` can be replayed. `BucketIndex` writes what a batch changes and compacts buckets now
+and then; `LogIndex` keeps the log of operations and never rewrites a vector; `StoreIndex` rewrites its table at every change
+and is the baseline that run times are compared with.
 """
 
 from __future__ import annotations
 
 import contextlib
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import runtime_multiplier
 from ..sources import readers
-from ..sources.stage import stage
+from ..sources.stage import shared_dir, stage
+from ..sources.vectors import VectorStore
 from . import collection, metrics
 
 #: Fixed values.
@@ -67,6 +71,32 @@ class LogIndex:
         return stage(collection.top_k_blocked(there, queries, k), "scenario-hits")
 
 
+class BucketIndex:
+    """A vector store in buckets: a batch reads the buckets of its ids and writes the ids that it changes."""
+
+    def __init__(self, spark: SparkSession, dim: int, root: str | None = None, compact_every: int = 16):
+        self.dim, self.compact_every, self.batch = dim, compact_every, 0
+        self.store = VectorStore(spark, root or f"{shared_dir(spark)}/marlstone/vectors-{uuid.uuid4().hex}")
+
+    def _apply(self, batch: DataFrame, op: str) -> DataFrame:
+        vector = (F.col("embedding") if op == "insert" else F.lit(None)).cast("array<float>").alias("embedding")
+        rows = batch.select(F.lit(self.batch).cast("bigint").alias("op_seq"), F.col("pos").cast("bigint").alias("pos"), F.lit(op).alias("op"), F.col("vec_id").cast("bigint").alias("vec_id"), vector)
+        if self.batch and self.batch % self.compact_every == 0:
+            self.store.compact()
+        done = self.store.apply(rows, self.batch)
+        self.batch += 1
+        return done.select("pos", "vec_id", "ok")
+
+    def insert(self, batch: DataFrame) -> DataFrame:
+        return self._apply(batch, "insert")
+
+    def delete(self, ids: DataFrame) -> DataFrame:
+        return self._apply(ids, "delete")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return stage(collection.top_k_blocked(self.store.current(), queries, k), "scenario-hits")
+
+
 class StoreIndex:
     """A table of the vectors that are there, written anew at every change."""
 
@@ -102,6 +132,45 @@ def timed(label: str = "", say: Callable[[str], None] | None = None) -> Iterator
             say(f"{label}: {ended[0] - began:.3f} s")
 
 
+T = TypeVar("T")
+
+
+class Late(Exception):
+    """The time that a call had was over before it was done."""
+
+
+def limited(spark: SparkSession, call: Callable[[], T], seconds: float | None) -> T:
+    """call(), whose Spark jobs are cancelled after so many seconds: those that run then, and any that it starts later."""
+    if seconds is None:
+        return call()
+    sc, tag, done, late = spark.sparkContext, f"marlstone-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(max(0.0, seconds)):
+            late.set()
+            while True:
+                sc.cancelJobsWithTag(tag)
+                if done.wait(0.1):
+                    return
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)  # else a cancelled task goes on to its end
+    watcher.start()
+    try:
+        out = call()
+    except Exception:
+        if late.is_set():
+            raise Late(f"stopped after {seconds:.1f} s") from None
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        sc.setInterruptOnCancel(False)
+        sc.removeJobTag(tag)
+    return out
+
+
 def operations(spark: SparkSession, folder: str) -> tuple[dict[str, int], list]:
     """(totals and dim, operations in order): one row for each operation, whatever the size of its batch."""
     totals, ops = readers.manifest(spark, f"{folder}/manifest.json")
@@ -122,7 +191,8 @@ def _truth(spark: SparkSession, path: str) -> DataFrame:
 
 def replay(spark: SparkSession, folder: str, factory: Factory, baseline_time: float | None, wall_limit: float | None = WALL_LIMIT) -> dict[str, float]:
     """Scores and times. The first insert is the initial phase, everything later the dynamic one that is compared with
-    baseline_time. Batches are read outside the timers. Over the wall limit the rest is skipped and the multiplier least."""
+    baseline_time. Batches are read outside the timers. An operation that runs at the wall limit is stopped; it and the rest
+    score nothing, and the multiplier is the least."""
     if baseline_time is None:
         raise ValueError("baseline_time is needed: see `baseline`, or 1.0 to measure only")
     totals, ops = operations(spark, folder)
@@ -142,9 +212,15 @@ def replay(spark: SparkSession, folder: str, factory: Factory, baseline_time: fl
             else:
                 batch = stage(readers.npy(spark, at(op.queries)).select(F.col("pos").alias("query_id"), F.col("value").alias("qvec")), "scenario-batch")
                 call = lambda batch=batch: index.search(batch, K)
+            phase = "initial" if op.type == "insert" and initial else "dynamic"
             with timed() as spent:
-                out = call()
-            phases["initial" if op.type == "insert" and initial else "dynamic"] += spent()
+                try:
+                    out = limited(spark, call, None if wall_limit is None else wall_limit - wall())
+                except Late:
+                    late = True
+            phases[phase] += spent()
+            if late:
+                break
             initial = initial and op.type != "insert"
             kind = op.type if op.type in SHARES else "search"
             part = batch.count() / totals[f"total_{kind}"]
