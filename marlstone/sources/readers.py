@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import npy as npy_source
 
 PAGE = "page_id bigint, title string, content string"
 QUERY = "query_id string, query string, relevant_page_ids array<string>"
@@ -105,7 +106,10 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def npy(spark: SparkSession, path: str) -> DataFrame:
-    """A NumPy file of numbers, one or two dimensions (no pickled objects): (pos, value array<double>)."""
+    """A NumPy file of numbers, one or two dimensions (no pickled objects): (pos, value array<double>). A file that the system
+    can open is read by ranges of rows, one in another store whole."""
+    if own := npy_source.local(path):
+        return npy_source.load(spark, own)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
