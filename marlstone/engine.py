@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ann, bm25, fusion
+from .operators import ann, blocks, bm25, fusion
 from .operators.chunk import chunk_corpus
 from .sources.readers import clean_pages
 from .sources.store import Store
 
 
-def build(spark: SparkSession, pages: DataFrame, root: str, dense: bool = True) -> Store:
-    """pages (page_id, title, content) -> chunk meta, postings, statistics and, if dense, vectors and their lists."""
+def build(spark: SparkSession, pages: DataFrame, root: str, dense: bool = True, embed: Callable[[DataFrame], DataFrame] = ann.hashing_embedding) -> Store:
+    """pages (page_id, title, content) -> chunk meta, postings in blocks, statistics and, if dense, vectors and their lists.
+    embed: texts (text_id, text) -> (text_id, embedding)."""
     store = Store(spark, root)
     store.save("chunks", chunk_corpus(clean_pages(pages)))
     chunks = store.load("chunks")
     store.save_chunk_meta(chunks)
     index = bm25.build(chunks)
-    store.save("postings", index.postings, sort=("term", "chunk_id"))
+    store.save("postings", blocks.blocked(index.rows))
     store.save("bm25_stats", index.stats)
     if dense:
-        store.save("vectors", ann.hashing_embedding(chunks.select(F.col("chunk_id").alias("text_id"), "text")).withColumnRenamed("text_id", "vec_id"))
+        store.save("vectors", embed(chunks.select(F.col("chunk_id").alias("text_id"), "text")).withColumnRenamed("text_id", "vec_id"))
         centroids, listed = ann.build(store.load("vectors"))
         store.save("centroids", centroids)
         store.save("lists", listed, partition_by="list_id")
@@ -31,17 +34,18 @@ def build(spark: SparkSession, pages: DataFrame, root: str, dense: bool = True)
 def run(queries: DataFrame, store: Store) -> DataFrame:
     """(query_id, rank, page_id, score); raises if the index isn't there."""
     store.require("postings", "chunk_meta", "bm25_stats")
-    return fusion.search(queries, store.load("postings"), store.load("chunk_meta"))
+    return fusion.search(queries, store.load("postings"), store.load("bm25_stats"), store.load("chunk_meta"))
 
 
-def run_hybrid(queries: DataFrame, store: Store, k: int = 200, nprobe: int = ann.NPROBE) -> DataFrame:
-    """The earlier three-way retriever: BM25 (weight 4), the query's vector and those of its hypothetical texts (1 each)."""
-    store.require("postings", "chunk_meta", "centroids", "lists")
+def run_hybrid(queries: DataFrame, store: Store, k: int = 200, nprobe: int = ann.NPROBE, embed: Callable[[DataFrame], DataFrame] = ann.hashing_embedding) -> DataFrame:
+    """The earlier three-way retriever: BM25 (weight 4), the query's vector and those of its hypothetical texts (1 each).
+    embed: as the store was built with. nprobe 0: all lists that can hold a result, so that the search is exact."""
+    store.require("postings", "bm25_stats", "chunk_meta", "centroids", "lists")
     terms = fusion.query_terms(queries.select("query_id", F.lit(0).cast("bigint").alias("stream_id"), F.lit(False).alias("years_only"), F.col("query").alias("text")))
-    sparse = bm25.query(store.load("postings"), terms, k).select("query_id", "stream_id", F.lit(4.0).alias("weight"), "chunk_id", "rank")
+    sparse = blocks.query(store.load("postings"), store.load("bm25_stats"), terms, k).select("query_id", "stream_id", F.lit(4.0).alias("weight"), "chunk_id", "rank")
     texts = queries.select("query_id", F.lit(-1).alias("variant"), F.col("query").alias("text")).union(fusion.hypothetical_texts(queries))
     named = texts.select(F.struct("query_id", "variant").alias("text_id"), "text")
-    vectors = ann.hashing_embedding(named).select(F.col("text_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    near = ann.search(store.load("centroids"), store.load("lists"), vectors, k, nprobe)
+    vectors = embed(named).select(F.col("text_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    near = ann.search(store.load("centroids"), store.load("lists"), vectors, k, nprobe) if nprobe else ann.search_exact(store.load("lists"), vectors, k)
     dense = near.select(F.col("query_id.query_id").alias("query_id"), (F.col("query_id.variant") + 2).cast("bigint").alias("stream_id"), F.lit(1.0).alias("weight"), F.col("vec_id").alias("chunk_id"), F.col("rank").cast("int").alias("rank"))
     return fusion.page_rank(fusion.rrf(sparse.unionByName(dense)), store.load("chunk_meta"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import engine
 from ..functions import text as T
 from ..functions.vector import dot, jaccard, l2_normalize, runtime_multiplier
-from ..operators import ann, bm25, collection, fusion, metrics, passages
+from ..operators import ann, blocks, bm25, collection, fusion, metrics, passages
 from ..operators.chunk import chunk_corpus, chunk_pages
 from ..sources.readers import documents_as_pages, table
-from ..sources.stage import stage
+from ..sources.stage import shared_dir, stage
+from ..sources.vectors import VectorStore
+from ..streaming import oplog
 from .oracle import ASKED, ORACLE_SQL, TOKENS  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +36,11 @@ def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return bm25.build(stage(_chunks(spark, sf_dir), "chunks"))
 
 
+def _blocked(i: bm25.Index) -> tuple[DataFrame, DataFrame]:
+    """(postings in blocks, statistics), staged as they are in a store."""
+    return stage(blocks.blocked(i.rows), "blocks"), stage(i.stats, "stats")
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's items and questions of every form."""
     own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -152,18 +161,18 @@ def bm25_vocab(spark, sf_dir):
 
 @query
 def bm25_postings(spark, sf_dir):
-    return _index(spark, sf_dir).postings.select("term", "chunk_id", F.round("score", 6).alias("score"))
+    return blocks.postings(*_blocked(_index(spark, sf_dir))).select("term", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query
 def csr_offsets(spark, sf_dir):
     i = _index(spark, sf_dir)
-    return bm25.csr_offsets(i.postings, bm25.term_ids(bm25.vocabulary(i.df, i.stats)))
+    return blocks.csr_offsets(_blocked(i)[0], bm25.term_ids(bm25.vocabulary(i.df, i.stats)))
 
 
 @query
 def bm25_topk(spark, sf_dir):
-    return bm25.query(_index(spark, sf_dir).postings, fusion.query_terms(fusion.streams(asked(spark, sf_dir)))).withColumn("rank", F.col("rank").cast("bigint"))
+    return blocks.query(*_blocked(_index(spark, sf_dir)), fusion.query_terms(fusion.streams(asked(spark, sf_dir)))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # ---- search
@@ -172,14 +181,14 @@ def bm25_topk(spark, sf_dir):
 @query
 def rrf_fuse(spark, sf_dir):
     parts = fusion.streams(asked(spark, sf_dir))
-    hits = bm25.query(_index(spark, sf_dir).postings, fusion.query_terms(parts)).join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
+    hits = blocks.query(*_blocked(_index(spark, sf_dir)), fusion.query_terms(parts)).join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
     return fusion.rrf(hits).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query
 def search_pages(spark, sf_dir):
     chunks = stage(_chunks(spark, sf_dir), "chunks")
-    return fusion.search(asked(spark, sf_dir), bm25.build(chunks).postings, chunks)
+    return fusion.search(asked(spark, sf_dir), *_blocked(bm25.build(chunks)), chunks)
 
 
 QUERIES["page_rank"] = search_pages
@@ -431,3 +440,76 @@ def embed_hashing(spark, sf_dir):
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text")
     e = ann.hashing_embedding(texts)
     return e.select("text_id", F.size("embedding").cast("bigint").alias("dim"), F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm"))
+
+
+@query
+def ivf_exact(spark, sf_dir):
+    """Only the parts of lists whose bound reaches what the nearest ones gave are probed; the search is exact."""
+    store = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search_exact(ann.build(store)[1], _asking(spark, sf_dir))
+
+
+# ---- embedders and the hybrid retriever
+
+
+def letters(texts: DataFrame) -> DataFrame:
+    return ann.model_embedding(texts, ann.letter_model)
+
+
+@query
+def model_letters(spark, sf_dir):
+    """Every document through `model_embedding`: two of its dimensions."""
+    e = letters(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+    at = lambda i: F.round(F.col("embedding")[i].cast("double"), 6)
+    return e.select("text_id", F.size("embedding").cast("bigint").alias("dim"), at(4).alias("e"), at(19).alias("t"))
+
+
+@query
+def hybrid_pages(spark, sf_dir):
+    """Postings, the query's vector and those of its hypothetical texts, fused; vectors by `model_embedding`, searched exactly."""
+    root = _folder(spark, "hybrid")
+    store = engine.build(spark, documents_as_pages(spark, sf_dir), root, embed=letters)
+    return engine.run_hybrid(asked(spark, sf_dir), store, nprobe=0, embed=letters)
+
+
+# ---- the collection on disk, and as a stream
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> tuple[VectorStore, DataFrame]:
+    """The whole log in a bucketed store, batch by batch, compacted between the second and the third; all outcomes."""
+    store, done, log = VectorStore(spark, _folder(spark, "vectors")), None, whole_log(spark, sf_dir)
+    for op_seq in (0, 1, 3, 4):
+        if op_seq == 3:
+            store.compact()
+        part = store.apply(log.where(F.col("op_seq") == op_seq), op_seq)
+        done = part if done is None else done.union(part)
+    return store, done
+
+
+@query
+def store_outcomes(spark, sf_dir):
+    return _applied(spark, sf_dir)[1]
+
+
+@query
+def store_active(spark, sf_dir):
+    store, _ = _applied(spark, sf_dir)
+    show = lambda kept: store.current().select(F.lit(kept).alias("compacted"), "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    before = stage(show(False), "store-before")
+    store.compact()
+    return before.union(show(True))
+
+
+@query
+def stream_outcomes(spark, sf_dir):
+    """The whole log as a stream that is stopped and goes on, with state kept by id."""
+    source, target, point, log = _folder(spark, "log"), _folder(spark, "outcomes"), _folder(spark, "checkpoint"), whole_log(spark, sf_dir)
+    for part in (log.where("op_seq < 3"), log.where("op_seq >= 3")):
+        part.write.mode("append").parquet(source)
+        out = oplog.outcomes(spark.readStream.schema(log.schema).parquet(source))
+        out.writeStream.option("checkpointLocation", point).trigger(availableNow=True).start(target, "parquet", "append").awaitTermination()
+    return spark.read.schema(oplog.OUTCOME).parquet(target)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.stem import duckdb_sql
+from ..operators.fusion import TEMPLATES
 
 #: Questions of every form, with ids that no table has.
 ASKED = [
@@ -102,6 +103,26 @@ CTES |= {
     "whole_functional": "SELECT 0.5::DOUBLE * (SELECT avg(recall) FROM whole_recalls) + 0.3::DOUBLE * (SELECT score FROM whole_weighed WHERE op = 'insert') + 0.2::DOUBLE * (SELECT score FROM whole_weighed WHERE op = 'delete') AS f",
 }
 
+#: The hybrid retriever: the whole query's terms, and letter counts of queries, hypothetical texts and chunks.
+LETTERS = "list_transform(range(26), lambda i: 2 * length(text) - length(replace(text, chr((65 + i)::INT), '')) - length(replace(text, chr((97 + i)::INT), '')))"
+UNIT = "list_transform(c, lambda x: (x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-12::DOUBLE))::FLOAT)::DOUBLE[]"
+CTES |= {
+    "hraw": "SELECT DISTINCT query_id, 0 AS stream_id, false AS years_only, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked",
+    "hwords": "SELECT DISTINCT term FROM hraw",
+    "hstems": duckdb_sql("hwords"),
+    "hterms": CTES["qterms"].replace("qraw", "hraw").replace("qstems", "hstems"),
+    "hhits": CTES["hits"].replace("qterms", "hterms"),
+    "htexts": f"SELECT query_id, -1 AS variant, query AS text FROM asked UNION ALL SELECT query_id, variant, replace(t, '{{query}}', query) FROM asked, ({_values([(i, t) for i, t in enumerate(TEMPLATES)])}) v(variant, t)",
+    "hvectors": f"SELECT query_id, variant, {UNIT} AS q FROM (SELECT query_id, variant, {LETTERS} AS c FROM htexts)",
+    "cvectors": f"SELECT chunk_id, {UNIT} AS e FROM (SELECT chunk_id, {LETTERS} AS c FROM chunks)",
+    "hnear": "SELECT query_id, variant, chunk_id, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, variant, chunk_id, round(list_dot_product(q, e), 6) AS score FROM hvectors, cvectors) QUALIFY rank <= 200",
+    "hlists": "SELECT query_id, 0 AS stream_id, 4.0::DOUBLE AS weight, chunk_id, rank FROM hhits UNION ALL SELECT query_id, variant + 2, 1.0::DOUBLE, chunk_id, rank FROM hnear",
+    "hfused": "SELECT query_id, chunk_id, sum(weight / (60 + rank)) AS rrf, min((stream_id, rank)) AS first FROM hlists GROUP BY query_id, chunk_id",
+    "hpooled": CTES["pooled"].replace("FROM fused", "FROM hfused"),
+    "hranked": CTES["ranked"].replace("FROM pooled", "FROM hpooled"),
+    "dvectors": f"SELECT doc_id, {UNIT} AS e FROM (SELECT doc_id, {LETTERS} AS c FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))",
+}
+
 FINAL: dict[str, str] = {
     "corpus_scan": "SELECT page_id, title, md5(content) AS content_md5 FROM pages",
     "sentence_split": "SELECT page_id, unnest(range(len(sents))) AS pos, unnest(sents) AS sentence FROM split_",
@@ -151,6 +172,12 @@ FINAL: dict[str, str] = {
     "runtime_multipliers": "SELECT ratio::DOUBLE AS ratio, (CASE WHEN ratio <= 0.5 THEN 1.0 WHEN ratio <= 1 THEN 0.9 WHEN ratio <= 2 THEN 0.75 ELSE 0.5 END)::DOUBLE AS multiplier FROM (VALUES (0.5), (0.51), (1.0), (1.01), (2.0), (2.01)) t(ratio)",
     "l2_normalized": "SELECT vec_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings",
     "ivf_all_lists": "SELECT query_id, rank, vec_id, score FROM best",
+    "ivf_exact": "SELECT query_id, rank, vec_id, score FROM best",
+    "model_letters": "SELECT doc_id AS text_id, 26::BIGINT AS dim, round(e[5], 6) AS e, round(e[20], 6) AS t FROM dvectors",
+    "hybrid_pages": "SELECT query_id, rank, page_id, score FROM hranked",
+    "store_outcomes": "SELECT op_seq, pos, op, vec_id, ok FROM whole_done",
+    "store_active": "SELECT compacted, vec_id, round(embedding[1]::DOUBLE, 6) AS first FROM whole_seen, (VALUES (false), (true)) t(compacted) WHERE op_seq = 5",
+    "stream_outcomes": "SELECT op_seq, pos, op, vec_id, ok FROM whole_done",
     "embed_hashing": "SELECT item_id AS text_id, 384::BIGINT AS dim, 1.0::DOUBLE AS norm FROM benchmark",
 }
 
