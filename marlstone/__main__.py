@@ -20,15 +20,20 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     build.add_argument("--pages", required=True)
     build.add_argument("--index", required=True)
     build.add_argument("--no-dense", action="store_true")
+    build.add_argument("--append", action="store_true", help="to an index that is there")
     evaluate = each.add_parser("evaluate", help="a query set against an index: mean NDCG@10 and seconds")
     evaluate.add_argument("--queries", required=True)
     evaluate.add_argument("--index", required=True)
-    replay = each.add_parser("scenario", help="a scenario against the bucketed store")
-    replay.add_argument("--data", default="data/public")
-    replay.add_argument("--scenario", type=int, required=True)
-    replay.add_argument("--recalibrate-baseline", action="store_true")
-    replay.add_argument("--runs", type=int, default=scenario.RUNS)
-    replay.add_argument("--wall-limit", type=float, default=scenario.WALL_LIMIT)
+    for n in (None, 1, 2, 3):  # shortcuts for the first three
+        replay = each.add_parser("scenario" if n is None else f"scenario-{n}", help=f"scenario {'' if n is None else n}".strip() + " against the bucketed store")
+        replay.add_argument("--data", default="data/public")
+        if n is None:
+            replay.add_argument("--scenario", type=int, required=True)
+        else:
+            replay.set_defaults(scenario=n)
+        replay.add_argument("--recalibrate-baseline", action="store_true")
+        replay.add_argument("--runs", type=int, default=scenario.RUNS)
+        replay.add_argument("--wall-limit", type=float, default=scenario.WALL_LIMIT)
     return top.parse_args(argv)
 
 
@@ -38,7 +43,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     spark = spark or SparkSession.builder.appName("marlstone").getOrCreate()
     if a.command == "build":
         with scenario.timed("build", print) as spent:
-            store = engine.build(spark, readers.corpus(spark, a.pages), a.index, dense=not a.no_dense)
+            pages = readers.corpus(spark, a.pages)
+            store = engine.append(spark, pages, a.index) if a.append else engine.build(spark, pages, a.index, dense=not a.no_dense)
         out = spark.createDataFrame([(store.load("chunk_meta").count(), spent())], "chunks bigint, seconds double")
     elif a.command == "evaluate":
         asked = readers.queries(spark, a.queries)

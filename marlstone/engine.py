@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import ann, blocks, bm25, fusion
 from .operators.chunk import chunk_corpus
 from .sources.readers import clean_pages
+from .sources.stage import stage
 from .sources.store import Store
 
 
@@ -18,13 +19,28 @@ def build(spark: SparkSession, pages: DataFrame, root: str, dense: bool = True,
     embed: texts (text_id, text) -> (text_id, embedding)."""
     store = Store(spark, root)
     store.save("chunks", chunk_corpus(clean_pages(pages)))
+    return _indexed(store, dense, embed)
+
+
+def append(spark: SparkSession, pages: DataFrame, root: str, embed: Callable[[DataFrame], DataFrame] = ann.hashing_embedding) -> Store:
+    """More pages into a store: their chunks are numbered after those that are there, which keep their ids. Weights depend on
+    all chunks, so postings are made anew; vectors are added, and dealt to lists anew, if the store has any."""
+    store = Store(spark, root)
+    start = store.load("chunk_meta").agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
+    new = stage(chunk_corpus(clean_pages(pages), start), "chunks-more")
+    store.save("chunks", new, mode="append")
+    return _indexed(store, store.exists("vectors"), embed, new)
+
+
+def _indexed(store: Store, dense: bool, embed: Callable[[DataFrame], DataFrame], new: DataFrame | None = None) -> Store:
     chunks = store.load("chunks")
     store.save_chunk_meta(chunks)
     index = bm25.build(chunks)
     store.save("postings", blocks.blocked(index.rows))
     store.save("bm25_stats", index.stats)
     if dense:
-        store.save("vectors", embed(chunks.select(F.col("chunk_id").alias("text_id"), "text")).withColumnRenamed("text_id", "vec_id"))
+        texts = (chunks if new is None else new).select(F.col("chunk_id").alias("text_id"), "text")
+        store.save("vectors", embed(texts).withColumnRenamed("text_id", "vec_id"), mode="overwrite" if new is None else "append")
         centroids, listed = ann.build(store.load("vectors"))
         store.save("centroids", centroids)
         store.save("lists", listed, partition_by="list_id")

@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: Fixed values.
 HOP = r"(?i)^(?:what links|how do|how does|what connects)\s+(.+)"
 COMBINES = r"(?i)^which .+ combines (.+?) with (.+)"
 
+TAIL = r"(?<![?.,])[?.,]++$"
+
 
 def strip(x: Column) -> Column:
-    """Without white space at the ends, by Unicode's notion of it."""
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at the ends, by Unicode's notion of it. A run within is looked at once, from its first character."""
+    return F.regexp_replace(x, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def raw_tokens(x: Column) -> Column:
@@ -45,8 +48,8 @@ def decompose(q: Column) -> Column:
     s = strip(q)
     rest = F.regexp_extract(s, HOP, 1)
     long = F.filter(F.split(rest, r",\s+(?:and\s+)?|\s+and\s+"), lambda p: F.length(strip(p)) > 5)
-    parts = F.transform(long, lambda p: F.regexp_replace(strip(p), r"[?.,]+$", ""))
-    pair = F.array(strip(F.regexp_extract(s, COMBINES, 1)), F.regexp_replace(strip(F.regexp_extract(s, COMBINES, 2)), r"[?.,]+$", ""))
+    parts = F.transform(long, lambda p: F.regexp_replace(strip(p), TAIL, ""))
+    pair = F.array(strip(F.regexp_extract(s, COMBINES, 1)), F.regexp_replace(strip(F.regexp_extract(s, COMBINES, 2)), TAIL, ""))
     return F.when((rest != "") & (F.size(parts) >= 2), parts).when(s.rlike(COMBINES), pair).otherwise(F.array(q))
 
 

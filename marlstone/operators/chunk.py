@@ -13,7 +13,8 @@ SUMMARY_SENTENCES, SUMMARY_CHARS = 2, 300
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, title, content) -> (page_id, pos, chunk_type, text)."""
+    """pages (page_id, title, content[, file]) -> (page_id, pos, chunk_type, text[, file])."""
+    file = [c for c in pages.columns if c == "file"]
     sents, words = T.sentences(F.col("content")), T.space_tokens(F.col("content"))
     head = F.concat("title", F.lit(". "))
     first = F.when(F.size("sents") > 0, F.array_join(F.slice("sents", 1, SUMMARY_SENTENCES), " ")).otherwise(F.substring("content", 1, SUMMARY_CHARS))
@@ -21,21 +22,23 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     windows = F.filter(F.transform(starts, lambda s: F.slice("words", s + 1, F.lit(WINDOW))), lambda w: F.size(w) >= LEAST)
     summary = F.struct(F.lit("summary").alias("chunk_type"), F.concat(head, first).alias("text"))
     bodies = F.transform(windows, lambda w: F.struct(F.lit("body").alias("chunk_type"), F.concat(head, F.array_join(w, " ")).alias("text")))
-    parts = pages.select("page_id", "title", "content", sents.alias("sents"), words.alias("words"))
-    return parts.select("page_id", F.posexplode(F.concat(F.array(summary), bodies)).alias("pos", "c")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "c.chunk_type", "c.text")
+    parts = pages.select("page_id", "title", "content", sents.alias("sents"), words.alias("words"), *file)
+    return parts.select("page_id", *file, F.posexplode(F.concat(F.array(summary), bodies)).alias("pos", "c")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "c.chunk_type", "c.text", *file)
 
 
-def number_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, page_id, chunk_type, text): dense ids by page, then place. chunks is read twice: stage it before. Pages are
-    dealt by ranges of their ids, however these are spread; running sums are within a range and over the ranges."""
-    sizes = chunks.groupBy("page_id").agg(F.count("*").alias("n"))
-    sizes = stage(sizes.repartitionByRange("page_id").select("page_id", "n", F.spark_partition_id().alias("range")), "chunk-sizes")
+def number_chunks(chunks: DataFrame, start: int = 0) -> DataFrame:
+    """(chunk_id, page_id, chunk_type, text): dense ids from `start`, by the page's file if chunks has it, then page, then place.
+    chunks is read twice: stage it before. Pages are dealt by ranges of their files or ids, however these are spread; running
+    sums are within a range and over the ranges."""
+    by = [c for c in ("file", "page_id") if c in chunks.columns]
+    sizes = chunks.groupBy(*by).agg(F.count("*").alias("n"))
+    sizes = stage(sizes.repartitionByRange(*by).select(*by, "n", F.spark_partition_id().alias("range")), "chunk-sizes")
     totals = sizes.groupBy("range").agg(F.sum("n").alias("total"))  # a row for each range
     bases = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("base"))
-    inner = F.sum("n").over(Window.partitionBy("range").orderBy("page_id")) - F.col("n")
-    offsets = sizes.withColumn("inner", inner).join(F.broadcast(bases), "range").select("page_id", (F.col("base") + F.col("inner")).alias("first"))
-    return chunks.join(offsets, "page_id").select((F.col("first") + F.col("pos")).cast("bigint").alias("chunk_id"), "page_id", "chunk_type", "text")
+    inner = F.sum("n").over(Window.partitionBy("range").orderBy(*by)) - F.col("n")
+    offsets = sizes.withColumn("inner", inner).join(F.broadcast(bases), "range").select(*by, (F.col("base") + F.col("inner") + start).alias("first"))
+    return chunks.join(offsets, by).select((F.col("first") + F.col("pos")).cast("bigint").alias("chunk_id"), "page_id", "chunk_type", "text")
 
 
-def chunk_corpus(pages: DataFrame) -> DataFrame:
-    return number_chunks(stage(chunk_pages(pages), "chunk-parts"))
+def chunk_corpus(pages: DataFrame, start: int = 0) -> DataFrame:
+    return number_chunks(stage(chunk_pages(pages), "chunk-parts"), start)

@@ -35,8 +35,9 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, title, content): the id as a number, title and content stripped."""
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), T.strip(F.col("title")).alias("title"), T.strip(F.col("content")).alias("content"))
+    """(page_id, title, content[, file]): the id as a number, title and content stripped."""
+    file = [c for c in pages.columns if c == "file"]
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), T.strip(F.col("title")).alias("title"), T.strip(F.col("content")).alias("content"), *file)
 
 
 def documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

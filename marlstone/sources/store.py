@@ -28,10 +28,10 @@ class Store:
         if gone := self.missing(names or TABLES):
             raise RuntimeError(f"build the index first; missing: {', '.join(gone)}")
 
-    def save(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
+    def save(self, name: str, df: DataFrame, partition_by: str | None = None, mode: str = "overwrite") -> None:
         if partition_by:
             df = df.repartition(partition_by)
-        w = df.write.mode("overwrite")
+        w = df.write.mode(mode)
         (w.partitionBy(partition_by) if partition_by else w).parquet(self.path(name))
 
     def load(self, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Blocks of postings, tiles, bounds, the bucketed store, the log's state, cancellation, split files: against plain statements."""
 
+import json
 import random
 import time
 
@@ -233,3 +234,49 @@ def test_npy_by_ranges_of_rows(spark, tmp_path, shape, kind):
         assert rows_of(df) == want == rows_of(readers.npy(spark, str(tmp_path / f"{name}.npy")))
         if x.nbytes > 2000:
             assert df.rdd.getNumPartitions() >= x.nbytes // 512
+
+
+# --- pages in the order of their files, and more of them
+
+
+def test_ids_go_by_file_and_are_kept_when_pages_are_added(spark, tmp_path):
+    from marlstone import engine
+
+    def write(folder, names):
+        (tmp_path / folder).mkdir()
+        for name, page in names.items():
+            (tmp_path / folder / f"{name}.json").write_text(json.dumps({"page_id": page, "title": f"p{page}", "content": f"The page {page} is old. It stands. " + "stone " * (30 * page)}))
+        return readers.corpus(spark, str(tmp_path / folder))
+
+    first, more = write("a", {"b": 1, "a": 9, "c": 4}), write("z", {"y": 2, "x": 7})
+    root = str(tmp_path / "index")
+    store = engine.build(spark, first, root)
+    before = {r.chunk_id: r.page_id for r in store.load("chunk_meta").collect()}
+    assert list(dict.fromkeys(before[i] for i in sorted(before))) == [9, 1, 4] and sorted(before) == list(range(len(before)))
+    store = engine.append(spark, more, root)
+    after = {r.chunk_id: r.page_id for r in store.load("chunk_meta").collect()}
+    assert list(dict.fromkeys(after[i] for i in sorted(after))) == [9, 1, 4, 7, 2] and sorted(after) == list(range(len(after)))
+    assert {i: after[i] for i in before} == before and store.load("vectors").count() == len(after) == store.load("lists").count()
+    whole = engine.build(spark, first.unionByName(more), str(tmp_path / "whole"))
+    asked = spark.createDataFrame([("q", "old page 7"), ("r", "stands 1")], "query_id string, query string")
+    assert rows_of(engine.run(asked, store)) == rows_of(engine.run(asked, whole))
+
+
+def test_passages_without_inner_words_are_found_without_a_nested_loop(spark):
+    from marlstone.operators import passages
+
+    docs = spark.createDataFrame([(1, "an old stone tower"), (2, "stonework"), (3, ""), (4, None)], "page_id long, text string")
+    items = spark.createDataFrame([("a", "stone"), ("b", "stone"), ("c", "d s"), ("d", ""), ("e", "tower bridge"), ("f", None)], "query_id string, item string")
+    found = passages.holding(docs, items)
+    assert rows_of(found) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", 1), ("d", 2), ("d", 3)]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(passages._short(docs, items.where("item is not null"), most=20)) == rows_of(found)  # several automata
+
+
+def test_white_space_runs_are_linear(spark):
+    from marlstone.functions import text as T
+
+    x = "a" + " " * 300_000 + "b\n" + "  " * 1000
+    start = time.perf_counter()
+    got = spark.createDataFrame([(x,), (" \t",), ("",), ("  c \n",)], "x string").select(T.strip(F.col("x"))).collect()
+    assert [r[0] for r in got] == [x.rstrip(), "", "", "c"] and time.perf_counter() - start < 20
