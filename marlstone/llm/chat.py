@@ -31,6 +31,7 @@ from . import common
 TURN, CONT, TEXT, END, MORE = "<|turn|>", "<|cont|>", "<|text|>", "<|end|>\n", "<|more|>\n"
 #: Tokens that the template adds to a turn.
 FRAME = 4
+SPACE = " \t\n\x0b\f\r"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -63,15 +64,15 @@ def tokens(text: Column) -> Column:
 
 def parts_of(text: Column, size: int) -> Column:
     """text in parts of at most `size` tokens with the template's: array of (text, n)."""
-    room = size - FRAME
+    room, body = size - FRAME, F.rtrim(text, F.lit(SPACE))
 
     def cut(every: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(every) - 1, F.lit(0)), F.lit(room))
-        rest = F.regexp_extract(text, r"\s*\z", 0)
+        rest = F.substr(text, F.length(body) + 1)
         part = lambda s: F.array_join(F.slice(every, s + 1, F.lit(room)), "")
         return F.transform(starts, lambda s: F.struct(F.concat(part(s), F.when(s + room >= F.size(every), rest).otherwise("")).alias("text"), (F.least(F.size(every) - s, F.lit(room)) + FRAME).cast("long").alias("n")))
 
-    return common.let(F.regexp_extract_all(text, F.lit(rf"\s*(?:{TOKEN})"), F.lit(0)), cut)
+    return common.let(F.regexp_extract_all(body, F.lit(rf"\s*+(?:{TOKEN})"), F.lit(0)), cut)
 
 
 def cuts(counts: Column, first: Column, rest: Column) -> Column:

@@ -9,7 +9,7 @@ again. All pairs of tiles are compared, so nothing is missed; a tile pair emits
 forest, never all pairs.
 
 Equal vectors are one entry with a count. Work grows with the square of the number of distinct vectors (as comparing
-all rows does), in independent tasks of bounded memory; a vector's codes go out once for each tile of up to TILE vectors.
+all rows does), in independent tasks of bounded memory; a vector's codes go out once for each tile, of up to TILE vectors and TILE_BYTES.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different
 lengths have no cosine, so links are within a length; an empty table gives an empty result; every row is a vector of its
@@ -30,11 +30,18 @@ from .components import components, least_of, meet
 
 #: Vectors of a tile at most, of a product in it, and tiles where there are enough vectors for them (of LEAST each).
 TILE, SUB, TILES, LEAST = 65536, 1024, 8, 2048
+#: Bytes of a tile in double precision, at most.
+TILE_BYTES = 64 << 20
 SLACK = 1e-9  # over what rounding in double precision can add
 #: (uid, codes as float32 or float64, scale, norm of the remainder, count)
 Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+def tile_rows(dim: int) -> int:
+    """Vectors of a tile at most, by their length."""
+    return max(1, min(TILE, TILE_BYTES // (8 * dim)))
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, scales and norms of the remainders of unit vectors."""
     scale = np.abs(x).max(1) / 127
@@ -121,7 +128,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     schema = "uid long, v array<double>, n long, least long, dim int, codes binary, scale double, rest double"
     entries = common.stage(entries.select("uid", "v", "n", "least").mapInArrow(code, schema), "dedup-entries")
     sizes = entries.groupBy("dim").agg(F.count("*").alias("many"), F.sum("n").alias("rows")).collect()  # a row for each length
-    tiles = spark.createDataFrame([(r.dim, max(1, -(-r.many // tile), min(TILES, -(-r.many // few)))) for r in sizes], "dim int, tiles int")
+    tiles = spark.createDataFrame([(r.dim, max(1, -(-r.many // min(tile, tile_rows(r.dim))), min(TILES, -(-r.many // few)))) for r in sizes], "dim int, tiles int")
     t = F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")
     placed = entries.join(F.broadcast(tiles), "dim").withColumn("t", t)
     dealt = placed.select("dim", "uid", "n", "codes", "scale", "rest", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))

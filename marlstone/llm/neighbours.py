@@ -36,7 +36,8 @@ from .components import meet
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    """part_rows: rows of a part where `most_parts` allows; asked: held-out vectors that `probes` is chosen by; block: rows of a
+    """part_rows: rows of a part where `most_parts` allows; asked: held-out vectors that `probes` is chosen by, an eighth of the
+    sample at most; block: rows of a
     shard, 0 for a 64th of all within 1,024 and 65,536."""
 
     k: int = 5
@@ -227,10 +228,12 @@ def search_length(rows: DataFrame, dim: int, every: int, s: Settings) -> DataFra
     entries = common.stage(entries, "ann-entries")
     total = entries.count()
     share = int(min(1.0, s.sample / max(1, total)) * (1 << 30)) + 1
-    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).limit(2 * s.sample).select("v").toArrow()
+    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).select("v").toArrow()  # about s.sample rows
     x = vectors.unit(np.array(sample["v"].to_pylist(), float)) if sample.num_rows else np.zeros((0, dim))
     x = x[np.lexsort(x.T)]
-    router = fit(x, total, s)
+    away = np.zeros(len(x), bool)  # held out: the fit never sees them
+    away[np.random.default_rng(s.seed).permutation(len(x))[: min(s.asked, len(x) // 8)]] = True
+    router = fit(x[~away], total, s)
     shared = spark.sparkContext.broadcast(router)
     parts_of = lambda v: shared.value.logits(vectors.unit(vectors.matrix(v, dim)))
 
@@ -241,7 +244,7 @@ def search_length(rows: DataFrame, dim: int, every: int, s: Settings) -> DataFra
     placed = common.stage(entries.mapInArrow(assign, "v array<double>, ids array<long>, part int"), "ann-placed")
     common.unstage(entries)
     sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
-    probes = needed_probes(placed, router, x, dim, s)
+    probes = needed_probes(placed, router, x[away], dim, s)
     where = shards(sizes, s.block or min(1 << 16, max(1 << 10, total >> 6)))
     plan = spark.createDataFrame([(p, first, many) for p, (first, many) in where.items()], "part int, first int, many int")  # a row for each part
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
@@ -307,11 +310,11 @@ def search_length(rows: DataFrame, dim: int, every: int, s: Settings) -> DataFra
     return asks.join(best, "q").select("query_id", F.posexplode(five).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
-def needed_probes(placed: DataFrame, router: Router, x: np.ndarray, dim: int, s: Settings) -> int:
-    """The least number of probes that finds `recall` of the true neighbours, among all rows, of some sample vectors."""
-    if router.parts == 1:
-        return 1
-    asked = x[np.random.default_rng(s.seed).permutation(len(x))[: s.asked]]
+def needed_probes(placed: DataFrame, router: Router, asked: np.ndarray, dim: int, s: Settings) -> int:
+    """The least number of probes that finds `recall` of the true neighbours, among all rows, of vectors that were held out;
+    all parts if there are none."""
+    if router.parts == 1 or not len(asked):
+        return router.parts
     shared = placed.sparkSession.sparkContext.broadcast(asked)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
