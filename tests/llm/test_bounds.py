@@ -1,11 +1,14 @@
-"""Limits that were found wanting: white space in linear time, probes by vectors that the fit never saw, tiles by bytes."""
+"""Limits that were found wanting: white space in linear time, probes by vectors that the fit never saw, tiles by bytes; op7 by brute force."""
 
+import os
 import time
 
 import numpy as np
 import pytest
+import regex
 
-from marlstone.llm import chat, embdedup, neighbours, vectors
+import __spark_entry__ as entry
+from marlstone.llm import chat, embdedup, langid, neighbours, vectors
 
 
 def test_chat_windows_with_long_white_space(spark):
@@ -46,3 +49,58 @@ def test_probes_hold_for_vectors_outside_the_sample(spark, monkeypatch):
 @pytest.mark.parametrize("dim", [1, 64, 4096])
 def test_tiles_are_bounded_by_bytes(dim):
     assert 1 <= embdedup.tile_rows(dim) * dim * 8 <= max(embdedup.TILE_BYTES, dim * 8) and embdedup.tile_rows(dim) <= embdedup.TILE
+
+
+def phrases(text, train):
+    """Phrases of the greedy parse: the longest runs that occur in the training text; a character that doesn't is one."""
+    at = n = 0
+    while at < len(text):
+        size, place = 0, 0
+        while at + size < len(text) and (place := train.find(text[at : at + size + 1], place)) >= 0:
+            size += 1
+        at += max(size, 1)
+        n += 1
+    return n
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_op7_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    train = langid.training_texts(langid.training_rows(docs))
+    got = {r.doc_id: r for r in entry.queries()["op7_language_id"](spark, sf).collect()}
+    for d in docs.collect():
+        words = regex.sub(r"[^\p{L}\p{M}]+", " ", (d.text or "").lower()).strip()
+        if not regex.search(r"\p{L}", d.text or ""):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        counts = sorted((phrases(f" {words} ", t), lang) for lang, t in train.items())
+        assert got[d.doc_id].lang_pred == counts[0][1] and abs(got[d.doc_id].score - (1 - counts[0][0] / counts[1][0])) < 1e-12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_the_pipeline_keeps_one_of_each_group_of_near_copies(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect())
+    rows = sorted(docs.collect(), key=lambda d: d.doc_id)
+    sets = []
+    for d in rows:
+        words = (d.text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    assert got == [d.doc_id for i, d in enumerate(rows) if root(i) == i] and len(got) < len(rows)
