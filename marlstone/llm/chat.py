@@ -94,7 +94,7 @@ def spans(convs: DataFrame, b: Budget) -> DataFrame:
     rows = convs.select(F.struct(c("conv_id").cast("long").alias("id")).alias("conv"), c("turn").cast("long").alias("turn"), F.coalesce(c("role").cast("string"), F.lit("")).alias("role"), common.text_of().alias("text"))
     rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / b.block)).withColumn("n", tokens(c("text")))
     key = ["conv", "block"]
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    rows = common.stage(rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))), "chat-turns")
     head = F.max(F.when(c("nth") == 1, F.struct((c("role") == "system").alias("is"), F.least("n", F.lit(b.system)).alias("n"))))
     whole, before = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("block")
     blocks = rows.groupBy(*key).agg(F.sum("n").alias("sum"), head.alias("head"))
@@ -125,7 +125,7 @@ def windows(convs: DataFrame, b: Budget | None = None) -> DataFrame:
     rows = spans(convs, b)
     tail = Window.partitionBy("conv", "at").orderBy(F.desc("block"), F.desc("nth"), F.desc("part")).rowsBetween(Window.unboundedPreceding, 0)
     again = (F.sum("n").over(tail) <= b.history) & ~c("is_system") & (c("at") < c("last"))
-    rows = rows.withColumn("again", again)
+    rows = common.stage(rows.withColumn("again", again), "chat-spans")  # read for the turns and for the system turns
     entry = lambda place, *of: F.struct(F.lit(place).alias("place"), *of)
     own = ("block", "nth", "part", "role", "text", "n", "more")
     new, known = F.struct(c("at").alias("at"), entry(2, *own).alias("e")), F.struct((c("at") + 1).alias("at"), entry(1, *own).alias("e"))
