@@ -6,7 +6,9 @@ at most l * 3 / 4 differences in the l segments from i: 0, then 1, then 2, then
 key per start, made of segments i and i + 1 (32 bits), and visits the keys that have one of its set bits in segment
 i + 1 cleared: of two fingerprints that differ in one bit there, just one visits the other. Under a key the chain of
 three segments is checked, then the full distance. Rows grow in proportion to the number of distinct fingerprints
-(36 each on average), and a key emits a spanning forest of its links, never all pairs.
+(36 each on average), and a key emits a spanning forest of its links, never all pairs. The fingerprints of a key under which
+more than `LARGE` live are dealt once more, by the third segment of the chain: each lives under its own and visits those within two
+bits of it, which is all that the chain allows; so a task has as many as one fourth segment tells apart, 65,536, and visitors.
 
 Edge cases: a null or blank text has fingerprint 0, linked like any other; equal texts share a fingerprint and are one
 node; an empty table gives an empty result; a null doc_id never becomes a component's id unless all its ids are null;
@@ -28,6 +30,8 @@ from .components import components, least_of, meet
 
 SEED = 42
 SEGMENT, SEGMENTS, DISTANCE = 16, 4, 3
+#: Fingerprints that may live under a key and be compared as they are; keys that were dealt by a third segment have the bit THIRD.
+LARGE, THIRD = 1 << 13, 1 << 60
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -78,9 +82,31 @@ def keyed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys).view(np.int64), np.concatenate(index), np.concatenate(home)
 
 
+def keyed_again(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for fingerprints under large keys, by the third segment of their chain too. Of two that differ there in one or
+    two bits, just one visits the other: the one that has the lowest of these bits set."""
+    start = keys >> 32
+    third = (fps >> (SEGMENT * ((start + 2) % SEGMENTS)).astype(np.uint64) & np.uint64(0xFFFF)).astype(np.int64)
+    base = np.int64(THIRD) | keys << np.int64(SEGMENT)
+    every = np.arange(len(fps))
+    out, index, home = [base | third], [every], [np.ones(len(fps), bool)]
+    for b in range(SEGMENT):
+        has = np.flatnonzero(third >> b & 1)
+        for flip in (1 << b, *(1 << b | 1 << c for c in range(b + 1, SEGMENT))):
+            out.append((base | third ^ flip)[has])
+            index.append(has)
+            home.append(np.zeros(len(has), bool))
+    return np.concatenate(out), np.concatenate(index), np.concatenate(home)
+
+
+def start_of(key: int) -> int:
+    """The segment that a key's chain begins with."""
+    return key >> (32 + SEGMENT) & 3 if key & THIRD else key >> 32
+
+
 def forest(key: int, lives: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints under a key: a spanning forest of pairs that are linked themselves, arrays u, v."""
-    start = np.uint64(SEGMENT * (key >> 32))
+    start = np.uint64(SEGMENT * start_of(key))
     ring = lambda x: (x >> start) | (x << ((np.uint64(64) - start) & np.uint64(63))) if start else x
     chain = np.uint64((1 << 3 * SEGMENT) - 1)
     every = np.concatenate([lives, visits])
@@ -105,7 +131,7 @@ def forest(key: int, lives: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray,
     return every[np.array(us, np.int64)], every[np.array(vs, np.int64)]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """(fp) distinct -> (u, v): pairs that are linked, enough to connect what is connected."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +174,24 @@ def links(fps: DataFrame) -> DataFrame:
         if len(rest[0]) and (found := groups(rest)) is not None:
             yield found
 
-    dealt = fps.select("fp").mapInArrow(common.tidy(deal), "key long, fp long, home boolean")
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 11):
+                part = batch.slice(at, 1 << 11)
+                fp = np.asarray(part.column("fp")).view(np.uint64)
+                key, index, home = keyed_again(np.asarray(part.column("key")), fp)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[index].view(np.int64)), pa.array(home)], ["key", "fp", "home"])
+
+    kind = "key long, fp long, home boolean"
+    dealt = fps.select("fp").mapInArrow(common.tidy(deal), kind)
+    segment = lambda i: F.shiftrightunsigned("fp", SEGMENT * (i % SEGMENTS)).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    own = F.array(*(F.lit(i << 32).cast("long").bitwiseOR(F.shiftleft(segment(i), SEGMENT)).bitwiseOR(segment(i + 1)) for i in range(SEGMENTS)))
+    big = fps.select(F.explode(own).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
+    big = common.stage(big.select("key"), "simhash-large")
+    if not big.isEmpty():
+        few = F.broadcast(big) if big.count() <= 1 << 18 else big
+        once = dealt.join(few, "key", "left_anti")
+        dealt = once.unionByName(dealt.join(few, "key", "left_semi").select("key", "fp").distinct().mapInArrow(common.tidy(again), kind))
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(meet), "u long, v long")
 
 

@@ -8,7 +8,7 @@ import pytest
 import regex
 
 import __spark_entry__ as entry
-from marlstone.llm import chat, embdedup, langid, neighbours, vectors
+from marlstone.llm import chat, embdedup, langid, neighbours, simhash, vectors
 
 
 def test_chat_windows_with_long_white_space(spark):
@@ -104,3 +104,36 @@ def test_the_pipeline_keeps_one_of_each_group_of_near_copies(spark):
                 a, b = sorted((root(i), root(j)))
                 label[b] = a
     assert got == [d.doc_id for i, d in enumerate(rows) if root(i) == i] and len(got) < len(rows)
+
+
+def test_large_keys_are_dealt_by_a_third_segment(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = set()
+    for c in centers:
+        for _ in range(250):
+            x = int(c)
+            for b in rng.choice(64, rng.integers(0, 9), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = np.arange(len(fps))
+    while True:
+        new = np.where(near, label[None, :], len(fps)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    for large in (simhash.LARGE, 20, 0):
+        pairs = [(place[r.u], place[r.v]) for r in simhash.links(df, large).collect()]
+        assert all(near[a, b] for a, b in pairs)
+        own = np.arange(len(fps))
+        for _ in range(len(fps)):
+            before = own.copy()
+            for a, b in pairs:
+                own[a] = own[b] = min(own[a], own[b])
+            if (own == before).all():
+                break
+        assert own.tolist() == label.tolist()
