@@ -3,13 +3,14 @@
 A source's documents, in the order of a hash of their id, are cut into blocks of `block_chars` characters (a document
 belongs to the block in which it starts). Weights are integer shares, so a source with share a of a total of Q gets its
 i-th block (from 1) a release at floor((i - 1) Q / a) and a deadline at ceil(i Q / a); earliest deadline first over the
-released blocks gives every source, at every slot, less than one block more or less than its weight's part. The order
+released blocks gives every stream, at every slot, less than one block more or less than its weight's part. The order
 repeats every Q slots, so the driver makes one period and each block computes its slot. When a source runs out, the
 others go on by their shares: a new phase with a new period. Nothing is dropped or repeated.
 
 Every source is scheduled. Those with a given share and the `streams` largest are streams of their own. If there are more,
 the others are dealt by a hash to at most `streams` groups; a group is one stream with the sum of its sources' weights,
-and its own blocks are dealt to its sources by Pfair once more. The driver holds one row per source.
+and its own blocks are dealt to its sources by Pfair once more, so that such a source has less than two blocks (not one) more
+or less than its part. The driver holds one row per source.
 Prefix sums are taken within (source, bucket of the hash) and then over the buckets, of which there are as many as the
 largest source needs, so a large source is spread; the hash is of the id and the text, so a repeated id is spread too.
 
@@ -30,6 +31,8 @@ from . import common
 
 #: Buckets of a source at least, and its rows in one of them, about.
 BUCKETS, BUCKET_ROWS = 256, 1 << 18
+#: Sources that are streams of their own, besides those with a given share; the driver's work grows with the square.
+STREAMS = 512
 OWN = "__mix_"
 
 
@@ -86,7 +89,7 @@ def whole_shares(weights: dict[int, float], total: int) -> dict[int, int]:
     return out
 
 
-def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_chars: int = 1 << 16, streams: int = 64) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_chars: int = 1 << 16, streams: int = STREAMS) -> DataFrame:
     """docs (doc_id, text, source, ...) with __mix_block and __mix_slot: their block in the source, and its slot. shares:
     target weights of sources by name (None is the null source), 1 if it isn't there; "*" is that of all grouped sources
     together. Without shares a source weighs the root of its size."""
@@ -107,13 +110,14 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_char
         groups.setdefault(len(own) + zlib.crc32(name(n).encode()) % many, []).append(i)
     ceil = lambda c: (c - 1) // block_chars + 1
     # streams of the upper level, and within a group the places of its sources
-    blocks = {i: ceil(c) for i, c in enumerate(dict(every)[n] for n in own)} | {g: sum(ceil(rest[i][1]) for i in x) for g, x in groups.items()}
+    sized = dict(every)
+    blocks = {i: ceil(sized[n]) for i, n in enumerate(own)} | {g: sum(ceil(rest[i][1]) for i in x) for g, x in groups.items()}
     roots = {g: sum(math.sqrt(rest[i][1]) for i in x) for g, x in groups.items()}
     if shares:
         scale = 1000 if groups else 1
         given = {i: scale * shares.get(n, 1) for i, n in enumerate(own)} | (whole_shares(roots, scale * shares.get("*", 1)) if groups else {})
     else:
-        given = shares_of({i: math.sqrt(dict(every)[n]) for i, n in enumerate(own)} | roots)
+        given = shares_of({i: math.sqrt(sized[n]) for i, n in enumerate(own)} | roots, max(1000, 8 * (len(own) + len(roots))))
     made = phases(blocks, given)
     within = [(name(n), i, 0, blocks[i], 0, 1, [0]) for i, n in enumerate(own)]
     for g, x in sorted(groups.items()):

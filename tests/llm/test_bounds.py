@@ -8,7 +8,7 @@ import pytest
 import regex
 
 import __spark_entry__ as entry
-from marlstone.llm import chat, embdedup, langid, neighbours, simhash, vectors
+from marlstone.llm import chat, embdedup, langid, mixing, neighbours, simhash, vectors
 
 
 def test_chat_windows_with_long_white_space(spark):
@@ -137,3 +137,20 @@ def test_large_keys_are_dealt_by_a_third_segment(spark):
             if (own == before).all():
                 break
         assert own.tolist() == label.tolist()
+
+
+def test_three_hundred_sources_keep_within_a_block(spark):
+    rows = [(i, "x" * 9, f"s{i % 300:03d}") for i in range(3000)] + [(3000 + i, "x" * 9, f"s{i % 30:03d}") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=10).collect()
+    assert sorted(r["__mix_slot"] for r in got) == list(range(4500))
+    slots = {}
+    for r in got:
+        slots.setdefault(r.source, []).append(r["__mix_slot"])
+    first = min(max(x) for x in slots.values()) + 1  # until one runs out all weigh by the root of their size
+    roots = {s: len(x) ** 0.5 for s, x in slots.items()}
+    share = mixing.shares_of(roots, 8 * 300)
+    total, at = sum(share.values()), np.arange(1, first + 1)
+    assert first > 1000
+    for s, x in slots.items():
+        done = np.searchsorted(np.sort(x), at)  # blocks before each slot
+        assert (np.abs(done - at * share[s] / total) < 1).all(), s
