@@ -12,6 +12,7 @@ from ..functions.stem import with_stem
 from ..sources.stage import stage
 
 K1, B, MOST_DF = 1.5, 0.75, 0.5
+BROADCAST = 64 << 20  # bytes of stems that are broadcast at most
 DIGITS = 6  # scores are rounded before they are ranked, so that the order of a sum doesn't decide ties
 
 
@@ -21,11 +22,15 @@ def stem_table(raw: DataFrame) -> DataFrame:
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf): stems, and words that differ from their stem, counted together."""
-    raw = chunks.select("chunk_id", F.explode(T.raw_tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
-    raw = stage(raw, "bm25-raw")  # read for its terms and for their counts
-    both = raw.join(stem_table(raw), "term").select("chunk_id", "n", F.explode(F.array_distinct(F.array("stem", "term"))).alias("term"))
-    return both.groupBy("chunk_id", "term").agg(F.sum("n").alias("tf"))
+    """(chunk_id, term, tf, dl): stems, and words that differ from their stem, counted together. Texts are dealt by chunk, once:
+    a chunk's terms are then counted where they are, without a shuffle of a row for each word."""
+    tokens = lambda df: df.select("chunk_id", F.explode(T.raw_tokens(F.col("text"))).alias("term"))
+    stems = stage(stem_table(tokens(chunks)), "bm25-stems")
+    size = stems.agg(F.coalesce(F.sum(F.length("term") + F.length("stem") + 64), F.lit(0))).first()[0]
+    raw = tokens(chunks.select("chunk_id", "text").repartition("chunk_id")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+    both = raw.join(F.broadcast(stems) if size <= BROADCAST else stems, "term").select("chunk_id", "n", F.explode(F.array_distinct(F.array("stem", "term"))).alias("term"))
+    tf = both.groupBy("chunk_id", "term").agg(F.sum("n").alias("tf"))
+    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("chunk_id")))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def build(chunks: DataFrame, most_df: float = MOST_DF) -> Index:
     df, dl, stats = doc_freq(tf), doc_len(tf), corpus_stats(chunks, tf)
     c = F.col
     score = weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl"))
-    rows = tf.join(vocabulary(df, stats, most_df), "term").join(dl, "chunk_id").crossJoin(F.broadcast(stats)).select("term", "chunk_id", "tf", "df", "dl", score.alias("score"))
+    rows = tf.join(vocabulary(df, stats, most_df), "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", "tf", "df", "dl", score.alias("score"))
     return Index(tf, rows, stats, df, dl)
 
 

@@ -139,7 +139,7 @@ def bm25_df(spark, sf_dir):
 
 @query
 def bm25_tf(spark, sf_dir):
-    return _index(spark, sf_dir).tf
+    return _index(spark, sf_dir).tf.select("chunk_id", "term", "tf")
 
 
 @query
