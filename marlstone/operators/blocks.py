@@ -104,9 +104,10 @@ def _scored(blocks: DataFrame, stats: DataFrame, keys: DataFrame, on: list[str],
 def asked(blocks: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """terms (*GROUP, term) -> staged: (*GROUP, nth), a number for each stream whatever its ids are; (nth, term, most, best), its
     distinct terms with the term's highest weight and the range that has it."""
+    terms = stage(terms.select(*GROUP, "term").distinct(), "search-asked")  # a query's terms take a long chain of columns to find
     streams = stage(terms.select(*GROUP).distinct().withColumn("nth", F.monotonically_increasing_id()), "search-streams")
     facts = blocks.groupBy("term").agg(F.max("most").alias("most"), F.max_by("block", "most").alias("best"))
-    rows = terms.join(streams, GROUP).select("nth", "term").distinct()
+    rows = terms.join(streams, GROUP).select("nth", "term")
     return streams, stage(rows.join(facts, "term").select("nth", "term", "most", "best"), "search-terms")
 
 
