@@ -15,38 +15,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries in a tile and their bytes, at most; scores of a query tile that are computed at once.
+#: Queries in a tile and their bytes, at most; results in a batch.
 MOST_QUERIES, TILE_BYTES, STEP = 1 << 16, 64 << 20, 1 << 22
+SLAB = 1 << 10  # queries, and vectors, whose scores are computed at once
 DIGITS = 6
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # places of queries, ids, scores
 
 
 class Best:
-    """Keeps the k best of each query; vectors come by rising id, so that ties stay with the smaller."""
+    """Keeps the k best of each query, ties to the smaller id, as rows (place, id, score). Scores are computed `SLAB` by `SLAB`;
+    of these only the ones that reach a query's k-th best so far are kept, and merged when they are many."""
 
-    def __init__(self, queries: np.ndarray, k: int, more: np.ndarray):
+    def __init__(self, queries: np.ndarray, k: int, more: np.ndarray | None = None):
         self.q, self.k = queries, k
-        self.ids = np.empty((len(queries), 0), np.int64)
-        self.scores = np.empty((len(queries), 0))
-
-    def see(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[Found]:
-        for at in range(0, len(ids), 1024):
-            s = np.round(self.q @ vectors[at : at + 1024].T, DIGITS)
-            new = ids[at : at + 1024]
-            if self.scores.shape[1] == self.k:
-                better = (s > self.scores[:, -1:]).any(0)
-                s, new = s[:, better], new[better]
-            if len(new):
-                both = np.concatenate([self.scores, s], 1)
-                order = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
-                self.ids = np.take_along_axis(np.concatenate([self.ids, np.broadcast_to(new, s.shape)], 1), order, 1)
-                self.scores = np.take_along_axis(both, order, 1)
+        self.least = np.full(len(queries), -np.inf)
+        self.held: Found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.new: list[Found] = []
+        self.size = 0
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray, places: np.ndarray | None = None) -> Iterator[Found]:
+        """places: of the queries that these vectors are for, if not all."""
+        every = np.arange(len(self.q)) if places is None else places
+        for start in range(0, len(every), SLAB):
+            rows = every[start : start + SLAB]
+            for at in range(0, len(ids), SLAB):
+                s = np.round(self.q[rows] @ vectors[at : at + SLAB].T, DIGITS)
+                i, j = np.nonzero(~(s < self.least[rows][:, None]))
+                self.new.append((rows[i], ids[at : at + SLAB][j], s[i, j]))
+                self.size += len(i)
+                if self.size > max(SLAB * SLAB, len(self.held[0])):
+                    self.merge()
         return iter(())
 
+    def merge(self) -> None:
+        place, ids, score = (np.concatenate(x) for x in zip(self.held, *self.new, strict=True))
+        key = np.where(np.isnan(score), -np.inf, -score)  # not a number is the highest, as in SQL
+        order = np.lexsort((ids, key, place))
+        place = place[order]
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        nth = np.arange(len(place)) - np.repeat(starts, np.diff(starts, append=len(place)))
+        last = np.flatnonzero(nth == self.k - 1)
+        self.least[place[last]] = -key[order[last]]
+        kept = order[nth < self.k]
+        self.held, self.new, self.size = (place[nth < self.k], ids[kept], score[kept]), [], 0
+
     def end(self) -> Iterator[Found]:
-        n = self.ids.shape[1]
-        yield np.repeat(np.arange(len(self.q)), n), self.ids.ravel(), self.scores.ravel()
+        self.merge()
+        yield self.held
 
 
 class Above:
@@ -56,10 +72,11 @@ class Above:
         self.q, self.least = queries, more
 
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[Found]:
-        for at in range(0, len(ids), 1024):
-            s = self.q @ vectors[at : at + 1024].T
-            i, j = np.nonzero(s >= self.least[:, None])
-            yield i, ids[at : at + 1024][j], s[i, j]
+        for start in range(0, len(self.q), SLAB):
+            for at in range(0, len(ids), SLAB):
+                s = self.q[start : start + SLAB] @ vectors[at : at + SLAB].T
+                i, j = np.nonzero(s >= self.least[start : start + SLAB, None])
+                yield start + i, ids[at : at + SLAB][j], s[i, j]
 
     def end(self) -> Iterator[Found]:
         return iter(())
@@ -70,15 +87,19 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def tile_counts(asked: DataFrame, most_queries: int = MOST_QUERIES, tile_bytes: int = TILE_BYTES) -> tuple[int, int]:
+    """asked (v, ...) -> into how many tiles queries go, and vectors."""
+    n, size = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    across = max(1, -(-n // max(1, min(most_queries, tile_bytes // max(8, 8 * (size or 1))))))
+    return across, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def meet(store: DataFrame, queries: DataFrame, kind: Callable[..., Best | Above], k: int = 10, most_queries: int = MOST_QUERIES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """store (vec_id, embedding), queries (query_id, qvec[, least]) -> (query_id, vec_id, score), what `kind` keeps in each pair
     of tiles. Null vectors take no part."""
-    spark = store.sparkSession
     least = F.col("least").cast("double") if "least" in queries.columns else F.lit(None).cast("double")
     asked = queries.where(F.col("qvec").isNotNull()).select(F.col("query_id").cast("long").alias("id"), F.col("qvec").cast("array<double>").alias("v"), least.alias("least"))
-    n, size = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    across = max(1, -(-n // max(1, min(most_queries, tile_bytes // max(8, 8 * (size or 1))))))
-    down = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across, down = tile_counts(asked, most_queries, tile_bytes)
     tile = lambda many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     rows = asked.select("*", tile(across).alias("a"), F.lit(0).alias("kind")).select("id", "v", "least", "kind", "a", every(down).alias("b"))
@@ -118,6 +139,7 @@ def meet(store: DataFrame, queries: DataFrame, kind: Callable[..., Best | Above]
                     if seeing is None:
                         names = np.concatenate(ids)
                         seeing = kind(np.concatenate(parts), k, np.concatenate(limits))
+                        parts = []
                     yield from said(seeing.see(own, vectors))
         if seeing:
             yield from said(seeing.end())

@@ -3,12 +3,13 @@
 import json
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import ann, blocks, bm25, collection, scenario
+from marlstone.operators import ann, blocks, bm25, collection, scenario, tiles
 from marlstone.sources import npy, readers
 from marlstone.sources.stage import stage
 from marlstone.sources.vectors import VectorStore
@@ -280,3 +281,19 @@ def test_white_space_runs_are_linear(spark):
     start = time.perf_counter()
     got = spark.createDataFrame([(x,), (" \t",), ("",), ("  c \n",)], "x string").select(T.strip(F.col("x"))).collect()
     assert [r[0] for r in got] == [x.rstrip(), "", "", "c"] and time.perf_counter() - start < 20
+
+
+def test_best_holds_little_whatever_the_number_of_queries():
+    rng = np.random.default_rng(7)
+    q, x = rng.normal(size=(20_000, 4)), rng.normal(size=(3000, 4))
+    tracemalloc.start()
+    best = tiles.Best(q, 5)
+    for at in range(0, 3000, 1000):
+        best.see(np.arange(at, at + 1000), x[at : at + 1000])
+    place, ids, score = next(best.end())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20  # a whole matrix of 20,000 x 1,024 doubles has 164 MB, and was copied
+    assert np.array_equal(place, np.repeat(np.arange(20_000), 5))
+    for i in range(0, 20_000, 997):
+        assert ids[place == i].tolist() == np.lexsort((np.arange(3000), -np.round(x @ q[i], tiles.DIGITS)))[:5].tolist()
