@@ -67,11 +67,6 @@ def _numbered(queries: DataFrame) -> DataFrame:
     return stage(queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).withColumn("nth", F.monotonically_increasing_id()), "ann-queries")
 
 
-def _scores(asked: DataFrame, probes: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
-    """(nth, vec_id, score) of each query with the vectors of its probes (nth, *key)."""
-    return probes.join(asked.select("nth", "qvec"), "nth").join(listed, key).select("nth", "vec_id", F.round(dot(F.col("qvec"), F.col("embedding")), collection.DIGITS).alias("score"))
-
-
 def _named(hits: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     best = collection._first(hits.withColumnRenamed("nth", "query_id"), k).withColumnRenamed("query_id", "nth")
     return best.join(asked.select("nth", "query_id"), "nth").select("query_id", "rank", "vec_id", "score")
@@ -83,7 +78,7 @@ def search(centroids: DataFrame, listed: DataFrame, queries: DataFrame, k: int =
     near = tiles.meet(centroids.select(F.col("list_id").alias("vec_id"), F.col("centroid").alias("embedding")), asked.select(F.col("nth").alias("query_id"), "qvec"), tiles.Best, nprobe)
     near = collection._first(near, nprobe).select(F.col("query_id").alias("nth"), F.col("vec_id").cast("int").alias("list_id"))
     probes = near.join(listed.select("list_id", "part").distinct(), "list_id")
-    return _named(_scores(asked, probes, listed, ["list_id", "part"]), asked, k)
+    return _named(tiles.meet_lists(listed, asked, probes, k), asked, k)
 
 
 def probes_exact(listed: DataFrame, asked: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
@@ -94,7 +89,7 @@ def probes_exact(listed: DataFrame, asked: DataFrame, k: int = 10, nprobe: int =
     q = asked.select(F.col("nth").alias("query_id"), "qvec")
     near = collection._first(tiles.meet(parts.select("vec_id", F.col("mean").alias("embedding")), q, tiles.Best, nprobe), nprobe)
     first = stage(split(near.withColumnRenamed("query_id", "nth")), "ann-near")
-    found = collection._first(_scores(asked, first, listed, ["list_id", "part"]).withColumnRenamed("nth", "query_id"), k)
+    found = collection._first(tiles.meet_lists(listed, asked, first, k).withColumnRenamed("nth", "query_id"), k)
     limit = found.where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-collection.DIGITS).alias("least"))
     norm = F.sqrt(dot(F.col("qvec"), F.col("qvec")))
     longer = q.join(limit, "query_id", "left").select("query_id", F.concat("qvec", F.array(norm)).alias("qvec"), F.coalesce("least", F.lit(float("-inf"))).alias("least"))
@@ -105,7 +100,7 @@ def probes_exact(listed: DataFrame, asked: DataFrame, k: int = 10, nprobe: int =
 def search_exact(listed: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
     """As collection.top_k over the listed vectors (list_id, part, vec_id, embedding), from the parts that can hold a result."""
     asked = _numbered(queries)
-    return _named(_scores(asked, probes_exact(listed, asked, k, nprobe), listed, ["list_id", "part"]), asked, k)
+    return _named(tiles.meet_lists(listed, asked, probes_exact(listed, asked, k, nprobe), k), asked, k)
 
 
 def hashing_embedding(texts: DataFrame, dim: int = DIM) -> DataFrame:

@@ -146,3 +146,56 @@ def meet(store: DataFrame, queries: DataFrame, kind: Callable[..., Best | Above]
 
     dealt = rows.unionByName(held).repartition("a", "b").sortWithinPartitions("a", "b", "kind", "id")
     return dealt.mapInArrow(of, "query_id long, vec_id long, score double")
+
+
+def meet_lists(listed: DataFrame, asked: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
+    """listed (list_id, part, vec_id, embedding), asked (nth, qvec), probes (nth, list_id, part) -> (nth, vec_id, score): what
+    each tile of parts has as the k best of each query, among the parts that the query probes. A query goes once to each tile
+    with a part of its; a task holds a tile's queries as a matrix and streams the parts past them, one after another."""
+    asked = asked.where(F.col("qvec").isNotNull()).select(F.col("nth").alias("id"), F.col("qvec").cast("array<double>").alias("v"))
+    across, down = tile_counts(asked)
+    key = (F.col("list_id").cast("long") * (1 << 24) + F.col("part")).alias("key")
+    tile, turn = F.pmod(F.xxhash64("key"), F.lit(down)).cast("int").alias("b"), F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("a")
+    wanted = probes.select(F.col("nth").alias("id"), key).select("id", "key", tile).groupBy("id", "b").agg(F.collect_list("key").alias("keys"))
+    rows = asked.join(wanted, "id").select("id", "v", "keys", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), turn, "b")
+    held = listed.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.lit(None).cast("array<long>").alias("keys"), F.lit(1).alias("kind"), key)
+    held = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("a"), tile)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where: tuple[int, int] | None = None
+        waiting: list[pa.RecordBatch] = []
+        seeing: Best | None = None
+        names = places = keys = np.empty(0, np.int64)
+
+        def said() -> Iterator[pa.RecordBatch]:
+            for i, vec, score in seeing.end() if seeing else ():
+                for at in range(0, len(i), STEP):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i[at : at + STEP]]), pa.array(vec[at : at + STEP]), pa.array(score[at : at + STEP])], ["nth", "vec_id", "score"])
+
+        for batch in batches:
+            a, b, which, key = (np.asarray(batch.column(c)) for c in ("a", "b", "kind", "key"))
+            cuts = np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(which) != 0) | (np.diff(key) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(a)], strict=True):
+                if start == end:
+                    continue
+                if (a[start], b[start]) != where:
+                    yield from said()
+                    where, waiting, seeing = (a[start], b[start]), [], None
+                part = batch.slice(start, end - start)
+                if which[start] == 0:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    names = np.concatenate([np.asarray(x.column("id")) for x in waiting])
+                    seeing = Best(np.concatenate([matrix(x.column("v")) for x in waiting]), k)
+                    many = np.concatenate([x.column("keys").value_lengths().to_numpy() for x in waiting])
+                    keys = np.concatenate([np.asarray(x.column("keys").flatten()) for x in waiting])
+                    order = np.argsort(keys, kind="stable")
+                    keys, places, waiting = keys[order], np.repeat(np.arange(len(names)), many)[order], []
+                if seeing:
+                    first, last = np.searchsorted(keys, [key[start], key[start] + 1])
+                    seeing.see(np.asarray(part.column("id")), matrix(part.column("v")), places[first:last])
+        yield from said()
+
+    dealt = rows.unionByName(held).repartition("a", "b").sortWithinPartitions("a", "b", "kind", "key")
+    return dealt.mapInArrow(of, "nth long, vec_id long, score double")

@@ -297,3 +297,15 @@ def test_best_holds_little_whatever_the_number_of_queries():
     assert np.array_equal(place, np.repeat(np.arange(20_000), 5))
     for i in range(0, 20_000, 997):
         assert ids[place == i].tolist() == np.lexsort((np.arange(3000), -np.round(x @ q[i], tiles.DIGITS)))[:5].tolist()
+
+
+def test_lists_are_scored_as_tiles(spark, clustered):
+    _, listed = ann.build(clustered, lists=40, most=100)
+    asked = ann._numbered(clustered.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")))
+    parts = listed.select("list_id", "part").distinct()
+    probes = stage(asked.select("nth").crossJoin(parts).where(F.xxhash64("nth", "list_id", "part") % 3 == 0), "probes")
+    got = tiles.meet_lists(listed, asked, probes, 6)
+    pairs = probes.join(asked, "nth").join(listed, ["list_id", "part"])
+    every = pairs.select(F.col("nth").alias("query_id"), "vec_id", F.round(collection.dot(F.col("qvec"), F.col("embedding")), 6).alias("score"))
+    assert got.count() <= 6 * 4 * asked.count() < every.count()  # k for each tile, not a row for each pair
+    assert rows_of(collection._first(got.withColumnRenamed("nth", "query_id"), 6)) == rows_of(collection._first(every, 6))
