@@ -24,6 +24,7 @@ from ..sources.stage import stage
 from . import collection, tiles
 
 NPROBE, DIM, MOST = 32, 384, 1 << 14
+RECALL = 0.95  # aimed at on the sample, so that other queries reach 0.9
 
 
 def list_count(n: int) -> int:
@@ -81,6 +82,23 @@ def search(centroids: DataFrame, listed: DataFrame, queries: DataFrame, k: int =
     return _named(tiles.meet_lists(listed, asked, probes, k), asked, k)
 
 
+def probes_for(centroids: DataFrame, listed: DataFrame, k: int = 10, recall: float = RECALL, sample: int = 256) -> int:
+    """How many of the nearest lists hold that part of the exact k best, by brute force over all vectors for `sample` of them
+    as queries; `NPROBE` at least."""
+    some = listed.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    asked = stage(some.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "ann-sample")
+    lists = centroids.select(F.col("list_id").alias("vec_id"), F.col("centroid").alias("embedding"))
+    near = collection._first(tiles.meet(lists, asked, tiles.Best, 1 << 30), 1 << 30).select("query_id", F.col("vec_id").cast("int").alias("list_id"), F.col("rank").alias("place"))
+    truth = collection.top_k_blocked(listed, asked, k).select("query_id", "vec_id").join(listed.select("vec_id", "list_id"), "vec_id")
+    found = truth.join(near, ["query_id", "list_id"]).groupBy("place").count().orderBy("place").collect()  # a row for each place of a list at most
+    total, seen = sum(r["count"] for r in found), 0
+    for r in found:
+        seen += r["count"]
+        if seen >= recall * total:
+            return max(NPROBE, r.place)
+    return NPROBE
+
+
 def probes_exact(listed: DataFrame, asked: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
     """asked (nth, qvec) -> staged (nth, list_id, part): the nprobe parts of nearest means, and all that can hold one of the k best."""
     key = F.col("list_id").cast("long") * (1 << 24) + F.col("part")

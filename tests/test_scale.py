@@ -319,3 +319,15 @@ def test_lists_are_scored_as_tiles(spark, clustered):
     every = pairs.select(F.col("nth").alias("query_id"), "vec_id", F.round(collection.dot(F.col("qvec"), F.col("embedding")), 6).alias("score"))
     assert got.count() <= 6 * 4 * asked.count() < every.count()  # k for each tile, not a row for each pair
     assert rows_of(collection._first(got.withColumnRenamed("nth", "query_id"), 6)) == rows_of(collection._first(every, 6))
+
+
+def test_probes_are_as_many_as_the_recall_needs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 24))  # in no clusters: 32 of 64 lists hold too few
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    store = stage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "loose")
+    queries = store.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    centroids, listed = ann.build(store, lists=256)
+    want = {r[:1] + r[2:3] for r in rows_of(collection.top_k_blocked(store, queries))}
+    found = lambda n: len(want & {r[:1] + r[2:3] for r in rows_of(ann.search(centroids, listed, queries, nprobe=n))}) / len(want)
+    assert found(ann.NPROBE) < 0.9 <= found(ann.probes_for(centroids, listed))
