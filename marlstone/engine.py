@@ -36,7 +36,7 @@ def _indexed(store: Store, dense: bool, embed: Callable[[DataFrame], DataFrame],
     chunks = store.load("chunks")
     store.save_chunk_meta(chunks)
     index = bm25.build(chunks)
-    store.save("postings", blocks.blocked(index.rows))
+    store.save("postings", index.blocks().sortWithinPartitions("term", "block"))
     store.save("bm25_stats", index.stats)
     if dense:
         texts = (chunks if new is None else new).select(F.col("chunk_id").alias("text_id"), "text")

@@ -3,11 +3,13 @@
 A word is mirrored by a mask of its letters, c or v: aeiou are v, digits and other letters c, and y is c at the start or
 after a v. A word's beginning has the beginning of its mask. The rules' measure is over 0 if the mask of what precedes
 the suffix holds a c, and over 1 if it holds cv. The chain is plain SQL, so the same text runs on Spark and in the
-oracle.
+oracle. `stem` says the same of one word, for tasks that meet words in texts.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,49 @@ def chain(term: str = "term") -> list[tuple[str, str]]:
     ]
 
 
+_KINDS = str.maketrans("aeioubcdfghjklmnpqrstvwxz0123456789", "vvvvv" + "c" * 30)
+_RULES = [re.compile(f"(?:{'|'.join(a for a, *_ in rules)})$") for rules in (SECOND, THIRD, [(a,) for a in FOURTH])]  # whether any rule can apply
+
+
+def _kinds(w: str) -> str:
+    m = w.translate(_KINDS)
+    if "y" in m:
+        m = "c" + m[1:] if m[0] == "y" else m
+        for _ in range(4):
+            m = m.replace("cy", "cv").replace("vy", "vc")
+    return m
+
+
+def _swapped(w: str, rules: list[tuple[str, str]]) -> str:
+    m = _kinds(w)
+    return next((w[: -len(a)] + b for a, b in rules if w.endswith(a) and "c" in m[: -len(a)]), w)
+
+
+def stem(w: str) -> str:
+    """The chain for one word of a-z and 0-9."""
+    if len(w) <= 2:
+        return w
+    s = w[:-2] if w.endswith(("sses", "ies")) else w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+    if s.endswith("eed"):
+        s = s[:-1] if "c" in _kinds(s)[:-3] else s
+    elif cut := next((n for a, n in (("ed", 2), ("ing", 3)) if s.endswith(a) and "v" in _kinds(s)[:-n]), 0):
+        s = s[:-cut]
+        if s.endswith(("at", "bl", "iz")):
+            s += "e"
+        elif len(s) > 1 and s[-1] == s[-2] and s[-1] not in "aeiouylsz":
+            s = s[:-1]
+    if s.endswith("y") and "v" in _kinds(s)[:-1]:
+        s = s[:-1] + "i"
+    for rules, any_rule in zip((SECOND, THIRD), _RULES, strict=False):
+        s = _swapped(s, rules) if any_rule.search(s) else s
+    m = _kinds(s)
+    if _RULES[2].search(s) and (a := next((a for a in FOURTH if s.endswith(a) and "cv" in m[: -len(a)]), "")):
+        s = s[: -len(a)] if a != "ion" or s[:-3].endswith(("s", "t")) else s
+    if s.endswith("e") and "c" in m[: len(s) - 1]:
+        s = s[:-1]
+    return s[:-1] if s.endswith("ll") and "cv" in m[: len(s)] else s
+
+
 def with_stem(terms: DataFrame, term: str = "term") -> DataFrame:
     """terms with a column `stem`; call it on distinct terms."""
     columns = terms.columns

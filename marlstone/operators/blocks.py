@@ -22,7 +22,7 @@ from ..sources.stage import stage
 from . import bm25
 
 #: Chunk ids of a range; chunks of the first scoring for each of the k; keys (a stream's term) that meet a range in one group.
-WIDTH, FIRST, KEYS = 1024, 16, 1 << 19
+WIDTH, FIRST, KEYS = bm25.WIDTH, 16, 1 << 19
 #: Bounds are compared with room for how sums are rounded before they are ranked.
 ROOM = 10.0**-bm25.DIGITS
 GROUP = ["query_id", "stream_id"]

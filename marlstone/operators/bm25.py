@@ -1,18 +1,24 @@
-"""BM25 with weights computed when the index is built, so that a query is a sum over postings."""
+"""BM25: counts of terms in blocks of chunks, and what follows from them."""
 
 from __future__ import annotations
 
 import dataclasses
+import functools
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.stem import with_stem
+from ..functions.stem import stem, with_stem
 from ..sources.stage import stage
 
 K1, B, MOST_DF = 1.5, 0.75, 0.5
-BROADCAST = 64 << 20  # bytes of stems that are broadcast at most
+WIDTH, HELD = 1024, 1 << 21  # chunk ids of a block; postings that a task gathers before it emits them, at most
+STEMS = 1 << 18  # stems that a task remembers
 DIGITS = 6  # scores are rounded before they are ranked, so that the order of a sum doesn't decide ties
 
 
@@ -21,30 +27,72 @@ def stem_table(raw: DataFrame) -> DataFrame:
     return with_stem(raw.select("term").distinct())
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl): stems, and words that differ from their stem, counted together. Texts are dealt by chunk, once:
-    a chunk's terms are then counted where they are, without a shuffle of a row for each word."""
-    tokens = lambda df: df.select("chunk_id", F.explode(T.raw_tokens(F.col("text"))).alias("term"))
-    stems = stage(stem_table(tokens(chunks)), "bm25-stems")
-    size = stems.agg(F.coalesce(F.sum(F.length("term") + F.length("stem") + 64), F.lit(0))).first()[0]
-    raw = tokens(chunks.select("chunk_id", "text").repartition("chunk_id")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
-    both = raw.join(F.broadcast(stems) if size <= BROADCAST else stems, "term").select("chunk_id", "n", F.explode(F.array_distinct(F.array("stem", "term"))).alias("term"))
-    tf = both.groupBy("chunk_id", "term").agg(F.sum("n").alias("tf"))
-    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("chunk_id")))
-
-
-def doc_freq(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def doc_len(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-
-
-def corpus_stats(chunks: DataFrame, tf: DataFrame) -> DataFrame:
+def term_counts(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
+    """chunks (chunk_id, text) -> (term, block, n, total, at, tf, dl): the places of a term's chunks in a range of ids, its counts
+    there and the chunks' lengths; how many there are, and the sum of the counts. Stems, and words that differ from their stem,
+    are counted together. Texts are read where they are: nothing is shuffled. A block is whole if its chunks come one after
+    another; otherwise it is several rows."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, known = re.compile("[a-z0-9]+").findall, functools.lru_cache(STEMS)(stem)
+        block: int | None = None
+        terms: list[str] = []
+        counts: list[int] = []
+        each: list[tuple[int, int, int]] = []  # place, length, terms
+
+        def said() -> Iterator[pa.RecordBatch]:
+            if terms:
+                coded = pa.array(terms).dictionary_encode()
+                codes = np.asarray(coded.indices)
+                order = np.argsort(codes, kind="stable")
+                starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+                at, dl, many = np.array(each, np.int32).T
+                tf = np.array(counts, np.int32)[order]
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x))
+                columns = [coded.dictionary, pa.array(np.full(len(starts) - 1, block)), np.diff(starts), np.add.reduceat(tf.astype(np.int64), starts[:-1]), *map(listed, (np.repeat(at, many)[order], tf, np.repeat(dl, many)[order]))]
+                whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["term", "block", "n", "total", "at", "tf", "dl"])
+                for i in range(0, len(whole), 1 << 14):
+                    yield whole.slice(i, 1 << 14)
+                terms.clear(), counts.clear(), each.clear()
+
+        for batch in batches:
+            for chunk, text in zip(batch.column("chunk_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if chunk // width != block or len(terms) > HELD:
+                    yield from said()
+                    block = chunk // width
+                own: dict[str, int] = {}
+                for word, n in Counter(tokens(text or "")).items():
+                    root = known(word)
+                    own[root] = own.get(root, 0) + n
+                    if root != word:
+                        own[word] = own.get(word, 0) + n
+                terms += own
+                counts += own.values()
+                each.append((chunk - block * width, sum(own.values()), len(own)))
+        yield from said()
+
+    lowered = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("text"))
+    return lowered.mapInArrow(of, "term string, block long, n long, total long, at array<int>, tf array<int>, dl array<int>")
+
+
+def spread(blocks: DataFrame, *more: str, width: int = WIDTH) -> DataFrame:
+    """(*more, chunk_id, tf, dl), a row for each posting."""
+    each = blocks.select(*more, "block", F.explode(F.arrays_zip("at", "tf", "dl")).alias("p"))
+    return each.select(*more, (F.col("block") * width + F.col("p.at")).alias("chunk_id"), F.col("p.tf").cast("bigint").alias("tf"), F.col("p.dl").cast("bigint").alias("dl"))
+
+
+def doc_freq(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def doc_len(counts: DataFrame) -> DataFrame:
+    return spread(counts).groupBy("chunk_id").agg(F.max("dl").alias("dl"))
+
+
+def corpus_stats(chunks: DataFrame, counts: DataFrame) -> DataFrame:
     """One row (n, avgdl) over all chunks, those without tokens included."""
     n = chunks.agg(F.count("*").alias("n"))
-    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    total = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     return n.crossJoin(total).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))  # two rows of one
 
 
@@ -76,11 +124,40 @@ def weight(tf, df, dl, n, avgdl):
 
 @dataclasses.dataclass
 class Index:
-    tf: DataFrame
-    rows: DataFrame  # postings with what their weights follow from
+    counts: DataFrame  # in blocks
     stats: DataFrame
-    df: DataFrame
-    dl: DataFrame
+    most_df: float = MOST_DF
+
+    @functools.cached_property
+    def df(self) -> DataFrame:
+        return stage(doc_freq(self.counts), "bm25-df")
+
+    @property
+    def tf(self) -> DataFrame:
+        return spread(self.counts, "term")
+
+    @property
+    def dl(self) -> DataFrame:
+        return doc_len(self.counts)
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        return vocabulary(self.df, self.stats, self.most_df)
+
+    def blocks(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, block, df, n, most, at, tf, dl) of the vocabulary, or of those of its terms that are in terms (term)."""
+        only = lambda df: df if terms is None else df.join(terms.select("term").distinct(), "term", "left_semi")
+        c = F.col
+        part = F.array_max(F.transform(F.arrays_zip("tf", "dl"), lambda p: saturated(F.lit(1.0), p["tf"], p["dl"], c("avgdl"))))
+        rows = only(self.counts).join(only(self.vocabulary), "term").crossJoin(F.broadcast(self.stats.select(c("n").alias("chunks"), "avgdl")))
+        return rows.select("term", "block", "df", "n", (idf(c("df"), c("chunks")) * part).alias("most"), "at", "tf", "dl")
+
+    @property
+    def rows(self) -> DataFrame:
+        """Postings with what their weights follow from."""
+        c = F.col
+        rows = spread(self.blocks(), "term", "df").crossJoin(F.broadcast(self.stats))
+        return rows.select("term", "chunk_id", "tf", "df", "dl", weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl")).alias("score"))
 
     @property
     def postings(self) -> DataFrame:
@@ -88,13 +165,9 @@ class Index:
 
 
 def build(chunks: DataFrame, most_df: float = MOST_DF) -> Index:
-    """Index of chunks (chunk_id, text). All parts read tf, so it is written once to the shared folder."""
-    tf = stage(term_counts(chunks), "bm25-tf")
-    df, dl, stats = doc_freq(tf), doc_len(tf), corpus_stats(chunks, tf)
-    c = F.col
-    score = weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl"))
-    rows = tf.join(vocabulary(df, stats, most_df), "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", "tf", "df", "dl", score.alias("score"))
-    return Index(tf, rows, stats, df, dl)
+    """Index of chunks (chunk_id, text). All parts follow from the counts, so these are written once to the shared folder."""
+    counts = stage(term_counts(chunks), "bm25-counts")
+    return Index(counts, stage(corpus_stats(chunks, counts), "bm25-stats"), most_df)
 
 
 def csr_offsets(postings: DataFrame, ids: DataFrame) -> DataFrame:

@@ -26,19 +26,14 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     return parts.select("page_id", *file, F.posexplode(F.concat(F.array(summary), bodies)).alias("pos", "c")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "c.chunk_type", "c.text", *file)
 
 
-def number_chunks(chunks: DataFrame, start: int = 0) -> DataFrame:
-    """(chunk_id, page_id, chunk_type, text): dense ids from `start`, by the page's file if chunks has it, then page, then place.
-    chunks is read twice: stage it before. Pages are dealt by ranges of their files or ids, however these are spread; running
-    sums are within a range and over the ranges."""
-    by = [c for c in ("file", "page_id") if c in chunks.columns]
-    sizes = chunks.groupBy(*by).agg(F.count("*").alias("n"))
-    sizes = stage(sizes.repartitionByRange(*by).select(*by, "n", F.spark_partition_id().alias("range")), "chunk-sizes")
-    totals = sizes.groupBy("range").agg(F.sum("n").alias("total"))  # a row for each range
-    bases = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("base"))
-    inner = F.sum("n").over(Window.partitionBy("range").orderBy(*by)) - F.col("n")
-    offsets = sizes.withColumn("inner", inner).join(F.broadcast(bases), "range").select(*by, (F.col("base") + F.col("inner") + start).alias("first"))
-    return chunks.join(offsets, by).select((F.col("first") + F.col("pos")).cast("bigint").alias("chunk_id"), "page_id", "chunk_type", "text")
-
-
 def chunk_corpus(pages: DataFrame, start: int = 0) -> DataFrame:
-    return number_chunks(stage(chunk_pages(pages), "chunk-parts"), start)
+    """(chunk_id, page_id, chunk_type, text): dense ids from `start`, by the page's file if pages has it, then page, then place.
+    Pages are dealt by ranges of their files or ids, however these are spread; their chunks are written once, with places
+    within a range. What a range starts from is a row for each."""
+    by = [F.col(c).asc_nulls_last() for c in ("file", "page_id") if c in pages.columns]
+    placed = chunk_pages(pages.repartitionByRange(*by).sortWithinPartitions(*by)).withColumn("place", F.monotonically_increasing_id())
+    chunks = stage(placed.select("place", "page_id", "chunk_type", "text"), "chunks").withColumn("range", F.shiftright("place", 33))
+    totals = chunks.groupBy("range").agg(F.count("*").alias("total"))
+    bases = stage(totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total") + start).alias("base")), "chunk-bases")
+    nth = F.col("place") - F.shiftleft("range", 33)
+    return chunks.join(F.broadcast(bases), "range").select((F.col("base") + nth).cast("bigint").alias("chunk_id"), "page_id", "chunk_type", "text")

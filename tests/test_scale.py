@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 import tracemalloc
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import stem
 from marlstone.operators import ann, blocks, bm25, collection, scenario, tiles
 from marlstone.sources import npy, readers
 from marlstone.sources.stage import stage
@@ -70,6 +72,32 @@ def test_search_in_blocks_without_hits(spark, index, terms):
     assert blocks.query(b.where("false"), stats, terms).count() == 0
 
 
+def test_counts_are_made_where_the_texts_are(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["Running", "run", "boxes", "sky", "modernized", "1820s", "a1", "-"], k=rng.randint(0, 30))) for _ in range(200)]
+    chunks = spark.createDataFrame([*enumerate(texts), (200, None)], "chunk_id long, text string")
+    counts = bm25.term_counts(chunks.repartition(3), 16)  # out of order: blocks in several rows
+    assert "Exchange" not in bm25.term_counts(chunks)._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, text in enumerate(texts):
+        for word in re.findall("[a-z0-9]+", text.lower()):
+            for term in {word, stem.stem(word)}:
+                want[term, i] = want.get((term, i), 0) + 1
+    got = rows_of(bm25.spread(counts, "term", width=16))
+    assert [r[:3] for r in got] == sorted((t, i, n) for (t, i), n in want.items())
+    lengths = {i: sum(n for (_, j), n in want.items() if j == i) for _, i in want}
+    assert all(dl == lengths[i] for _, i, _, dl in got)
+    assert counts.agg(F.sum("n"), F.sum("total")).first() == (len(want), sum(want.values()))
+
+
+def test_stem_of_a_word_is_the_columns_stem(spark):
+    rng = random.Random(8)
+    ends = [a for a, _ in stem.SECOND + stem.THIRD] + stem.FOURTH + ["ed", "ing", "eed", "s", "sses", "ies", "y", "e", "ll", "at", "bl", "iz"]
+    words = {"".join(rng.choices("aeioubcdlstyz1", k=rng.randint(0, 6))) + "".join(rng.choices(ends, k=rng.randint(1, 3))) for _ in range(5000)}
+    rows = stem.with_stem(spark.createDataFrame([(w,) for w in sorted(words)], "term string")).collect()
+    assert [r for r in rows if stem.stem(r.term) != r.stem] == []
+
+
 # --- tiles and bounds
 
 
