@@ -41,7 +41,10 @@ class Best:
             rows = every[start : start + SLAB]
             for at in range(0, len(ids), SLAB):
                 s = np.round(self.q[rows] @ vectors[at : at + SLAB].T, DIGITS)
-                i, j = np.nonzero(~(s < self.least[rows][:, None]))
+                least = self.least[rows]
+                if s.shape[1] > self.k and np.isneginf(least).any():  # none known so far: the k-th best of these scores
+                    least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])
+                i, j = np.nonzero(~(s < least[:, None]))
                 self.new.append((rows[i], ids[at : at + SLAB][j], s[i, j]))
                 self.size += len(i)
                 if self.size > max(SLAB * SLAB, len(self.held[0])):
