@@ -54,14 +54,21 @@ def run(queries: DataFrame, store: Store) -> DataFrame:
 
 
 def run_hybrid(queries: DataFrame, store: Store, k: int = 200, nprobe: int = ann.NPROBE, embed: Callable[[DataFrame], DataFrame] = ann.hashing_embedding) -> DataFrame:
-    """The earlier three-way retriever: BM25 (weight 4), the query's vector and those of its hypothetical texts (1 each).
-    embed: as the store was built with. nprobe 0: all lists that can hold a result, so that the search is exact."""
+    """`hybrid` over a store. nprobe 0: all lists that can hold a result, so that the search is exact."""
     store.require("postings", "bm25_stats", "chunk_meta", "centroids", "lists")
-    terms = fusion.query_terms(queries.select("query_id", F.lit(0).cast("bigint").alias("stream_id"), F.lit(False).alias("years_only"), F.col("query").alias("text")))
-    sparse = blocks.query(store.load("postings"), store.load("bm25_stats"), terms, k).select("query_id", "stream_id", F.lit(4.0).alias("weight"), "chunk_id", "rank")
+    lists = store.load("lists")
+    near = lambda vectors: ann.search(store.load("centroids"), lists, vectors, k, nprobe) if nprobe else ann.search_exact(lists, vectors, k)
+    return hybrid(queries, lambda terms: store.load("postings"), store.load("bm25_stats"), near, store.load("chunk_meta"), k, embed)
+
+
+def hybrid(queries: DataFrame, index: Callable[[DataFrame], DataFrame], stats: DataFrame, near: Callable[[DataFrame], DataFrame], meta: DataFrame, k: int = 200, embed: Callable[[DataFrame], DataFrame] = ann.hashing_embedding) -> DataFrame:
+    """The earlier three-way retriever: BM25 (weight 4), the query's vector and those of its hypothetical texts (1 each).
+    index: terms (term) -> postings in blocks, theirs at least; near: vectors (query_id, qvec) -> (query_id, rank, vec_id), the k
+    nearest chunks; embed: as these were embedded."""
+    terms = stage(fusion.query_terms(queries.select("query_id", F.lit(0).cast("bigint").alias("stream_id"), F.lit(False).alias("years_only"), F.col("query").alias("text"))), "terms")
+    sparse = blocks.query(index(terms), stats, terms, k).select("query_id", "stream_id", F.lit(4.0).alias("weight"), "chunk_id", "rank")
     texts = queries.select("query_id", F.lit(-1).alias("variant"), F.col("query").alias("text")).union(fusion.hypothetical_texts(queries))
     named = texts.select(F.struct("query_id", "variant").alias("text_id"), "text")
-    vectors = embed(named).select(F.col("text_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    near = ann.search(store.load("centroids"), store.load("lists"), vectors, k, nprobe) if nprobe else ann.search_exact(store.load("lists"), vectors, k)
-    dense = near.select(F.col("query_id.query_id").alias("query_id"), (F.col("query_id.variant") + 2).cast("bigint").alias("stream_id"), F.lit(1.0).alias("weight"), F.col("vec_id").alias("chunk_id"), F.col("rank").cast("int").alias("rank"))
-    return fusion.page_rank(fusion.rrf(sparse.unionByName(dense)), store.load("chunk_meta"))
+    found = near(embed(named).select(F.col("text_id").alias("query_id"), F.col("embedding").alias("qvec")))
+    dense = found.select(F.col("query_id.query_id").alias("query_id"), (F.col("query_id.variant") + 2).cast("bigint").alias("stream_id"), F.lit(1.0).alias("weight"), F.col("vec_id").alias("chunk_id"), F.col("rank").cast("int").alias("rank"))
+    return fusion.page_rank(fusion.rrf(sparse.unionByName(dense)), meta)

@@ -121,6 +121,14 @@ def search_exact(listed: DataFrame, queries: DataFrame, k: int = 10, nprobe: int
     return _named(tiles.meet_lists(listed, asked, probes_exact(listed, asked, k, nprobe), k), asked, k)
 
 
+def search_tiles(store: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The same over a store (vec_id, embedding) without lists: every vector is compared, by matrix products. Where bounds would
+    leave little out, fitting and writing lists costs more than they spare."""
+    asked = _numbered(queries)
+    near = tiles.meet(store, asked.select(F.col("nth").alias("query_id"), "qvec"), tiles.Best, k)
+    return _named(near.withColumnRenamed("query_id", "nth"), asked, k)
+
+
 def hashing_embedding(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """texts (text_id, text) -> (text_id, embedding): hashed token counts on the unit sphere; needs no model."""
     n = texts.select("text_id", F.explode_outer(raw_tokens(F.col("text"))).alias("t")).groupBy("text_id", F.pmod(F.xxhash64("t"), F.lit(dim)).cast("int").alias("at")).agg(F.count("t").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import stem
 from marlstone.operators import ann, blocks, bm25, collection, scenario, tiles
+from marlstone.plans import catalog
 from marlstone.sources import npy, readers
 from marlstone.sources.stage import stage
 from marlstone.sources.vectors import VectorStore
@@ -359,3 +360,16 @@ def test_probes_are_as_many_as_the_recall_needs(spark):
     want = {r[:1] + r[2:3] for r in rows_of(collection.top_k_blocked(store, queries))}
     found = lambda n: len(want & {r[:1] + r[2:3] for r in rows_of(ann.search(centroids, listed, queries, nprobe=n))}) / len(want)
     assert found(ann.NPROBE) < 0.9 <= found(ann.probes_for(centroids, listed))
+
+
+def test_hybrid_search_without_lists(spark, clustered, monkeypatch):
+    q = clustered.where("vec_id % 97 = 0").select(F.struct(F.col("vec_id").alias("a"), F.lit(-1).alias("b")).alias("query_id"), F.col("embedding").alias("qvec"))
+    flat = lambda df: rows_of(df.select("query_id.a", "query_id.b", "rank", "vec_id", "score"))
+    assert flat(ann.search_tiles(clustered, q, 7)) == flat(collection.top_k(clustered, q, 7))
+
+    def fitted(*_, **__):
+        raise AssertionError("lists are fitted and written for one search of every vector")
+
+    monkeypatch.setattr(ann, "build", fitted)
+    got = catalog.QUERIES["hybrid_pages"](spark, "/root/testdata/sf0.001")
+    assert got.groupBy("query_id").count().where("count > 10").isEmpty() and not got.isEmpty()
