@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same, one by one.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values.
 HOP = r"(?i)^(?:what links|how do|how does|what connects)\s+(.+)"
 COMBINES = r"(?i)^which .+ combines (.+?) with (.+)"
@@ -14,8 +16,8 @@ TAIL = r"(?<![?.,])[?.,]++$"
 
 
 def strip(x: Column) -> Column:
-    """Without white space at the ends, by Unicode's notion of it. A run within is looked at once, from its first character."""
-    return F.regexp_replace(x, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    """Without white space at the ends, by Unicode's notion of it. What lies between isn't looked at."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def raw_tokens(x: Column) -> Column:
@@ -27,9 +29,11 @@ def space_tokens(x: Column) -> Column:
     return F.filter(F.split(x, f"{SPACE}+"), lambda t: t != "")
 
 
-def sentences(x: Column) -> Column:
-    """Parts of the stripped text between white space that follows a full stop, an exclamation or a question mark."""
-    return F.filter(F.split(strip(x), r"(?<=[.!?])\s+"), lambda s: s != "")
+def sentences(x: Column, most: int = 0) -> Column:
+    """Parts of the stripped text between white space that follows a full stop, an exclamation or a question mark: all, or the
+    first `most`, for which the rest isn't split."""
+    parts = F.split(strip(x), r"(?<=[.!?])\s+", most + 1 if most else -1)
+    return F.filter(F.slice(parts, 1, most) if most else parts, lambda s: s != "")
 
 
 def decade(t: Column) -> Column:

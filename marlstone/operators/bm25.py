@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import dataclasses
 import functools
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +15,9 @@ from ..functions.stem import stem, with_stem
 from ..sources.stage import stage
 
 K1, B, MOST_DF = 1.5, 0.75, 0.5
-WIDTH, HELD = 1024, 1 << 21  # chunk ids of a block; postings that a task gathers before it emits them, at most
-STEMS = 1 << 18  # stems that a task remembers
+WIDTH, HELD = 1024, 1 << 21  # chunk ids of a block; words that a task gathers before it counts them, but for the last text
+STEMS = 1 << 18  # words that a task remembers from block to block
+APART = bytes(b if chr(b).isascii() and (chr(b).isdigit() or chr(b).islower()) else 32 for b in range(256))  # in UTF-8, all other letters are of bytes over 127
 DIGITS = 6  # scores are rounded before they are ranked, so that the order of a sum doesn't decide ties
 
 
@@ -27,6 +26,24 @@ def stem_table(raw: DataFrame) -> DataFrame:
     return with_stem(raw.select("term").distinct())
 
 
+class Words(dict[bytes, int]):
+    """Words and their numbers, in the order in which they were met, with the numbers of their stems."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.roots: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        name = word.decode()
+        at = self[word] = len(self.names)
+        self.names.append(name)
+        self.roots.append(at)
+        root = stem(name)
+        if root != name:
+            self.roots[at] = self[root.encode()]
+        return at
+
+
 def term_counts(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     """chunks (chunk_id, text) -> (term, block, n, total, at, tf, dl): the places of a term's chunks in a range of ids, its counts
     there and the chunks' lengths; how many there are, and the sum of the counts. Stems, and words that differ from their stem,
@@ -34,44 +51,40 @@ def term_counts(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     another; otherwise it is several rows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, known = re.compile("[a-z0-9]+").findall, functools.lru_cache(STEMS)(stem)
-        block: int | None = None
-        terms: list[str] = []
-        counts: list[int] = []
-        each: list[tuple[int, int, int]] = []  # place, length, terms
+        known, block, size = Words(), None, 0
+        places: list[int] = []
+        texts: list[np.ndarray] = []  # the numbers of each text's words
 
         def said() -> Iterator[pa.RecordBatch]:
-            if terms:
-                coded = pa.array(terms).dictionary_encode()
-                codes = np.asarray(coded.indices)
-                order = np.argsort(codes, kind="stable")
-                starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
-                at, dl, many = np.array(each, np.int32).T
-                tf = np.array(counts, np.int32)[order]
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x))
-                columns = [coded.dictionary, pa.array(np.full(len(starts) - 1, block)), np.diff(starts), np.add.reduceat(tf.astype(np.int64), starts[:-1]), *map(listed, (np.repeat(at, many)[order], tf, np.repeat(dl, many)[order]))]
-                whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["term", "block", "n", "total", "at", "tf", "dl"])
+            if size:
+                word, place = np.concatenate(texts), np.repeat(np.array(places, np.int64), [len(t) for t in texts])
+                root = np.array(known.roots, np.int32)[word]
+                other = root != word
+                key, tf = np.unique(np.concatenate([word, root[other]]).astype(np.int64) * width + np.concatenate([place, place[other]]), return_counts=True)
+                term, at = np.divmod(key, width)
+                lengths = np.bincount(at, tf)
+                starts = np.flatnonzero(np.diff(term, prepend=-1))
+                bounds = pa.array(np.append(starts, len(term)).astype(np.int32))
+                listed = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (at, tf, lengths[at])]
+                columns = [pa.array([known.names[i] for i in term[starts].tolist()], pa.string()), *map(pa.array, (np.full(len(starts), block), np.diff(starts, append=len(term)), np.add.reduceat(tf, starts))), *listed]
+                whole = pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "total", "at", "tf", "dl"])
                 for i in range(0, len(whole), 1 << 14):
                     yield whole.slice(i, 1 << 14)
-                terms.clear(), counts.clear(), each.clear()
+            places.clear(), texts.clear()
 
         for batch in batches:
             for chunk, text in zip(batch.column("chunk_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if chunk // width != block or len(terms) > HELD:
+                if chunk // width != block or size > HELD:
                     yield from said()
-                    block = chunk // width
-                own: dict[str, int] = {}
-                for word, n in Counter(tokens(text or "")).items():
-                    root = known(word)
-                    own[root] = own.get(root, 0) + n
-                    if root != word:
-                        own[word] = own.get(word, 0) + n
-                terms += own
-                counts += own.values()
-                each.append((chunk - block * width, sum(own.values()), len(own)))
+                    block, size = chunk // width, 0
+                    known = known if len(known) < STEMS else Words()
+                words = (text or b"").translate(APART).split()
+                places.append(chunk - block * width)
+                texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                size += len(words)
         yield from said()
 
-    lowered = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("text"))
+    lowered = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").cast("binary").alias("text"))
     return lowered.mapInArrow(of, "term string, block long, n long, total long, at array<int>, tf array<int>, dl array<int>")
 
 

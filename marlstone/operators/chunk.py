@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.readers import clean_pages
 from ..sources.stage import stage
 
 WINDOW, STRIDE, LEAST = 200, 150, 20
@@ -15,9 +16,9 @@ SUMMARY_SENTENCES, SUMMARY_CHARS = 2, 300
 def chunk_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, title, content[, file]) -> (page_id, pos, chunk_type, text[, file])."""
     file = [c for c in pages.columns if c == "file"]
-    sents, words = T.sentences(F.col("content")), T.space_tokens(F.col("content"))
+    sents, words = T.sentences(F.col("content"), SUMMARY_SENTENCES), T.space_tokens(F.col("content"))
     head = F.concat("title", F.lit(". "))
-    first = F.when(F.size("sents") > 0, F.array_join(F.slice("sents", 1, SUMMARY_SENTENCES), " ")).otherwise(F.substring("content", 1, SUMMARY_CHARS))
+    first = F.when(F.size("sents") > 0, F.array_join("sents", " ")).otherwise(F.substring("content", 1, SUMMARY_CHARS))
     starts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
     windows = F.filter(F.transform(starts, lambda s: F.slice("words", s + 1, F.lit(WINDOW))), lambda w: F.size(w) >= LEAST)
     summary = F.struct(F.lit("summary").alias("chunk_type"), F.concat(head, first).alias("text"))
@@ -28,10 +29,11 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
 
 def chunk_corpus(pages: DataFrame, start: int = 0) -> DataFrame:
     """(chunk_id, page_id, chunk_type, text): dense ids from `start`, by the page's file if pages has it, then page, then place.
-    Pages are dealt by ranges of their files or ids, however these are spread; their chunks are written once, with places
-    within a range. What a range starts from is a row for each."""
+    Pages are dealt by ranges of their files or ids, however these are spread, and then cleaned; their chunks are written once,
+    with places within a range. What a range starts from is a row for each."""
+    pages = pages.withColumn("page_id", F.col("page_id").cast("bigint"))
     by = [F.col(c).asc_nulls_last() for c in ("file", "page_id") if c in pages.columns]
-    placed = chunk_pages(pages.repartitionByRange(*by).sortWithinPartitions(*by)).withColumn("place", F.monotonically_increasing_id())
+    placed = chunk_pages(clean_pages(pages.repartitionByRange(*by).sortWithinPartitions(*by))).withColumn("place", F.monotonically_increasing_id())
     chunks = stage(placed.select("place", "page_id", "chunk_type", "text"), "chunks").withColumn("range", F.shiftright("place", 33))
     totals = chunks.groupBy("range").agg(F.count("*").alias("total"))
     bases = stage(totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total") + start).alias("base")), "chunk-bases")

@@ -40,9 +40,13 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), T.strip(F.col("title")).alias("title"), T.strip(F.col("content")).alias("content"), *file)
 
 
-def documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return clean_pages(docs.select(F.col("doc_id").alias("page_id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("content")))
+    return docs.select(F.col("doc_id").alias("page_id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_pages(raw_documents(spark, sf_dir))
 
 
 def raw_queries(spark: SparkSession, path: str) -> DataFrame:

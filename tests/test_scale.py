@@ -5,13 +5,15 @@ import random
 import re
 import time
 import tracemalloc
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import stem
+from marlstone.functions import stem, text
 from marlstone.operators import ann, blocks, bm25, collection, scenario, tiles
+from marlstone.operators.chunk import chunk_corpus
 from marlstone.plans import catalog
 from marlstone.sources import npy, readers
 from marlstone.sources.stage import stage
@@ -373,3 +375,68 @@ def test_hybrid_search_without_lists(spark, clustered, monkeypatch):
     monkeypatch.setattr(ann, "build", fitted)
     got = catalog.QUERIES["hybrid_pages"](spark, "/root/testdata/sf0.001")
     assert got.groupBy("query_id").count().where("count > 10").isEmpty() and not got.isEmpty()
+
+
+def test_white_space_by_trimming(spark):
+    named = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "Z")
+    white = re.compile(text.SPACE.replace(r"\p{Z}", re.escape(named)), re.ASCII).findall("".join(map(chr, range(0xD800))))
+    assert sorted(white) == sorted(text.SPACES)
+    rng = random.Random(9)
+    rows = ["".join(rng.choices([*white, "a", "é", "​", "."], k=rng.randint(0, 12))) for _ in range(2000)]
+    ends = "".join(white)
+    got = spark.createDataFrame(list(enumerate(rows)), "i long, x string").select("i", text.strip(F.col("x")).alias("y")).collect()
+    assert all(r.y == rows[r.i].strip(ends) for r in got)
+    plan = spark.range(1).select(text.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp" not in plan.lower()  # one looks at each place of a text
+
+
+def test_first_sentences_are_split_alone(spark):
+    rng = random.Random(10)
+    rows = ["".join(rng.choices(["a", "b. ", "! ", "?\n", " ", ".", " "], k=rng.randint(0, 15))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in rows], "x string").select(F.slice(text.sentences(F.col("x")), 1, 2).alias("want"), text.sentences(F.col("x"), 2).alias("got"))
+    assert df.where("want <> got").count() == 0
+
+
+def test_pages_are_dealt_before_they_are_cleaned(spark):
+    pages = spark.createDataFrame([(i, " t\t", " one. two! three ") for i in range(20)], "page_id long, title string, content string")
+    assert {r.text for r in chunk_corpus(pages).collect()} == {"t. one. two!"}
+    seen = []
+    dealt = type(pages).repartitionByRange
+
+    def held(self, *a):
+        seen.append(self._jdf.queryExecution().analyzed().toString().lower())
+        return dealt(self, *a)
+
+    type(pages).repartitionByRange = held
+    try:
+        chunk_corpus(pages)
+    finally:
+        type(pages).repartitionByRange = dealt
+    assert seen and "trim" not in seen[0] and "regexp" not in seen[0]  # the sample of ids would clean whole texts for nothing
+
+
+def test_a_task_counts_words_by_their_numbers(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["Running", "run", "runs", "ÉTÉ", "naïve", "x1", "İstanbul", "K", "1820s", "boxes", "box", "ßs", "_", "日本a"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(300)]
+    lowered = dict(map(tuple, spark.createDataFrame(rows, "i long, x string").select("i", F.lower("x")).collect()))
+    want = {}
+    for i, x in lowered.items():
+        for word in re.findall("[a-z0-9]+", x):
+            for term in {word, stem.stem(word)}:
+                want[term, i] = want.get((term, i), 0) + 1
+    monkeypatch.setattr(bm25, "HELD", 50)  # blocks in several rows, words forgotten between them
+    monkeypatch.setattr(bm25, "STEMS", 5)
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").coalesce(1)
+    made = []
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda self, f, *_, **__: made.append((self, f)))
+    bm25.term_counts(chunks, 64)
+    lower, f = made[0]
+    table = lower.toArrow()
+    out = [r for b in f(iter(table.to_batches())) for r in b.to_pylist()]
+    got = {(r["term"], r["block"] * 64 + at): tf for r in out for at, tf in zip(r["at"], r["tf"], strict=True)}
+    assert got == want and sum(r["n"] for r in out) == len(want) and sum(r["total"] for r in out) == sum(want.values())
+    lengths = {i: sum(n for (_, j), n in want.items() if j == i) for _, i in want}
+    assert all(dl == lengths[r["block"] * 64 + at] for r in out for at, dl in zip(r["at"], r["dl"], strict=True))
+    known = bm25.Words()
+    assert [known[w] for w in (b"running", b"run", b"running")] == [0, 1, 0] and known.roots == [1, 1]
