@@ -162,7 +162,8 @@ class Index:
         only = lambda df: df if terms is None else df.join(terms.select("term").distinct(), "term", "left_semi")
         c = F.col
         part = F.array_max(F.transform(F.arrays_zip("tf", "dl"), lambda p: saturated(F.lit(1.0), p["tf"], p["dl"], c("avgdl"))))
-        rows = only(self.counts).join(only(self.vocabulary), "term").crossJoin(F.broadcast(self.stats.select(c("n").alias("chunks"), "avgdl")))
+        vocab = self.vocabulary if terms is None else stage(only(self.vocabulary), "bm25-asked")  # if it is small, Spark sees that and lets the blocks stay
+        rows = only(self.counts).join(vocab, "term").crossJoin(F.broadcast(self.stats.select(c("n").alias("chunks"), "avgdl")))
         return rows.select("term", "block", "df", "n", (idf(c("df"), c("chunks")) * part).alias("most"), "at", "tf", "dl")
 
     @property

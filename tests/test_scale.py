@@ -440,3 +440,11 @@ def test_a_task_counts_words_by_their_numbers(spark, monkeypatch):
     assert all(dl == lengths[r["block"] * 64 + at] for r in out for at, dl in zip(r["at"], r["dl"], strict=True))
     known = bm25.Words()
     assert [known[w] for w in (b"running", b"run", b"running")] == [0, 1, 0] and known.roots == [1, 1]
+
+
+def test_blocks_of_few_terms_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([(i, f"alpha w{i % 50} stone{i}") for i in range(300)], "chunk_id long, text string")
+    i, few = bm25.build(chunks), spark.createDataFrame([("w7",), ("stone5",), ("absent",)], "term string")
+    plan = i.blocks(stage(few, "few"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning(term" not in plan.split("BroadcastExchange")[0]
+    assert rows_of(i.blocks(few).select("term", "df").distinct()) == [("stone5", 1), ("w7", 6)]
