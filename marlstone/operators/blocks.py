@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stage import stage
+from ..sources.stage import FEW, stage
 from . import bm25
 
 #: Chunk ids of a range; chunks of the first scoring for each of the k; keys (a stream's term) that meet a range in one group.
@@ -92,10 +92,12 @@ def _range(group: pa.Table, k: int, width: int, count: bool) -> pa.Table:
     return pa.table(dict(zip(["nth", "chunk_id", "score"], found, strict=True)))
 
 
-def _scored(blocks: DataFrame, stats: DataFrame, keys: DataFrame, on: list[str], tiles: int, k: int, width: int, count: bool = False) -> DataFrame:
-    """keys (nth, term, theta, and block where `on` has it) -> (nth, chunk_id, score), the best k of each range."""
+def _scored(blocks: DataFrame, stats: DataFrame, keys: DataFrame, on: list[str], tiles: int, k: int, width: int, count: bool = False, few: bool = False) -> DataFrame:
+    """keys (nth, term, theta, and block where `on` has it) -> (nth, chunk_id, score), the best k of each range. If keys are few
+    only the blocks that they meet are shuffled, once."""
     tile = F.pmod(F.xxhash64("nth"), F.lit(tiles)).cast("int").alias("tile")
     asking = keys.select(*on, tile, F.struct("nth", "theta").alias("stream")).groupBy(*on, "tile").agg(F.collect_list("stream").alias("streams"))
+    asking = F.broadcast(asking) if few else asking
     facts = F.broadcast(stats.select(F.col("n").alias("chunks"), "avgdl"))
     rows = blocks.join(asking, on).crossJoin(facts).select("block", "tile", "at", "tf", "dl", "most", bm25.idf(F.col("df"), F.col("chunks")).alias("idf"), "avgdl", "streams")
     return rows.groupBy("block", "tile").applyInArrow(lambda group: _range(group, k, width, count), "nth long, chunk_id long, score double")
@@ -111,33 +113,39 @@ def asked(blocks: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return streams, stage(rows.join(facts, "term").select("nth", "term", "most", "best"), "search-terms")
 
 
-def thresholds(blocks: DataFrame, stats: DataFrame, keys: DataFrame, tiles: int, k: int, width: int) -> DataFrame:
+def _first(k: int, width: int) -> int:
+    """Ranges of a stream's first scoring."""
+    return max(1, -(-FIRST * k // width))
+
+
+def thresholds(blocks: DataFrame, stats: DataFrame, keys: DataFrame, tiles: int, k: int, width: int, few: bool = False) -> DataFrame:
     """(nth, theta): the k-th best score in the ranges where the stream's terms have their highest weights, of some `FIRST`
     times k chunks; streams with fewer than k chunks there have none."""
     best = keys.groupBy("nth", F.col("best").alias("block")).agg(F.max("most").alias("most"))
     place = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc("most"), "block"))
-    first = best.withColumn("place", place).where(F.col("place") <= max(1, -(-FIRST * k // width))).select("nth", "block")
-    hits = _scored(blocks, stats, keys.join(first, "nth").withColumn("theta", F.lit(0.0)), ["term", "block"], tiles, k, width)
+    first = best.withColumn("place", place).where(F.col("place") <= _first(k, width)).select("nth", "block")
+    hits = _scored(blocks, stats, keys.join(first, "nth").withColumn("theta", F.lit(0.0)), ["term", "block"], tiles, k, width, few=few)
     return bm25.top(hits, k, "nth").where(F.col("rank") == k).select("nth", (F.col("score") - ROOM).alias("theta"))
 
 
-def _prepared(blocks: DataFrame, stats: DataFrame, terms: DataFrame, k: int, width: int) -> tuple[DataFrame, DataFrame, int]:
-    """(streams, staged keys (nth, term, theta), how many tiles they are dealt to)"""
+def _prepared(blocks: DataFrame, stats: DataFrame, terms: DataFrame, k: int, width: int) -> tuple[DataFrame, DataFrame, int, bool]:
+    """(streams, staged keys (nth, term, theta), how many tiles they are dealt to, whether they are few)"""
     streams, keys = asked(blocks, terms)
-    tiles = max(1, -(-keys.count() // KEYS))
-    theta = thresholds(blocks, stats, keys, tiles, k, width)
-    return streams, stage(keys.join(theta, "nth", "left").select("nth", "term", F.coalesce("theta", F.lit(0.0)).alias("theta")), "search-keys"), tiles
+    n = keys.count()
+    tiles, few = max(1, -(-n // KEYS)), n * _first(k, width) <= 4 * FEW  # the first scoring asks for a key in each of these ranges
+    theta = thresholds(blocks, stats, keys, tiles, k, width, few)
+    return streams, stage(keys.join(theta, "nth", "left").select("nth", "term", F.coalesce("theta", F.lit(0.0)).alias("theta")), "search-keys"), tiles, few
 
 
 def query(blocks: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 200, width: int = WIDTH) -> DataFrame:
     """blocks: stored or staged, for they are read several times; terms (query_id, stream_id, term). As bm25.query."""
-    streams, keys, tiles = _prepared(blocks, stats, terms, k, width)
-    best = bm25.top(_scored(blocks, stats, keys, ["term"], tiles, k, width), k, "nth")
+    streams, keys, tiles, few = _prepared(blocks, stats, terms, k, width)
+    best = bm25.top(_scored(blocks, stats, keys, ["term"], tiles, k, width, few=few), k, "nth")
     return best.join(streams, "nth").select(*GROUP, "chunk_id", "score", "rank")
 
 
 def read(blocks: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 200, width: int = WIDTH) -> tuple[int, int]:
     """Postings that the second scoring reads for all streams, and those of the streams' terms altogether."""
-    _, keys, tiles = _prepared(blocks, stats, terms, k, width)
+    _, keys, tiles, few = _prepared(blocks, stats, terms, k, width)
     total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]
-    return total(_scored(blocks, stats, keys, ["term"], tiles, k, width, True), "chunk_id"), total(blocks.select("term", "n").join(keys, "term"), "n")
+    return total(_scored(blocks, stats, keys, ["term"], tiles, k, width, True, few), "chunk_id"), total(blocks.select("term", "n").join(keys, "term"), "n")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, with_stem
-from ..sources.stage import stage
+from ..sources.stage import few, stage
 
 K1, B, MOST_DF = 1.5, 0.75, 0.5
 WIDTH, HELD = 1024, 1 << 21  # chunk ids of a block; words that a task gathers before it counts them, but for the last text
@@ -158,12 +158,16 @@ class Index:
         return vocabulary(self.df, self.stats, self.most_df)
 
     def blocks(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, block, df, n, most, at, tf, dl) of the vocabulary, or of those of its terms that are in terms (term)."""
-        only = lambda df: df if terms is None else df.join(terms.select("term").distinct(), "term", "left_semi")
+        """(term, block, df, n, most, at, tf, dl) of the vocabulary, or of those of its terms that are in terms (term); only
+        these are counted then, and the blocks stay where they are if the terms are few."""
         c = F.col
         part = F.array_max(F.transform(F.arrays_zip("tf", "dl"), lambda p: saturated(F.lit(1.0), p["tf"], p["dl"], c("avgdl"))))
-        vocab = self.vocabulary if terms is None else stage(only(self.vocabulary), "bm25-asked")  # if it is small, Spark sees that and lets the blocks stay
-        rows = only(self.counts).join(vocab, "term").crossJoin(F.broadcast(self.stats.select(c("n").alias("chunks"), "avgdl")))
+        if terms is None:
+            vocab = self.vocabulary
+        else:
+            df = doc_freq(self.counts.join(few(stage(terms.select("term").distinct(), "bm25-terms")), "term", "left_semi"))
+            vocab = few(stage(vocabulary(df, self.stats, self.most_df), "bm25-asked"))
+        rows = self.counts.join(vocab, "term").crossJoin(F.broadcast(self.stats.select(c("n").alias("chunks"), "avgdl")))
         return rows.select("term", "block", "df", "n", (idf(c("df"), c("chunks")) * part).alias("most"), "at", "tf", "dl")
 
     @property

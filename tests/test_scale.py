@@ -448,3 +448,39 @@ def test_blocks_of_few_terms_are_not_shuffled(spark):
     plan = i.blocks(stage(few, "few"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning(term" not in plan.split("BroadcastExchange")[0]
     assert rows_of(i.blocks(few).select("term", "df").distinct()) == [("stone5", 1), ("w7", 6)]
+
+
+@pytest.fixture
+def nothing_is_small(spark):
+    """As over large tables, of whose size Spark knows no better."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def joins_of(df):
+    return re.findall(r"(SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) \[([a-z_]+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_blocks_stay_where_few_keys_meet_them(spark, index, terms, nothing_is_small, monkeypatch):
+    rows, stats = index
+    b, scored, seen = stage(blocks.blocked(rows, 64), "blocks"), blocks._scored, []
+    monkeypatch.setattr(blocks, "_scored", lambda *a, **k: seen.append(scored(*a, **k)) or seen[-1])
+    got = blocks.query(b, stats, terms, 10, 64)
+    assert len(seen) == 2 and all(("BroadcastHashJoin", "term") in joins_of(x) and ("SortMergeJoin", "term") not in joins_of(x) for x in seen)
+    want = rows_of(got.select("query_id", "stream_id", "chunk_id", "score", "rank"))
+    monkeypatch.setattr(blocks, "FEW", 0)
+    got = blocks.query(b, stats, terms, 10, 64)
+    assert ("SortMergeJoin", "term") in joins_of(seen[-1]) and rows_of(got.select("query_id", "stream_id", "chunk_id", "score", "rank")) == want
+
+
+def test_frequencies_of_the_asked_terms_alone(spark, nothing_is_small, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"alpha w{i % 50} stone{i}") for i in range(300)], "chunk_id long, text string")
+    i, some = bm25.build(chunks), spark.createDataFrame([("w7",), ("stone5",), ("alpha",), ("absent",)], "term string")
+    made = i.blocks(some)
+    assert "df" not in i.__dict__  # the frequencies of all terms
+    assert joins_of(made) == [("BroadcastHashJoin", "term")]
+    assert rows_of(made.select("term", "df").distinct()) == [("stone5", 1), ("w7", 6)]
+    whole = i.blocks().where(F.col("term").isin("w7", "stone5"))
+    assert sorted(map(str, made.collect())) == sorted(map(str, whole.collect()))
