@@ -50,6 +50,24 @@ def csr_offsets(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     return bm25.offsets(blocks.groupBy("term").agg(F.sum("n").alias("n")), ids)
 
 
+def scores(own: np.ndarray, most: np.ndarray, least: float, ends: np.ndarray, at: np.ndarray, weight: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A stream's terms in a range, by falling highest weight -> (places of at least that score, their scores, how many postings
+    were read); sums is room for a score for each place."""
+    left, read = most[own][::-1].cumsum()[::-1].tolist(), 0  # the most that each term and those after it can add
+    if left[0] >= least:
+        sums[:] = 0
+        for r, more in zip(own.tolist(), left, strict=True):
+            if more < least and sums.max() + more < least:
+                break
+            i, j = ends[r], ends[r + 1]
+            sums[at[i:j]] += weight[i:j]
+            read += j - i
+        else:
+            hit = np.flatnonzero(sums >= max(least, 1e-300))
+            return hit, np.round(sums[hit], bm25.DIGITS), read
+    return np.empty(0, np.int64), np.empty(0), read
+
+
 def _range(group: pa.Table, k: int, width: int, count: bool) -> pa.Table:
     """The blocks of one range, each with the streams that ask for its term -> the best k of each stream (or, if count, how many
     postings each reads)."""
@@ -68,24 +86,12 @@ def _range(group: pa.Table, k: int, width: int, count: bool) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     sums = np.zeros(width)
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
-        own, least, read = row[a:b], theta[a], 0
-        left = most[own][::-1].cumsum()[::-1].tolist()  # the most that each term and those after it can add
-        if left[0] >= least:
-            sums[:] = 0
-            for r, more in zip(own.tolist(), left, strict=True):
-                if more < least and sums.max() + more < least:
-                    break
-                i, j = ends[r], ends[r + 1]
-                sums[at[i:j]] += weight[i:j]
-                read += j - i
-            else:
-                hit = np.flatnonzero(sums >= max(least, 1e-300))
-                score = np.round(sums[hit], bm25.DIGITS)
-                if len(hit) > k:
-                    best = np.argsort(-score, kind="stable")[:k]  # places rise, so that ties stay with the smaller
-                    hit, score = hit[best], score[best]
-                if not count:
-                    out.append((np.full(len(hit), nth[a]), first + hit, score))
+        hit, score, read = scores(row[a:b], most, theta[a], ends, at, weight, sums)
+        if len(hit) > k:
+            best = np.argsort(-score, kind="stable")[:k]  # places rise, so that ties stay with the smaller
+            hit, score = hit[best], score[best]
+        if not count:
+            out.append((np.full(len(hit), nth[a]), first + hit, score))
         if count:
             out.append((nth[a : a + 1], np.array([read], np.int64), np.zeros(1)))
     found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +27,67 @@ def stem_table(raw: DataFrame) -> DataFrame:
 
 
 class Words(dict[bytes, int]):
-    """Words and their numbers, in the order in which they were met, with the numbers of their stems."""
+    """Words and their numbers, in the order in which they were met, with the numbers of their stems, and those that terms have
+    in `wanted` (-1 for others)."""
 
-    def __init__(self) -> None:
+    def __init__(self, wanted: dict[str, int] | None = None) -> None:
         self.names: list[str] = []
         self.roots: list[int] = []
+        self.wanted, self.asked = wanted or {}, []
 
     def __missing__(self, word: bytes) -> int:
         name = word.decode()
         at = self[word] = len(self.names)
         self.names.append(name)
         self.roots.append(at)
+        self.asked.append(self.wanted.get(name, -1))
         root = stem(name)
         if root != name:
             self.roots[at] = self[root.encode()]
         return at
 
 
+def gathered(batches: Iterable[pa.RecordBatch], width: int, wanted: dict[str, int] | None = None) -> Iterator[tuple[Words, int, list[tuple], list[np.ndarray]]]:
+    """A task's chunks (chunk_id, lower-case text as bytes, more) -> (words, block, [(place, *more)], the numbers of each text's
+    words), whenever a range of ids ends or enough is held."""
+    known, block, size = Words(wanted), None, 0
+    held: list[tuple] = []
+    texts: list[np.ndarray] = []
+    for batch in batches:
+        more = [c for c in batch.schema.names if c not in ("chunk_id", "text")]
+        for chunk, text, *rest in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "text", *more)), strict=True):
+            if chunk // width != block or size > HELD:
+                if held:
+                    yield known, block, held, texts
+                block, size, held, texts = chunk // width, 0, [], []
+                known = known if len(known) < STEMS else Words(wanted)
+            words = (text or b"").translate(APART).split()
+            held.append((chunk - block * width, *rest))
+            texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            size += len(words)
+    if held:
+        yield known, block, held, texts
+
+
+def counted(known: Words, places: list[int], texts: list[np.ndarray], width: int, wanted: bool = False) -> tuple[np.ndarray, ...]:
+    """(term, place, count) of each text's terms, by terms and places; texts' lengths by place. If wanted, terms are those that
+    are, by their numbers there."""
+    word, place = np.concatenate(texts), np.repeat(np.array(places, np.int64), [len(t) for t in texts])
+    root = np.array(known.roots, np.int32)[word]
+    other = root != word
+    word, place = np.concatenate([word, root[other]]), np.concatenate([place, place[other]])
+    lengths = np.bincount(place, minlength=width)
+    if wanted:
+        word = np.array(known.asked, np.int32)[word]
+        word, place = word[word >= 0], place[word >= 0]
+    key, tf = np.unique(word.astype(np.int64) * width + place, return_counts=True)
+    return *np.divmod(key, width), tf, lengths
+
+
+def lowered(chunks: DataFrame, *more: str) -> DataFrame:
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").cast("binary").alias("text"), *more)
+
+
 def term_counts(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     """chunks (chunk_id, text) -> (term, block, n, total, at, tf, dl): the places of a term's chunks in a range of ids, its counts
     there and the chunks' lengths; how many there are, and the sum of the counts. Stems, and words that differ from their stem,
@@ -51,41 +95,19 @@ def term_counts(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     another; otherwise it is several rows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block, size = Words(), None, 0
-        places: list[int] = []
-        texts: list[np.ndarray] = []  # the numbers of each text's words
-
-        def said() -> Iterator[pa.RecordBatch]:
-            if size:
-                word, place = np.concatenate(texts), np.repeat(np.array(places, np.int64), [len(t) for t in texts])
-                root = np.array(known.roots, np.int32)[word]
-                other = root != word
-                key, tf = np.unique(np.concatenate([word, root[other]]).astype(np.int64) * width + np.concatenate([place, place[other]]), return_counts=True)
-                term, at = np.divmod(key, width)
-                lengths = np.bincount(at, tf)
-                starts = np.flatnonzero(np.diff(term, prepend=-1))
-                bounds = pa.array(np.append(starts, len(term)).astype(np.int32))
-                listed = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (at, tf, lengths[at])]
-                columns = [pa.array([known.names[i] for i in term[starts].tolist()], pa.string()), *map(pa.array, (np.full(len(starts), block), np.diff(starts, append=len(term)), np.add.reduceat(tf, starts))), *listed]
-                whole = pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "total", "at", "tf", "dl"])
-                for i in range(0, len(whole), 1 << 14):
-                    yield whole.slice(i, 1 << 14)
-            places.clear(), texts.clear()
-
-        for batch in batches:
-            for chunk, text in zip(batch.column("chunk_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if chunk // width != block or size > HELD:
-                    yield from said()
-                    block, size = chunk // width, 0
-                    known = known if len(known) < STEMS else Words()
-                words = (text or b"").translate(APART).split()
-                places.append(chunk - block * width)
-                texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                size += len(words)
-        yield from said()
-
-    lowered = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").cast("binary").alias("text"))
-    return lowered.mapInArrow(of, "term string, block long, n long, total long, at array<int>, tf array<int>, dl array<int>")
+        for known, block, held, texts in gathered(batches, width):
+            term, at, tf, lengths = counted(known, [place for (place,) in held], texts, width)
+            if not len(term):
+                continue
+            starts = np.flatnonzero(np.diff(term, prepend=-1))
+            bounds = pa.array(np.append(starts, len(term)).astype(np.int32))
+            listed = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (at, tf, lengths[at])]
+            columns = [pa.array([known.names[i] for i in term[starts].tolist()], pa.string()), *map(pa.array, (np.full(len(starts), block), np.diff(starts, append=len(term)), np.add.reduceat(tf, starts))), *listed]
+            whole = pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "total", "at", "tf", "dl"])
+            for i in range(0, len(whole), 1 << 14):
+                yield whole.slice(i, 1 << 14)
+
+    return lowered(chunks).mapInArrow(of, "term string, block long, n long, total long, at array<int>, tf array<int>, dl array<int>")
 
 
 def spread(blocks: DataFrame, *more: str, width: int = WIDTH) -> DataFrame:

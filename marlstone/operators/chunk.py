@@ -27,15 +27,26 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     return parts.select("page_id", *file, F.posexplode(F.concat(F.array(summary), bodies)).alias("pos", "c")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "c.chunk_type", "c.text", *file)
 
 
-def chunk_corpus(pages: DataFrame, start: int = 0) -> DataFrame:
-    """(chunk_id, page_id, chunk_type, text): dense ids from `start`, by the page's file if pages has it, then page, then place.
-    Pages are dealt by ranges of their files or ids, however these are spread, and then cleaned; their chunks are written once,
-    with places within a range. What a range starts from is a row for each."""
+def placed(pages: DataFrame) -> DataFrame:
+    """(place, page_id, chunk_type, text), with places that rise by the page's file if pages has it, then page, then place in it.
+    Pages are dealt by ranges of their files or ids, however these are spread, and then cleaned."""
     pages = pages.withColumn("page_id", F.col("page_id").cast("bigint"))
     by = [F.col(c).asc_nulls_last() for c in ("file", "page_id") if c in pages.columns]
-    placed = chunk_pages(clean_pages(pages.repartitionByRange(*by).sortWithinPartitions(*by))).withColumn("place", F.monotonically_increasing_id())
-    chunks = stage(placed.select("place", "page_id", "chunk_type", "text"), "chunks").withColumn("range", F.shiftright("place", 33))
-    totals = chunks.groupBy("range").agg(F.count("*").alias("total"))
+    chunks = chunk_pages(clean_pages(pages.repartitionByRange(*by).sortWithinPartitions(*by)))
+    return chunks.select(F.monotonically_increasing_id().alias("place"), "page_id", "chunk_type", "text")
+
+
+def with_ids(rows: DataFrame, totals: DataFrame, start: int = 0) -> DataFrame:
+    """rows (place, more) -> (chunk_id, more): dense ids from `start`. totals (range, total): how many places each range of
+    them has. What a range starts from is a row for each."""
     bases = stage(totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total") + start).alias("base")), "chunk-bases")
     nth = F.col("place") - F.shiftleft("range", 33)
-    return chunks.join(F.broadcast(bases), "range").select((F.col("base") + nth).cast("bigint").alias("chunk_id"), "page_id", "chunk_type", "text")
+    with_range = rows.withColumn("range", F.shiftright("place", 33)).join(F.broadcast(bases), "range")
+    return with_range.select((F.col("base") + nth).cast("bigint").alias("chunk_id"), *(c for c in rows.columns if c != "place"))
+
+
+def chunk_corpus(pages: DataFrame, start: int = 0) -> DataFrame:
+    """(chunk_id, page_id, chunk_type, text): dense ids from `start`, in the order of `placed`. The chunks are written once, with
+    places within a range."""
+    chunks = stage(placed(pages), "chunks")
+    return with_ids(chunks, chunks.groupBy(F.shiftright("place", 33).alias("range")).agg(F.count("*").alias("total")), start)

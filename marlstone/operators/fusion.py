@@ -36,6 +36,11 @@ def query_terms(parts: DataFrame) -> DataFrame:
     return years.union(words).distinct()
 
 
+def weighted(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """The hits of streams, with the streams' weights."""
+    return found.join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
+
+
 def rrf(ranked: DataFrame) -> DataFrame:
     """ranked (query_id, stream_id, weight, chunk_id, rank from 1) -> (query_id, chunk_id, rrf, first)."""
     score = F.sum(F.col("weight") / (RRF_K + F.col("rank")))
@@ -53,8 +58,7 @@ def page_rank(fused: DataFrame, meta: DataFrame, pages: int = PAGES) -> DataFram
 def search(queries: DataFrame, index: DataFrame, stats: DataFrame, meta: DataFrame, hits: int = HITS, pages: int = PAGES) -> DataFrame:
     """index: postings in blocks. All queries at once: (query_id, rank, page_id, score); a query without hits has no row."""
     parts = streams(queries)
-    found = blocks.query(index, stats, query_terms(parts), hits).join(parts.select("query_id", "stream_id", "weight"), ["query_id", "stream_id"])
-    return page_rank(rrf(found), meta, pages)
+    return page_rank(rrf(weighted(blocks.query(index, stats, query_terms(parts), hits), parts)), meta, pages)
 
 
 def page_lists(queries: DataFrame, ranked: DataFrame) -> DataFrame:

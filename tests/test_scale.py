@@ -1,6 +1,7 @@
 """Blocks of postings, tiles, bounds, the bucketed store, the log's state, cancellation, split files: against plain statements."""
 
 import json
+import os
 import random
 import re
 import time
@@ -12,11 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import stem, text
-from marlstone.operators import ann, blocks, bm25, collection, scenario, tiles
-from marlstone.operators.chunk import chunk_corpus
+from marlstone.operators import ann, blocks, bm25, collection, scan, scenario, tiles
+from marlstone.operators.chunk import chunk_corpus, placed
 from marlstone.plans import catalog
 from marlstone.sources import npy, readers
-from marlstone.sources.stage import stage
+from marlstone.sources.stage import shared_dir, stage
 from marlstone.sources.vectors import VectorStore
 from marlstone.streaming import oplog
 
@@ -497,3 +498,58 @@ def test_texts_stay_where_few_pairs_meet_them(spark, nothing_is_small, monkeypat
     for name in ("PAIRS", "BROADCAST"):
         monkeypatch.setattr(passages, name, 0)
         assert rows_of(passages.holding(docs, items)) == want
+
+
+# --- search by one scan
+
+
+@pytest.mark.parametrize(("k", "width"), [(3, 16), (200, 1024)])
+def test_a_scan_finds_what_the_index_finds(spark, monkeypatch, k, width):
+    rng = random.Random(k)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(500)] + ["Running", "runs", "boxes", "é"]
+    pages = [(None if i == 7 else 3 * i, rng.choice(["", "t w1"]), " ".join(rng.choices(words, k=rng.choice([0, 1, 25, 400])))) for i in range(200)]
+    pages = stage(spark.createDataFrame(pages, "page_id long, title string, content string").repartition(5), "scan-pages")
+    asking = [(q, s, t) for q in range(5) for s in range(2) for t in rng.sample(words, 4)] + [(0, 0, "run"), (0, 0, "box"), (9, 0, "absent"), (8, 0, "w1"), (8, 0, "w1")]
+    terms = stage(spark.createDataFrame([(q, s, t.lower()) for q, s, t in asking], "query_id long, stream_id long, term string"), "scan-terms")
+    chunks = chunk_corpus(pages)
+    i = bm25.build(chunks)
+    want = bm25.query(i.postings, terms, k).join(chunks.drop("text"), "chunk_id")
+    monkeypatch.setattr(bm25, "HELD", 300)  # a range in several rows
+    columns = ["query_id", "stream_id", "chunk_id", "page_id", "chunk_type", "score", "rank"]
+    got = scan.search(placed(pages), terms, k, width)
+    assert got.columns == columns and sorted(map(str, got.collect())) == sorted(map(str, want.select(columns).collect()))
+    assert scan.search(placed(pages.where("false")), terms, k, width).count() == scan.search(placed(pages), terms.where("false"), k, width).count() == 0
+
+
+def test_rows_of_a_scan_are_scored_where_they_are(spark):
+    chunks = spark.createDataFrame([(i, i, "body", f"w{i % 5} other{i}") for i in range(40)], "chunk_id long, page_id long, chunk_type string, text string").coalesce(2)
+    rows = stage(scan.counts(chunks, ["absent", "w1", "w2"], 16), "scan-rows")
+    assert sorted(x for r in rows.collect() for x in r.at) == sorted(i % 16 for i in range(40))  # each chunk once
+    assert sum(r.tokens for r in rows.collect()) == 80 and {t for r in rows.collect() for t in r.term} == {1, 2}
+    hits = scan.best(rows, [(4, [1]), (6, [1, 2])], [0.0, 1.0, 2.0], 2.0, 3, 16)
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    tasks = rows.rdd.getNumPartitions()
+    assert all(3 <= n <= 3 * tasks for n in hits.groupBy("nth").count().toPandas()["count"])  # the best of each task, not all hits
+
+
+@pytest.fixture
+def searched(spark, tmp_path):
+    """A folder of documents, and what a query of it writes: (rows, the columns of all that it wrote)."""
+    docs = [(i, None if i == 3 else f"mountain river {'harbor ' * (i % 4)}u{i}a u{i}b u{i}c", "src", "en", 1) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "harbor river of u5a"), (2, "the u7b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    where = shared_dir(spark).removeprefix("file://") + "/marlstone"
+
+    def run(name):
+        before = set(os.listdir(where)) if os.path.isdir(where) else set()
+        rows = sorted(map(str, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+        return rows, [c for d in set(os.listdir(where)) - before for c in spark.read.parquet(f"file://{where}/{d}").columns]
+
+    return run
+
+
+def test_rrf_fuse_writes_no_texts_and_no_whole_index(searched, monkeypatch):
+    rows, written = searched("rrf_fuse")
+    assert rows and not {"text", "tf", "df", "total"} & set(written)
+    monkeypatch.setattr(scan, "few", lambda terms: False)  # too many terms for each task: in the index
+    assert searched("rrf_fuse")[0] == rows
